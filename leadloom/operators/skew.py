@@ -108,3 +108,9 @@ def bucketed_running(df: DataFrame, keys: list[str], order: str, value: str, wid
     return joined.select(
         *df.columns, (F.col("__off") + F.col("__s")).alias("run_sum"),
         F.least(F.col("__low_before"), F.col("__off") + F.col("__m")).alias("run_min"))
+
+
+def lookup_per_key(df: DataFrame, table: DataFrame, keys: list[str], hot_share: int = HOT_SHARE) -> DataFrame:
+    """Left join ``df`` with ``table`` (at most one row per key), spreading the hot keys of ``df``."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    return attach_per_key(df, counts.join(table, keys, "left"), keys, "__rows", hot_share)
