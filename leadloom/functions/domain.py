@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from leadloom import refdata as R
-from leadloom.functions.text import alternation, col, has_any, text_or_empty, whole_word
+from leadloom.functions.text import alternation, col, has_any, let, text_or_empty, whole_word
 from leadloom.functions.url import SOCIAL_HOST, SOCIAL_TEXT, url_host, url_path
 
 
@@ -36,9 +36,8 @@ def is_social_host(host: Column | str) -> Column:
 
 def is_social_url(url: Column | str) -> Column:
     """Host test; text that is not an absolute URL is searched for platform domains instead."""
-    host = url_host(url)
     raw = F.lower(text_or_empty(url))
-    return F.when(host.isNotNull(), is_social_host(host)).otherwise(raw.rlike(SOCIAL_TEXT))
+    return let(url_host(url), lambda h: F.when(h.isNotNull(), is_social_host(h)).otherwise(raw.rlike(SOCIAL_TEXT)))
 
 
 def is_known_directory(host: Column | str) -> Column:
@@ -69,26 +68,31 @@ def _keyword_host(host: Column, path: Column) -> Column:
 
 def is_directory_site(url: Column | str, title: Column | str | None = None) -> Column:
     """List page, marketplace or known directory, by URL and optional title. NULL/relative URL: false."""
-    host, path, full = url_host(url), url_path(url), F.lower(text_or_empty(url))
-    hit = (
-        _keyword_host(host, path) | full.rlike(MARKET) | path.rlike(LIST_PATH) | is_known_directory(host)
-    )
-    if title is not None:
-        hit = hit | F.lower(text_or_empty(title)).rlike(LIST_TITLE)
-    return F.coalesce(host.isNotNull() & hit, F.lit(False))
+    def test(host: Column, path: Column) -> Column:
+        hit = (
+            _keyword_host(host, path) | F.lower(text_or_empty(url)).rlike(MARKET) | path.rlike(LIST_PATH)
+            | is_known_directory(host)
+        )
+        if title is not None:
+            hit = hit | F.lower(text_or_empty(title)).rlike(LIST_TITLE)
+        return F.coalesce(host.isNotNull() & hit, F.lit(False))
+
+    return let(url_host(url), lambda h: let(url_path(url), lambda p: test(h, p)))
 
 
 def is_directory_url(url: Column | str) -> Column:
     """Variant without a title: also blocked platforms and map/place style hosts."""
-    host, path, full = url_host(url), url_path(url), F.lower(text_or_empty(url))
-    hit = (
-        is_blocked_platform(host)
-        | _keyword_host(host, path)
-        | full.rlike(MARKET)
-        | path.rlike(LIST_PATH_NO_TITLE)
-        | host.rlike(DIRECTORY_HOST_NO_TITLE)
-    )
-    return F.coalesce(host.isNotNull() & hit, F.lit(False))
+    def test(host: Column, path: Column) -> Column:
+        hit = (
+            is_blocked_platform(host)
+            | _keyword_host(host, path)
+            | F.lower(text_or_empty(url)).rlike(MARKET)
+            | path.rlike(LIST_PATH_NO_TITLE)
+            | host.rlike(DIRECTORY_HOST_NO_TITLE)
+        )
+        return F.coalesce(host.isNotNull() & hit, F.lit(False))
+
+    return let(url_host(url), lambda h: let(url_path(url), lambda p: test(h, p)))
 
 
 GENERIC_PATTERN = "(" + "|".join(R.GENERIC_NAME_PATTERNS) + ")"
@@ -154,24 +158,24 @@ IRRELEVANT_PATTERN = "(" + "|".join(IRRELEVANT) + ")"
 
 def relevance(name: Column | str, about: Column | str, signals: Column | str, industry: Column | str) -> Column:
     """struct(is_relevant, reason, confidence) from the lead text and the wanted industry."""
-    text = F.lower(
+    joined = F.lower(
         F.concat_ws(" ", F.nullif(col(name), F.lit("")), F.nullif(col(about), F.lit("")),
                     F.array_join(F.coalesce(col(signals), F.array().cast("array<string>")), " "))
     )
     wanted = F.lower(text_or_empty(industry))
-    keyword = text.contains(wanted) | F.exists(F.split(wanted, " "), lambda w: text.contains(w))
 
     def verdict(ok: bool, reason: str, confidence: float) -> Column:
         return F.struct(
             F.lit(ok).alias("is_relevant"), F.lit(reason).alias("reason"), F.lit(confidence).alias("confidence")
         )
 
-    return (
+    return let(joined, lambda text: (
         F.when(text.rlike(IRRELEVANT_PATTERN), verdict(False, "Obvious irrelevant business type (domain marketplace, placeholder, etc.)", 0.8))
         .when(F.length(F.trim(wanted)) == 0, verdict(True, "Generic query, accepting any legitimate business", 0.6))
-        .when(keyword, verdict(True, "Contains industry keywords", 0.7))
+        .when(text.contains(wanted) | F.exists(F.split(wanted, " "), lambda w: text.contains(w)),
+              verdict(True, "Contains industry keywords", 0.7))
         .otherwise(verdict(False, "No industry keywords found", 0.5))
-    )
+    ))
 
 
 def keep_relevant(verdict: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from leadloom import refdata as R
-from leadloom.functions.text import alternation, col, null_if_empty, text_or_empty
+from leadloom.functions.text import alternation, col, let, null_if_empty, text_or_empty
 
 ROLE_ADDRESS = rf"^({alternation(R.ROLE_MAILBOXES)})@|@({alternation(R.ROLE_MAIL_DOMAINS)})$"
 SUSPICIOUS = r"^[0-9]+@|^[a-z]+\d+@|\.{2,}|@{2,}|^\.|\.$|@\.|\.@"
@@ -25,7 +25,10 @@ def _verdict(score: Column | int, status: Column | str, reason: Column | str) ->
 
 def syntax_check(email: Column | str) -> Column:
     """struct(score 0-100, status, reason, method, valid) from the address alone."""
-    e = F.lower(F.trim(text_or_empty(email)))
+    return let(F.lower(F.trim(text_or_empty(email))), _checked_syntax)
+
+
+def _checked_syntax(e: Column) -> Column:
     domain = F.regexp_extract(e, "@(.*)$", 1)
     score = (
         F.lit(70)
@@ -38,7 +41,7 @@ def syntax_check(email: Column | str) -> Column:
     status = F.when(score >= 80, "valid").when(score >= 50, "risky").otherwise("invalid")
     reason = F.when(score >= 80, "Valid email format").otherwise("Needs verification")
     return (
-        F.when(text_or_empty(email) == "", _verdict(0, "invalid", "Invalid input"))
+        F.when(e == "", _verdict(0, "invalid", "Invalid input"))
         .when(~e.rlike(f"^{R.EMAIL_PATTERN}$"), _verdict(0, "invalid", "Invalid email format"))
         .when(e.rlike(ROLE_ADDRESS), _verdict(20, "risky", "Generic or placeholder email"))
         .when(domain.rlike(DISPOSABLE), _verdict(10, "risky", "Disposable email domain"))
@@ -190,25 +193,22 @@ def email_from_template(name: Column | str, template: Column | str, website: Col
     """Fill ``{firstname}``-style templates for a person; NULL when name or result is not usable."""
     from leadloom.functions.url import url_host
 
-    bare = strip_honorific(name)
-    parts = F.split(bare, r"\s+")
-
-    def letters(c: Column) -> Column:
-        return F.regexp_replace(F.lower(c), "[^a-z]", "")
-
-    first, last = letters(parts[0]), letters(F.element_at(parts, -1))
-    values = {
-        "firstinitial": F.substring(first, 1, 1), "lastinitial": F.substring(last, 1, 1),
-        "firstname": first, "lastname": last,
-    }
-    out = col(template)
-    for word, value in values.items():
-        out = F.regexp_replace(out, F.lit(r"(?i)\{?" + word + r"\}?"), value)
-    out = F.lower(out)
-    out = F.when(out.contains("@"), out).otherwise(F.concat(out, F.lit("@"), url_host(website)))
-    ok = (
-        (F.size(parts) >= 2) & (F.length(first) >= 2) & (F.length(last) >= 2)
-        & bare.rlike(r"^[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+") & ~bare.rlike(NAME_IS_COPY)
-        & out.rlike(f"^{R.EMAIL_PATTERN}$") & url_host(website).isNotNull()
-    )
-    return F.when(ok, out)
+    def fill(first: Column, last: Column) -> Column:
+        values = {
+            "firstinitial": F.substring(first, 1, 1), "lastinitial": F.substring(last, 1, 1),
+            "firstname": first, "lastname": last,
+        }
+        out = col(template)
+        for word, value in values.items():
+            out = F.regexp_replace(out, F.lit(r"(?i)\{?" + word + r"\}?"), value)
+        return F.lower(out)
+
+    def address(bare: Column) -> Column:
+        words = F.transform(F.split(bare, r"\s+"), lambda w: F.regexp_replace(F.lower(w), "[^a-z]", ""))
+        named = bare.rlike(r"^[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+") & ~bare.rlike(NAME_IS_COPY)
+        made = let(words, lambda p: F.when(
+            (F.size(p) >= 2) & (F.length(p[0]) >= 2) & (F.length(F.element_at(p, -1)) >= 2), fill(p[0], F.element_at(p, -1))))
+        whole = let(made, lambda m: F.when(m.contains("@"), m).otherwise(F.concat(m, F.lit("@"), url_host(website))))
+        return let(whole, lambda w: F.when(named & w.rlike(f"^{R.EMAIL_PATTERN}$"), w))
+
+    return F.when(url_host(website).isNotNull(), let(strip_honorific(name), address))

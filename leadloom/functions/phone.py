@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from leadloom import refdata as R
-from leadloom.functions.text import all_groups, col, literal_lower_map, text_or_empty
+from leadloom.functions.text import all_groups, col, let, literal_lower_map, text_or_empty
 from leadloom.functions.url import url_host
 
 
@@ -23,9 +23,12 @@ def digits(phone: Column | str) -> Column:
 
 def format_phone(phone: Column | str, country: Column | str | None = None) -> Column:
     """Digits with '+' and, where missing, the dial code of the default country."""
-    d = digits(phone)
     c = F.lower(col(country)) if country is not None else F.lit(None).cast("string")
     code = F.try_element_at(literal_lower_map(R.DIAL_CODES), F.coalesce(c, F.lit("")))
+    return let(digits(phone), lambda d: let(code, lambda k: _prefixed(d, c, k)))
+
+
+def _prefixed(d: Column, c: Column, code: Column) -> Column:
     plus = F.concat(F.lit("+"), d)
     return (
         F.when(d.startswith("+"), d)
@@ -38,9 +41,9 @@ def format_phone(phone: Column | str, country: Column | str | None = None) -> Co
 
 def phone_country(formatted: Column | str, country: Column | str | None = None) -> Column:
     """Country of the longest dial code the number starts with, 'Unknown' when none."""
-    d = digits(formatted)
     table = R.literal_map(_country_by_code())
-    found = F.coalesce(*[F.try_element_at(table, F.substring(d, 1, n)) for n in (4, 3, 2)], F.lit("Unknown"))
+    found = let(digits(formatted), lambda d: F.coalesce(
+        *[F.try_element_at(table, F.substring(d, 1, n)) for n in (4, 3, 2)], F.lit("Unknown")))
     if country is None:
         return found
     return F.when((found == "US") & (F.lower(text_or_empty(country)) == "ca"), "CA").otherwise(found)
@@ -102,7 +105,9 @@ def extract_phones(html: Column | str, url: Column | str, country: Column | str
     default = host_country(url) if country is None else F.coalesce(F.lower(col(country)), host_country(url))
 
     def row(d: Column) -> Column:
-        f = format_phone(d, default)
+        return let(format_phone(d, default), lambda f: described(d, f))
+
+    def described(d: Column, f: Column) -> Column:
         return F.struct(
             f.alias("phone"), phone_country(f, default).alias("country"), f.alias("formatted"),
             F.lit("website").alias("source"),

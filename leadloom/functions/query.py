@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from leadloom import refdata as R
-from leadloom.functions.text import alternation, col, fold_accents, has_any, null_if_empty, text_or_empty, words_of
+from leadloom.functions.text import alternation, col, fold_accents, has_any, let, null_if_empty, text_or_empty, words_of
 
 PLACE_AFTER = r"(?i)^.*\b(?:in|at|near|around|within|from)\s+([A-Za-z][A-Za-z\s]*)"
 
@@ -45,7 +45,10 @@ def _plain(words: list[str]) -> list[str]:
 
 def concept(query: Column | str) -> Column:
     """Business concept whose label, else whose hint, the query contains."""
-    q = fold_accents(query)
+    return let(fold_accents(query), _concept)
+
+
+def _concept(q: Column) -> Column:
     ladder = F.when(F.lit(False), F.lit(None).cast("string"))
     for name, labels, _ in R.CONCEPTS:
         ladder = ladder.when(has_any(q, _plain(labels)), F.lit(name))
@@ -62,8 +65,12 @@ def locale(country: Column | str) -> Column:
 
 def expansions(query: Column | str, country: Column | str, limit: int = 8) -> Column:
     """Query, concept labels, locale labels, plurals, then accent-free forms; distinct, first ``limit``."""
-    q = text_or_empty(query)
-    which, loc = concept(q), locale(country)
+    terms = let(concept(query), lambda which: let(locale(country), lambda loc: _terms(text_or_empty(query), which, loc)))
+    folded = let(terms, lambda t: F.array_distinct(F.concat(t, F.transform(t, lambda x: fold_accents(x)))))
+    return F.slice(folded, 1, limit)
+
+
+def _terms(q: Column, which: Column, loc: Column) -> Column:
     none = F.array().cast("array<string>")
     extra = F.when(F.lit(False), none)
     for name, labels, by_locale in R.CONCEPTS:
@@ -72,10 +79,12 @@ def expansions(query: Column | str, country: Column | str, limit: int = 8) -> Co
             extra = extra.when((which == name) & (loc == code), R.literal_array(words))
         extra = extra.when(which == name, R.literal_array(labels))
     base = F.array_distinct(F.concat(F.array(q), F.coalesce(extra, none)))
-    plurals = F.when(which.isNotNull(),
-                     F.transform(F.filter(base, lambda t: ~t.endswith("s")), lambda t: F.concat(t, F.lit("s"))))
-    terms = F.array_distinct(F.concat(base, F.coalesce(plurals, none)))
-    return F.slice(F.array_distinct(F.concat(terms, F.transform(terms, fold_accents))), 1, limit)
+
+    def with_plurals(terms: Column) -> Column:
+        plurals = F.transform(F.filter(terms, lambda t: ~t.endswith("s")), lambda t: F.concat(t, F.lit("s")))
+        return F.array_distinct(F.concat(terms, F.when(which.isNotNull(), plurals).otherwise(none)))
+
+    return let(base, with_plurals)
 
 
 def category_terms(query: Column | str, country: Column | str) -> Column:
@@ -88,9 +97,11 @@ def category_terms(query: Column | str, country: Column | str) -> Column:
         words = (F.when(loc == "es", R.literal_array(common + spanish))
                  .when(loc == "pt", R.literal_array(common + portuguese)).otherwise(R.literal_array(common)))
         parts.append(F.when(has_any(q, triggers), words).otherwise(none))
-    terms = F.concat(*parts)
-    keys = F.transform(terms, lambda t: F.lower(t))
-    return F.filter(terms, lambda t, i: F.array_position(keys, F.lower(t)) == i + 1)
+    def first_of_each(terms: Column) -> Column:
+        keys = F.transform(terms, lambda t: F.lower(t))
+        return let(keys, lambda k: F.filter(terms, lambda t, i: F.array_position(k, F.lower(t)) == i + 1))
+
+    return let(F.concat(*parts), first_of_each)
 
 
 def search_phrase(query: Column | str, country: Column | str, location: Column | str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -60,9 +61,12 @@ def collapse_spaces(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-def squote(s: str) -> str:
-    """A SQL string literal."""
-    return "'" + s.replace("'", "''") + "'"
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` mentions it.
+
+    Keeps plans and generated code small where a rule reads a derived text many times.
+    """
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
 
 
 def literal_lower_map(pairs: dict[str, str]) -> Column:

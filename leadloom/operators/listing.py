@@ -13,23 +13,21 @@ from leadloom.operators.skew import bucketed_rank, top_per_key
 SHARE_FLAGS = ("share_searches", "share_leads", "share_templates")
 
 
-def visible_searches(viewers: DataFrame, searches: DataFrame, users: DataFrame, companies: DataFrame, share: str) -> DataFrame:
-    """(viewer_id, search_id) pairs: searches of the whole company where the flag is set, else own ones.
+def visible_searches(viewer_id: int, searches: DataFrame, users: DataFrame, companies: DataFrame, share: str) -> DataFrame:
+    """Searches one viewer may see: those of the whole company where the flag ``share`` is set, else the own ones.
 
-    ``viewers``: ``viewer_id``. People without a company see nothing.
+    People without a company see nothing. The viewer is one row; colleagues meet searches on the user id.
     """
-    member = users.filter("company_id IS NOT NULL").select("user_id", "company_id")
-    v = viewers.join(member, F.col("viewer_id") == F.col("user_id")).select("viewer_id", "company_id").join(
-        companies.select("company_id", F.col(share).alias("shared")), "company_id")
-    open_to = v.filter("shared").select("viewer_id", "company_id").join(member, "company_id").select("viewer_id", "user_id")
-    own = v.filter("NOT coalesce(shared, false)").select("viewer_id", F.col("viewer_id").alias("user_id"))
-    return open_to.unionByName(own).join(searches.select("search_id", "user_id"), "user_id").select("viewer_id", "search_id")
+    viewer = users.filter((F.col("user_id") == viewer_id) & F.col("company_id").isNotNull()).select("company_id").join(
+        companies.select("company_id", F.coalesce(F.col(share), F.lit(False)).alias("shared")), "company_id")
+    seen_users = users.select("user_id", "company_id").join(viewer, "company_id").filter(
+        F.col("shared") | (F.col("user_id") == viewer_id)).select("user_id")
+    return searches.select("search_id", "user_id").join(seen_users, "user_id", "left_semi").select("search_id")
 
 
 def visible_to(table: DataFrame, viewer_id: int, searches: DataFrame, users: DataFrame, companies: DataFrame, share: str) -> DataFrame:
     """Rows of a table with ``search_id`` that one viewer may see."""
-    viewer = users.filter(F.col("user_id") == viewer_id).select(F.col("user_id").alias("viewer_id"))
-    ids = visible_searches(viewer, searches, users, companies, share).select("search_id")
+    ids = visible_searches(viewer_id, searches, users, companies, share)
     return table.join(ids, "search_id", "left_semi").select(*table.columns)
 
 

@@ -8,7 +8,7 @@ from leadloom import refdata as R
 from leadloom.functions import domain as D, nodes as N
 from leadloom.functions.company import cleaned_aggregator_title, employee_count, employee_range, founded_year, profile_name
 from leadloom.functions.phone import extract_phones, strip_code
-from leadloom.functions.text import all_groups, alternation, col, has_any, null_if_empty, text_or_empty
+from leadloom.functions.text import all_groups, alternation, col, has_any, let, null_if_empty, text_or_empty
 from leadloom.functions.url import absolute_url, url_host, url_origin, url_path
 from leadloom.operators.results import external_host
 from leadloom.operators.skew import first_per_key, top_per_key
@@ -432,8 +432,9 @@ def expand_directories(pages: DataFrame, result_count: Column | int = 50) -> Dat
     is_link = lambda n: (n["tag"] == "a") & N.attr(n, "href").rlike("^\\s*http")
 
     def from_container(box: Column) -> Column:
-        within = N.inside(box)
-        a = N.first(is_link, within)
+        return let(N.inside(box), lambda within: let(N.first(is_link, within), lambda a: described(box, within, a)))
+
+    def described(box: Column, within: Column, a: Column) -> Column:
         heading = N.first(N.any_of(N.has_tag("h1", "h2", "h3", "h4"), N.has_class("title"), N.class_contains("name")), within)
         href = F.trim(N.attr(a, "href"))
         return F.struct(

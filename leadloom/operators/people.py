@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from leadloom import refdata as R
 from leadloom.functions import nodes as N
 from leadloom.functions.person import first_email_for, is_person_name, is_search_person_name
-from leadloom.functions.text import all_groups, null_if_empty, text_or_empty
+from leadloom.functions.text import all_groups, let, null_if_empty, text_or_empty
 from leadloom.functions.title import title_relevance
 from leadloom.functions.url import url_host, url_path
 from leadloom.operators.pages import ld_bodies, ld_items, visible_text
@@ -71,7 +71,8 @@ def jsonld_people(pages: DataFrame) -> DataFrame:
 
 def _first_text(rules: list, nodes: Column, ok) -> Column:
     """Text of the first rule whose first node passes ``ok``."""
-    return F.coalesce(*[F.when(ok(N.text_of(N.first(r, nodes))), N.text_of(N.first(r, nodes))) for r in rules])
+    texts = F.array(*[N.text_of(N.first(r, nodes)) for r in rules])
+    return F.get(F.filter(texts, lambda t: ok(t)), F.lit(0))
 
 
 ABOUT_PATH = r"about|team|leadership|management|founders|executives|staff|people|directors"
@@ -84,7 +85,9 @@ TITLE_WORD = (
 
 def microdata_people() -> Column:
     def one(e: Column) -> Column:
-        within = N.inside(e)
+        return let(N.inside(e), described)
+
+    def described(within: Column) -> Column:
         name = F.coalesce(null_if_empty(N.text_of(N.first(N.attr_is("itemprop", "name"), within))),
                           N.text_of(N.first(N.has_tag("h2", "h3", "h4"), within)))
         title = F.coalesce(null_if_empty(N.text_of(N.first(N.attr_is("itemprop", "jobTitle"), within))),
@@ -109,7 +112,9 @@ def team_card_people() -> Column:
         N.count(N.any_of(N.has_class(*CARD_MARKS), N.has_attr("data-team-member"))) > 0)
 
     def one(e: Column) -> Column:
-        within = N.inside(e)
+        return let(N.inside(e), lambda within: described(e, within))
+
+    def described(e: Column, within: Column) -> Column:
         name = F.coalesce(
             _first_text([N.has_class("name"), N.has_class("person-name"), N.has_class("member-name"), N.has_attr("data-name"),
                          N.has_tag("h3"), N.has_tag("h4")], within, is_person_name),
@@ -121,8 +126,7 @@ def team_card_people() -> Column:
         return _struct(name, title, 0.85, "website", 3)
 
     cards = N.select(N.any_of(N.has_class(*CARD_CLASSES), N.has_attr("data-team-member", "data-person")))
-    empty = F.filter(F.transform(cards, one), lambda p: F.lit(False))
-    return F.when(relevant, F.transform(cards, one)).otherwise(empty)
+    return F.when(relevant, F.transform(cards, one)).otherwise(F.array().cast(f"array<{RULE_PERSON}>"))
 
 
 def title_case_free(titles: str) -> str:
@@ -176,14 +180,18 @@ def page_executives(pages: DataFrame) -> DataFrame:
     read = read_nodes(pages.select("page_id", "url", "html"))
 
     def block(e: Column) -> Column:
-        within = N.inside(e)
+        return let(N.inside(e), block_person)
+
+    def block_person(within: Column) -> Column:
         name = N.text_of(N.first(N.any_of(N.has_tag("h2", "h3"), N.has_class("name")), within))
         title = N.text_of(N.first(N.any_of(N.has_tag("h4"), N.has_class("title", "role", "position")), within))
         return F.struct(name.alias("name"), title.alias("title"), F.lit(0.85).alias("confidence"),
                         ((F.length(name) > 3) & (F.length(title) > 2)).alias("ok"))
 
     def line(e: Column) -> Column:
-        t = F.regexp_replace(N.text_of(e), r"\s+", " ")
+        return let(F.regexp_replace(N.text_of(e), r"\s+", " "), line_person)
+
+    def line_person(t: Column) -> Column:
         name, title = F.trim(F.regexp_extract(t, DASH_NAME, 1)), F.trim(F.regexp_extract(t, DASH_NAME, 2))
         return F.struct(name.alias("name"), title.alias("title"), F.lit(0.65).alias("confidence"),
                         ((name != "") & (title != "")).alias("ok"))

@@ -14,7 +14,8 @@ from leadloom.sources.html_nodes import read_nodes
 
 
 def provider_rank(provider: Column | str = "provider") -> Column:
-    return F.array_position(R.literal_array(R.PROVIDER_ORDER), provider)
+    c = F.col(provider) if isinstance(provider, str) else provider
+    return F.array_position(R.literal_array(R.PROVIDER_ORDER), c).cast("int")
 
 
 def merge_providers(results: DataFrame, limit: int | None = None) -> DataFrame:

@@ -91,23 +91,24 @@ def bucketed_lag(
 
 
 def bucketed_running(df: DataFrame, keys: list[str], order: str, value: str, width: int) -> DataFrame:
-    """Running sum and running minimum of the sum per key as ``run_sum`` and ``run_min``.
+    """Running sum and its running minimum per key: ``run_sum``, ``run_min``, and the minimum before the row.
 
     ``order`` is an integer unique within the key, so a bucket holds at most ``width`` rows. A bucket hands on its
     sum and its lowest inner sum; both compose from left to right.
     """
     b = df.withColumn("__b", F.floor(F.col(order) / width))
-    inside_w = W.partitionBy(*keys, "__b").orderBy(order)
-    inner = b.withColumn("__s", F.sum(value).over(inside_w)).withColumn("__m", F.min("__s").over(inside_w))
-    parts = inner.groupBy(*keys, "__b").agg(
-        F.sum(value).alias("__sum"), F.min("__s").alias("__low"))
+    w = W.partitionBy(*keys, "__b").orderBy(order)
+    inner = b.withColumn("__s", F.sum(value).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    inner = inner.withColumn("__m", F.min("__s").over(w.rowsBetween(W.unboundedPreceding, -1)))
+    parts = inner.groupBy(*keys, "__b").agg(F.sum(value).alias("__sum"), F.min("__s").alias("__low"))
     before = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.withColumn("__off", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
     parts = parts.withColumn("__low_before", F.min(F.col("__off") + F.col("__low")).over(before))
     joined = inner.join(parts.select(*keys, "__b", "__off", "__low_before"), [*keys, "__b"])
+    run_sum, low_before = F.col("__off") + F.col("__s"), F.least("__low_before", F.col("__off") + F.col("__m"))
     return joined.select(
-        *df.columns, (F.col("__off") + F.col("__s")).alias("run_sum"),
-        F.least(F.col("__low_before"), F.col("__off") + F.col("__m")).alias("run_min"))
+        *df.columns, run_sum.alias("run_sum"), F.least(low_before, run_sum).alias("run_min"),
+        low_before.alias("run_min_before"))
 
 
 def lookup_per_key(df: DataFrame, table: DataFrame, keys: list[str], hot_share: int = HOT_SHARE) -> DataFrame:

@@ -113,9 +113,9 @@ def country_aliases(country: Column) -> Column:
 
 
 def nominatim_places(dumps: DataFrame) -> DataFrame:
-    """Places of all search terms of a search, the first of each map object."""
+    """Places of all search terms of a search, the first of each map object. Needs a column ``terms``."""
     rows = dumps.select(
-        "search_id", "query", "country", "location", "payload_no",
+        "search_id", "query", "country", "location", "payload_no", "terms",
         F.posexplode(F.from_json("payload", f"array<{PLACE}>")).alias("i", "place"))
     rows = rows.withColumn(
         "object", F.concat_ws(":", text_or_empty(F.col("place.osm_type")), text_or_empty(F.col("place.osm_id"))))
@@ -124,12 +124,12 @@ def nominatim_places(dumps: DataFrame) -> DataFrame:
     return first.withColumn("place", F.from_json("place", PLACE))
 
 
-def is_wanted_place(terms: Column) -> Column:
+def is_wanted_place() -> Column:
     """Business place that fits the search: no water or land, right place and country, no bare street, right intent.
 
-    Over columns ``query, country, location, place``; ``terms`` are the expanded search terms (may be empty).
+    Over columns ``query, country, location, place`` and ``terms``, the expanded search terms (may be empty).
     """
-    p = F.col("place")
+    p, terms = F.col("place"), F.col("terms")
     website = F.coalesce(_tag(p["extratags"], "website", "url"), F.lit(""))
     name_all = text_or_empty(p["display_name"])
     shown = F.lower(name_all)
@@ -175,7 +175,7 @@ def is_wanted_place(terms: Column) -> Column:
 def nominatim_results(dumps: DataFrame, terms: Column | None = None) -> DataFrame:
     """Wanted places as results; places without a site link to a search for name and address."""
     none = F.array().cast("array<string>")
-    places = nominatim_places(dumps).filter(is_wanted_place(none if terms is None else terms))
+    places = nominatim_places(dumps.withColumn("terms", none if terms is None else terms)).filter(is_wanted_place())
     p = F.col("place")
     addr = p["address"]
     website = _with_scheme(_tag(p["extratags"], "website", "url"))
