@@ -17,6 +17,7 @@ from leadloom.functions.text import filled, null_if_empty, text_or_empty
 from leadloom.functions.title import enrich_people
 from leadloom.functions.url import bare_domain, careers_path, is_query_link, url_host
 from leadloom.operators.skew import lookup_per_key
+from leadloom.session import checkpointed
 
 UNKNOWN = ("unknown business", "unknown company")
 
@@ -82,7 +83,8 @@ def build_leads(results: DataFrame, contacts: DataFrame, people: DataFrame, sear
     """Leads from results, page contacts (by URL), people (by site) and searches, with all lead gates applied.
 
     ``results``: search-result rows with ``lead_id``; ``contacts``: output of ``extract_contacts``; ``people``: output of
-    ``site_people``; ``sites``: output of ``classify_sites``. Cheap filters run before the joins.
+    ``site_people``; ``sites``: output of ``classify_sites``. These come from HTML and are read more than once here, so
+    hand them over as tables or checkpointed. Cheap filters run before the joins.
     """
     r = results.filter(~D.is_social_url("link") & ~D.is_article("title", "link") & ~D.is_directory_site("link", "title"))
     c = contacts.select(*[F.col(x).alias("x_" + x) for x in contacts.columns if x not in ("page_id", "url")],
@@ -113,7 +115,8 @@ def build_leads(results: DataFrame, contacts: DataFrame, people: DataFrame, sear
     j = j.withColumn("site", bare_domain("website"))
     grouped = people.groupBy("site").agg(F.array_sort(F.collect_list(
         F.struct("source_rank", "pos", "name", "title", "email", "source", "confidence"))).alias("found"))
-    j = lookup_per_key(j, grouped, ["site"])  # at most twelve people per site
+    # the gates above run once; at most twelve people per site
+    j = lookup_per_key(checkpointed(j), grouped, ["site"])
     none_person = F.array().cast(f"array<{S.PERSON}>")
     makers = F.transform("found", lambda p: F.struct(
         p["name"].alias("name"), p["title"].alias("title"), F.lit(None).cast("string").alias("normalized_title"),

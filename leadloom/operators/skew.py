@@ -2,8 +2,8 @@
 
 * ``first_per_key`` is an aggregate, so every task reduces its own rows first.
 * ``top_per_key`` is a rank filter, which Spark cuts per task before the shuffle.
-* ``attach_per_key`` looks one value per key up; keys above a share of all rows go through a broadcast of a
-  bounded size, and their rows are scattered instead of meeting in one task.
+* ``attach_per_key`` and ``lookup_per_key`` look one value per key up; the keys with most rows go through a broadcast
+  of fixed size, and their rows are scattered instead of meeting in one task.
 * ``bucketed_rank``, ``bucketed_lag`` and ``bucketed_running`` cut a group into ordered buckets, work inside the
   buckets and add what earlier buckets contribute.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-HOT_SHARE = 1000  # a key is hot above 1/1000 of all rows, hence at most 1000 hot keys
+HOT_KEYS = 1000
 SCATTER = 4096
 
 
@@ -31,27 +31,40 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, ran
     return out if rank else out.drop(name)
 
 
-def attach_per_key(
-    df: DataFrame, keyed: DataFrame, keys: list[str], count: str, hot_share: int = HOT_SHARE
-) -> DataFrame:
+def attach_per_key(df: DataFrame, keyed: DataFrame, keys: list[str], count: str) -> DataFrame:
     """Left join ``df`` with ``keyed`` (one row per key, ``count`` = rows of the key in ``df``).
 
-    Hot keys hold more than 1/``hot_share`` of the rows, so there are fewer than ``hot_share`` of them and the
-    broadcast side has that bound whatever the data size. Rows without a key get NULLs.
+    The ``HOT_KEYS`` keys with most rows are broadcast: a fixed number of rows whatever the data size. Every other key
+    holds less than 1/HOT_KEYS of the rows and meets its value in a normal shuffle. Rows without a key get NULLs.
     """
     values = [c for c in keyed.columns if c not in keys and c != count]
-    total = keyed.agg(F.sum(count).alias("t")).select("t").scalar()
-    hot = keyed.filter(F.col(count) * hot_share > total)
-    hot = hot.select(*keys, F.struct(*values).alias("__hot"), F.lit(True).alias("__is_hot"))
-    left = df.join(F.broadcast(hot), keys, "left")
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(SCATTER)).cast("int") + 1
-    no_key = F.lit(False)
+    packed = keyed.dropna(subset=keys).select(*keys, F.struct(*values, count).alias("__value"))
+    hot = packed.orderBy(F.desc(f"__value.{count}"), *keys).limit(HOT_KEYS).withColumnRenamed("__value", "__hot")
+    return _scatter_join(df, hot, packed.withColumnRenamed("__value", "__cold"), keys, values)
+
+
+def lookup_per_key(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join ``df`` with ``table`` (at most one row per key) in the same way; the hot keys are those of ``df``."""
+    values = [c for c in table.columns if c not in keys]
+    top = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), *keys).limit(HOT_KEYS).select(*keys)
+    packed = table.select(*keys, F.struct(*values).alias("__cold"))
+    present = packed.join(F.broadcast(top), keys, "left_semi").withColumnRenamed("__cold", "__hot")
+    hot = top.join(present, keys, "left")
+    return _scatter_join(df, hot, packed, keys, values)
+
+
+def _scatter_join(df: DataFrame, hot: DataFrame, cold: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Rows with a hot key take their value from the broadcast side and then go to any task, the others join ``cold``."""
+    left = df.join(F.broadcast(hot.withColumn("__is_hot", F.lit(True))), keys, "left")
+    elsewhere = F.col("__is_hot")
     for k in keys:
-        no_key = no_key | F.col(k).isNull()
-    left = left.withColumn("__slot", F.when(F.col("__is_hot") | no_key, spread).otherwise(0))
-    cold = keyed.select(*keys, F.struct(*values).alias("__cold"), F.lit(0).alias("__slot"))
-    joined = left.join(cold, [*keys, "__slot"], "left")
-    found = F.coalesce(F.col("__hot"), F.col("__cold"))
+        elsewhere = elsewhere | F.col(k).isNull()
+    spread = F.pmod(F.xxhash64(*df.columns), F.lit(SCATTER)).cast("int") + 1
+    left = left.withColumn("__slot", F.when(F.coalesce(elsewhere, F.lit(False)), spread).otherwise(0))
+    # always 0, but no constant: the optimizer would take a constant out of the join key and hot rows would meet again
+    zero = F.pmod(F.xxhash64(*keys), F.lit(1)).cast("int")
+    joined = left.join(cold.withColumn("__slot", zero), [*keys, "__slot"], "left")
+    found = F.coalesce("__hot", "__cold")
     return joined.select(*df.columns, *[found[v].alias(v) for v in values])
 
 
@@ -109,9 +122,3 @@ def bucketed_running(df: DataFrame, keys: list[str], order: str, value: str, wid
     return joined.select(
         *df.columns, run_sum.alias("run_sum"), F.least(low_before, run_sum).alias("run_min"),
         low_before.alias("run_min_before"))
-
-
-def lookup_per_key(df: DataFrame, table: DataFrame, keys: list[str], hot_share: int = HOT_SHARE) -> DataFrame:
-    """Left join ``df`` with ``table`` (at most one row per key), spreading the hot keys of ``df``."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    return attach_per_key(df, counts.join(table, keys, "left"), keys, "__rows", hot_share)

@@ -89,11 +89,13 @@ def mark_duplicates(spark, sf):
 
 
 @query(with_views(("v_leads",), """
-SELECT DISTINCT a.name AS new_name, b.name AS old_name FROM (SELECT DISTINCT lower(company_name) AS name FROM v_leads) a JOIN (SELECT DISTINCT lower(company_name) AS name FROM v_leads) b
-ON contains(b.name, a.name) AND a.name <> b.name AND length(a.name) > 3 AND length(a.name) / length(b.name) > 0.85"""))
+SELECT a.name AS new_name, b.name AS old_name FROM names a JOIN names b
+ON contains(b.name, a.name) AND a.name <> b.name AND length(a.name) > 3 AND length(a.name) / length(b.name) > 0.85""",
+    """names AS (SELECT DISTINCT lower(company_name) AS name FROM v_leads UNION SELECT DISTINCT 'a' || lower(company_name) || 's' FROM v_leads)"""))
 def contained_names(spark, sf):
-    names = view(spark, sf, "v_leads").select(F.lower("company_name").alias("name")).distinct()
-    return dedup.name_matches(names, []).select("new_name", "old_name")
+    plain = view(spark, sf, "v_leads").select(F.lower("company_name").alias("name"))
+    longer = plain.select(F.concat(F.lit("a"), "name", F.lit("s")).alias("name"))
+    return dedup.name_matches(plain.union(longer).distinct(), []).select("new_name", "old_name")
 
 
 _TEXT = """SELECT s_suppkey AS id, CASE s_suppkey % 6 WHEN 0 THEN 'We have ' || CAST(s_suppkey * 7 AS STRING) || ' employees' WHEN 1 THEN '1,2' || CAST(10 + s_suppkey % 89 AS STRING) || ' people'
