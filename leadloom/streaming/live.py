@@ -81,11 +81,11 @@ def accepted_positions(times: list[float], last: float | None, seconds: float) -
     return out, last
 
 
-def suppress_repeats(events: DataFrame, keys: list[str], seconds: float = 2.0, at: str = "ts") -> DataFrame:
+def suppress_repeats(events: DataFrame, keys: list[str], seconds: float = 2.0, at: str = "ts", delay: str = "1 hour") -> DataFrame:
     """Submissions with the flag ``accepted``: one of the same key within ``seconds`` of the last accepted is not.
 
-    State is one time per key, dropped an hour after the last submission. Input of a key comes in order of time from
-    batch to batch; inside a batch it is sorted.
+    State is one time per key and is dropped once the watermark has passed it by ``seconds``. Input of a key comes in
+    order of time from batch to batch; inside a batch it is sorted.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
 
@@ -98,11 +98,11 @@ def suppress_repeats(events: DataFrame, keys: list[str], seconds: float = 2.0, a
         micros = rows[at].astype("datetime64[us]").astype("int64")
         flags, last = accepted_positions((micros / 1e6).tolist(), last, seconds)
         state.update((last,))
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutTimestamp(max(int((last + seconds) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         yield rows.assign(accepted=flags)
 
-    return events.groupBy(*keys).applyInPandasWithState(
-        run, f"{schema}, accepted boolean", "last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark(at, delay).groupBy(*keys).applyInPandasWithState(
+        run, f"{schema}, accepted boolean", "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stall_alerts(progress: DataFrame, seconds: float = 30.0) -> DataFrame:
