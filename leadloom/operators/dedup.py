@@ -147,9 +147,9 @@ def _segments(edits: Column, name: Column) -> Column:
 def similar_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs (name, other, similarity) with similarity >= 0.85, for distinct non-empty names on both sides.
 
-    Two names within k edits agree on one of k+1 segments of the indexed name, at a place shifted by at most k
-    and at one of the lengths within k. The join key is (length, k, segment, text); names of up to six characters
-    have k = 0 and meet by equality through the same key.
+    Two names within k edits agree on one of k+1 segments of the indexed name, at a place moved no further than the
+    edits before or after it allow. The join key is (length, k, segment, text); names of up to six characters have
+    k = 0 and meet by equality through the same key.
     """
     n = F.length("other")
     # the longer of a pair has length between len(other) and len(other)/0.85, hence this range of k
@@ -166,8 +166,11 @@ def similar_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     start = F.floor(F.col("len") * F.col("seg") / (F.col("k") + 1)).cast("int")
     stop = F.floor(F.col("len") * (F.col("seg") + 1) / (F.col("k") + 1)).cast("int")
     probe = probe.withColumn("start", start).withColumn("size", stop - start)
-    places = F.filter(F.sequence(F.col("start") - F.col("k"), F.col("start") + F.col("k")),
-                      lambda i: (i >= 0) & (i + F.col("size") <= F.col("m")))
+    # with j segments before this one and k - j after it, at most as many edits can have moved it on either side
+    shift, after = F.col("m") - F.col("len"), F.col("k") - F.col("seg")
+    low = F.greatest(F.col("start") - F.col("seg"), F.col("start") + shift - after, F.lit(0))
+    high = F.least(F.col("start") + F.col("seg"), F.col("start") + shift + after, F.col("m") - F.col("size"))
+    places = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
     texts = F.array_distinct(F.transform(places, lambda i: F.substr(F.col("name"), i + 1, F.col("size"))))
     probe = probe.select("name", "len", "k", "seg", F.explode(texts).alias("text"))
     near = indexed.join(probe, ["len", "k", "seg", "text"]).filter(

@@ -124,7 +124,7 @@ def neighbours(leads: DataFrame) -> DataFrame:
     at = sent.groupBy("search_id", "t.position").agg(*[
         F.max(F.when(F.col("t.role") == role, F.col("lead_id"))).alias(name)
         for role, name in ((0, "lead_id"), (-1, "previous_id"), (1, "next_id"))])
-    totals = ranked.groupBy("search_id").agg(F.count(F.lit(1)).alias("total"))
+    totals = leads.groupBy("search_id").agg(F.count(F.lit(1)).alias("total"))
     return at.filter("lead_id IS NOT NULL").join(totals, "search_id").select(
         "search_id", "lead_id", "previous_id", "next_id", "position", "total")
 

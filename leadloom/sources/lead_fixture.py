@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from leadloom import schemas as S
 from leadloom.functions.email import verify_emails
 from leadloom.functions.phone import format_phone, phone_country
+from leadloom.session import spread
 from leadloom.sources.fixtures import table, view
 
 
@@ -87,7 +88,8 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Driver pages and contact-rich site pages; the latter get ids above all others."""
     site = site_pages(spark, sf_dir).select((F.col("page_id") + 10_000_000).alias("page_id"), "url", "html")
-    return table(spark, sf_dir, "pages").select("page_id", "url", "html").unionByName(site)
+    crawl = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return spread(crawl, crawl, "page_id").unionByName(site)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
