@@ -59,7 +59,7 @@ def mark_duplicates(leads: DataFrame, rules: tuple[str, ...] = ("domain", "name"
     "Kept" depends on earlier decisions. Each round decides every lead whose earlier matches are settled: it is a
     duplicate as soon as one of them is kept, and kept when none is kept or open. Decisions only depend on earlier
     leads, so the result is that of the one-by-one pass. Groups are reduced to their first kept and first open lead,
-    so no round pairs the leads of a group.
+    so no round pairs the leads of a group. A round reads the open leads and those kept in the round before.
     """
     # an integer order per lead that compares like (created_at, lead_id)
     pos = F.struct(F.col("created_at"), F.col("lead_id"))
@@ -71,11 +71,16 @@ def mark_duplicates(leads: DataFrame, rules: tuple[str, ...] = ("domain", "name"
     rows = checkpointed(rows.withColumn("state", F.lit("open")))
     names = rows.filter("name IS NOT NULL").select("search_id", "name").distinct()
     edges = checkpointed(name_matches(names, ["search_id"]))
-    state = rows
+    active, settled = rows, None
     while True:
-        state = checkpointed(_round(state, edges))
-        if state.filter("state = 'open'").isEmpty():
+        decided = checkpointed(_round(active, edges))
+        done = decided.filter("state IN ('kept', 'duplicate')")
+        settled = done if settled is None else settled.unionByName(done)
+        # rows kept in earlier rounds were already compared with every row that is still open
+        active = decided.filter("state IN ('kept', 'open')")
+        if active.filter("state = 'open'").isEmpty():
             break
+    state = settled
     kept = F.when(F.col("state") == "kept", F.col("pos"))
     bests = _first_positions(state, edges, {"kept_pos": kept})
     first_domain, first_name = F.col("d_kept_pos"), F.col("n_kept_pos")
@@ -118,7 +123,7 @@ def _round(state: DataFrame, edges: DataFrame) -> DataFrame:
         return hit
 
     new_state = (
-        F.when(~is_open, F.col("state"))
+        F.when(~is_open, "done")
         .when(earlier("d_kept", "n_kept"), "duplicate")
         .when(~earlier("d_open", "n_open"), "kept")
         .otherwise("open"))
@@ -173,10 +178,18 @@ def similar_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     places = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
     texts = F.array_distinct(F.transform(places, lambda i: F.substr(F.col("name"), i + 1, F.col("size"))))
     probe = probe.select("name", "len", "k", "seg", F.explode(texts).alias("text"))
-    near = indexed.join(probe, ["len", "k", "seg", "text"]).filter(
-        F.levenshtein("name", "other") <= F.col("k"))
-    return near.select("name", "other").distinct().select("name", "other", similarity("name", "other").alias("similarity")).filter(
-        F.col("similarity") >= NAME_RATIO)
+    # a pair may meet in several segments; taking each once also spreads the pairs of a frequent segment over all tasks
+    near = indexed.join(probe, ["len", "k", "seg", "text"]).select("name", "other", "k").distinct()
+    return near.filter(_within("name", "other", F.col("k"))).select(
+        "name", "other", similarity("name", "other").alias("similarity")).filter(F.col("similarity") >= NAME_RATIO)
+
+
+def _within(a: str, b: str, k: Column) -> Column:
+    """Edit distance at most ``k``. The bounded form stops early; its bound must be a constant, so it goes by steps."""
+    steps = F.when(k == 0, F.when(F.col(a) == F.col(b), 0).otherwise(-1))
+    for bound in (2, 4, 8):
+        steps = steps.when(k <= bound, F.levenshtein(a, b, bound))
+    return steps.otherwise(F.levenshtein(a, b)).between(F.lit(0), k)
 
 
 def match_companies(names: DataFrame, companies: DataFrame, alternatives: int = 3) -> DataFrame:

@@ -44,16 +44,18 @@ def dedup_key() -> Column:
     return (
         F.when(is_place, place_key)
         .when(is_query_link("link"), named(snippet))
-        .when(url_host("link").isNotNull(), F.concat(F.lit("host:"), url_host("link"))))
+        .otherwise(F.concat(F.lit("host:"), url_host("link"))))
 
 
 def dedup_results(results: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """First result per search and key; results whose link is no URL always stay."""
+    """First result per search and key; results whose link is no URL always stay.
+
+    Those get a key of their own from ``order``, which is unique within a search.
+    """
     order = order or ["pos"]
-    keyed = results.withColumn("dedup_key", dedup_key())
-    loose = keyed.filter("dedup_key IS NULL").drop("dedup_key")
-    first = first_per_key(keyed.filter("dedup_key IS NOT NULL"), ["search_id", "dedup_key"], order)
-    return first.drop("dedup_key").unionByName(loose)
+    own = F.concat_ws(":", F.lit("row"), *order)
+    keyed = results.withColumn("dedup_key", F.coalesce(dedup_key(), own))
+    return first_per_key(keyed, ["search_id", "dedup_key"], order).drop("dedup_key")
 
 
 def split_batches(results: DataFrame, searches: DataFrame, order: list[str], initial: int = R.INITIAL_BATCH) -> DataFrame:

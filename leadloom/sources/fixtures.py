@@ -5,7 +5,7 @@ Every view is plain SQL that Spark and DuckDB read alike. ``{table}`` marks a dr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leadloom.session import spread
 
@@ -81,16 +81,18 @@ FROM {supplier} JOIN {nation} ON n_nationkey = s_nationkey
 """
 
 
-# what the extraction of an order's lead would have left behind, flat
-VIEWS["v_enrichment"] = r"""
-SELECT lead_id,
-       CASE lead_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'unknown' WHEN 2 THEN 'software' ELSE 'food' END AS industry,
-       CASE lead_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'micro' WHEN 2 THEN 'small' WHEN 3 THEN 'medium' ELSE 'large' END AS company_size,
-       CASE lead_id % 3 WHEN 0 THEN '{firstname}.{lastname}@c' || CAST(lead_id % 40 AS STRING) || '.com' WHEN 1 THEN '{firstinitial}{lastname}' ELSE NULL END AS email_pattern,
-       CASE WHEN lead_id % 6 = 0 THEN 'https://linkedin.com/company/c' || CAST(lead_id % 40 AS STRING) END AS linkedin_company_url,
-       CASE WHEN lead_id % 8 = 0 THEN CAST(lead_id % 1200 AS INT) END AS employee_count
-FROM (SELECT o_orderkey AS lead_id FROM {orders}) t
-"""
+# what enrichment would have returned for a lead, from its id alone
+ENRICHMENT = {
+    "industry": "CASE lead_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'unknown' WHEN 2 THEN 'software' ELSE 'food' END",
+    "company_size": "CASE lead_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'micro' WHEN 2 THEN 'small' WHEN 3 THEN 'medium' ELSE 'large' END",
+    "email_pattern": "CASE lead_id % 3 WHEN 0 THEN '{firstname}.{lastname}@c' || CAST(lead_id % 40 AS STRING) || '.com' "
+                     "WHEN 1 THEN '{firstinitial}{lastname}' ELSE NULL END",
+    "linkedin_company_url": "CASE WHEN lead_id % 6 = 0 THEN 'https://linkedin.com/company/c' || CAST(lead_id % 40 AS STRING) END",
+    "employee_count": "CASE WHEN lead_id % 8 = 0 THEN CAST(lead_id % 1200 AS INT) END",
+}
+VIEWS["v_enrichment"] = (
+    "SELECT lead_id, " + ", ".join(f"{sql} AS {name}" for name, sql in ENRICHMENT.items())
+    + " FROM (SELECT o_orderkey AS lead_id FROM {orders}) t")
 
 
 def _fill(sql: str, names: dict[str, str]) -> str:
@@ -107,16 +109,21 @@ def sql_for_duckdb(name: str) -> str:
     return _fill(VIEWS[name], {t: t for t in TABLES})
 
 
-# views whose rows go through costly rules: the table they start from and their key
-COSTLY = {"v_leads": ("orders", "lead_id"), "v_enrichment": ("orders", "lead_id"), "v_site_pages": ("supplier", "page_id")}
-
-
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name == "v_leads":
+        orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+        return spark.sql(VIEWS[name], orders=spread(orders, orders, "o_orderkey"), part=table(spark, sf_dir, "part"))
+    if name == "v_results":
+        orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+        return spark.sql(VIEWS[name], orders=spread(orders, orders, "o_orderkey"))
     df = spark.sql(sql_for_spark(name, sf_dir))
-    if name not in COSTLY:
-        return df
-    start, key = COSTLY[name]
-    return spread(df, table(spark, sf_dir, start), key)
+    # pages go through costly rules
+    return spread(df, table(spark, sf_dir, "supplier"), "page_id") if name == "v_site_pages" else df
+
+
+def with_enrichment(leads: DataFrame) -> DataFrame:
+    """Leads with the columns of ``v_enrichment``, which depend on the id alone."""
+    return leads.select("*", *[F.expr(sql).alias(name) for name, sql in ENRICHMENT.items()])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,12 +8,12 @@ from leadloom import schemas as S
 from leadloom.functions.email import verify_emails
 from leadloom.functions.phone import format_phone, phone_country
 from leadloom.session import spread
-from leadloom.sources.fixtures import table, view
+from leadloom.sources.fixtures import table, view, with_enrichment
 
 
 def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leads with one e-mail, phone and person each at most, joined with their flat enrichment."""
-    v = view(spark, sf_dir, "v_leads").join(view(spark, sf_dir, "v_enrichment"), "lead_id")
+    v = with_enrichment(view(spark, sf_dir, "v_leads"))
     c = F.col
 
     def one_if(present: Column, item: Column, ddl: str) -> Column:
