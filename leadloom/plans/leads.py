@@ -292,3 +292,11 @@ def lead_batch_job(spark, sf):
     return ranked.select("lead_id", "search_id", bare_domain("website").alias("domain"), "quality_score", "rank")
 
 
+
+
+@query(with_views(("v_leads", "v_searches", "v_users", "v_companies"), """
+SELECT l.lead_id, s.status, u.role, c.currency FROM v_leads l LEFT JOIN v_searches s ON s.search_id = l.search_id LEFT JOIN v_users u ON u.user_id = s.user_id LEFT JOIN v_companies c ON c.company_id = u.company_id"""))
+def lead_parents(spark, sf):
+    """Search, user and company of each lead."""
+    return tables.with_parents(L.leads(spark, sf).select("lead_id", "search_id"), L.searches(spark, sf), L.users(spark, sf), L.companies(spark, sf)).select(
+        "lead_id", "status", "role", "currency")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leadloom import schemas as S
+from leadloom.operators.skew import lookup_per_key
 
 TABLE_SCHEMAS = {
     "leads": S.LEADS, "searches": S.SEARCHES, "users": S.USERS, "companies": S.COMPANIES, "ledger": S.LEDGER,
@@ -33,6 +34,16 @@ def point_read(leads: DataFrame, searches: DataFrame, lead_id: int) -> DataFrame
     return lead.join(searches.select("search_id", "query", "country"), "search_id", "left")
 
 
+def with_parents(leads: DataFrame, searches: DataFrame, users: DataFrame, companies: DataFrame) -> DataFrame:
+    """Leads with their search, its user and the company of the user.
+
+    The parents are joined with each other first, so that leads move once; a search with most leads is spread.
+    """
+    owner = users.select("user_id", "company_id", "role").join(companies.select("company_id", "currency"), "company_id", "left")
+    parents = searches.select("search_id", "user_id", "status").join(owner, "user_id", "left")
+    return lookup_per_key(leads, parents, ["search_id"])
+
+
 def write_leads(leads: DataFrame, root: str) -> None:
     """Replace the leads of the searches present in ``leads``; other searches stay."""
     (leads.repartition("search_id", F.pmod(F.xxhash64("lead_id"), F.lit(16)))
