@@ -61,7 +61,7 @@ def mark_duplicates(leads: DataFrame, rules: tuple[str, ...] = ("domain", "name"
     leads, so the result is that of the one-by-one pass. Groups are reduced to their first kept and first open lead,
     so no round pairs the leads of a group. A round reads the open leads and those kept in the round before.
     """
-    # an integer order per lead that compares like (created_at, lead_id)
+    # compares like the order in which leads are taken
     pos = F.struct(F.col("created_at"), F.col("lead_id"))
     rows = leads.select(
         "lead_id", "search_id", pos.alias("pos"),
