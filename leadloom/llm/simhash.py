@@ -115,13 +115,14 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(a, b) between distinct fingerprints (column fp): enough links of at most ``MAX_BITS`` bits to connect all that
     are connected; every link but for crowded variants."""
     keyed = fps.select("fp", F.explode(variants(F.col("fp"))).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    keyed = stored(keyed.join(shared, "key"), "variants")
-    few = keyed.filter(F.col("n") <= crowd)
+    crowds = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > crowd), "crowds")
+    few, many = keyed, None
+    if not crowds.isEmpty():
+        few, many = keyed.join(crowds, "key", "left_anti"), _crowded_links(keyed.join(crowds, "key"), crowd)
     a, b = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
     pairs = a.join(b, "key").filter((F.col("a") < F.col("b")) & _linked(F.col("a"), F.col("b"))
                                     & (F.shiftright("key", 22) == _first_shared(F.col("a"), F.col("b")))).select("a", "b")
-    return pairs.unionByName(_crowded_links(keyed.filter(F.col("n") > crowd), crowd))
+    return pairs.unionByName(many) if many else pairs
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
