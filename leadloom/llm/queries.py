@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leadloom.llm import contamination, lines, simhash
+from leadloom.llm import contamination, lines, rules, simhash
 from leadloom.llm.shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,3 +50,30 @@ def op9_decontamination(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     found = docs.select("doc_id", contamination.summary(docs, read(spark, sf_dir, "benchmark")).alias("f"))
     return found.select("doc_id", "f.*", contamination.is_contaminated(F.col("f")).alias("contaminated"))
+
+
+def _threshold_sql() -> str:
+    parts = ["TRUE"]
+    for r in rules.RULES:
+        parts += [f"({r.base} = 0 OR {r.top} >= {r.low} * {r.base})"] * (r.low is not None)
+        parts += [f"({r.base} = 0 OR {r.top} <= {r.high} * {r.base})"] * (r.high is not None)
+    return " AND ".join(parts)
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+     w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+                  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+     g AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
+     r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM g) WHERE n > 1),
+     c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM r) GROUP BY doc_id),
+     m AS (SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+                  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+                  coalesce(c.n, 0) AS n_repeat_words, len(list_filter(words, lambda x: list_contains({rules.STOP_WORDS}, x))) AS n_stop_words,
+                  length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals
+           FROM w LEFT JOIN c USING (doc_id)),
+     b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND {_threshold_sql()} AS kept FROM b
+""")
+def op8_quality_rules(spark, sf_dir):
+    return rules.judge(read(spark, sf_dir, "documents"))
