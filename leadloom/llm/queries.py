@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leadloom.llm import contamination, lines, rules, simhash
+from leadloom.llm import contamination, licenses, lines, quality, rules, simhash, toxicity
 from leadloom.llm.shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +77,42 @@ SELECT *, NOT base_failed AND {_threshold_sql()} AS kept FROM b
 """)
 def op8_quality_rules(spark, sf_dir):
     return rules.judge(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_quality(spark, sf_dir):
+    return quality.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query()
+def op6_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    out = docs.select("doc_id", toxicity.severity(model, F.col("text")).alias("s")).select("doc_id", "s.*")
+    return out.withColumn("rejected", F.col("p_toxic") >= toxicity.REJECT_AT)
+
+
+def _canonical_sql(c: str) -> str:
+    t = f"regexp_replace(lower(coalesce({c}, '')), '{licenses.COPYRIGHT_LINE}', '\\1', 'g')"
+    t = f"' ' || trim(regexp_replace({t}, '{licenses.NOT_WORD}', ' ', 'g')) || ' '"
+    for a, b in licenses.SPELLINGS:
+        t = f"replace({t}, ' {a} ', ' {b} ')"
+    return f"trim({t})"
+
+
+def _known_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in licenses.LICENSES)
+
+
+@query(f"""
+WITH known AS (SELECT sha256({_canonical_sql('t')}) AS digest, min(i) AS license_id FROM (VALUES {_known_sql()}) v(i, t) GROUP BY 1),
+     d AS (SELECT doc_id, text, sha256({_canonical_sql('text')}) AS digest FROM documents),
+     l AS (SELECT DISTINCT doc_id, k.license_id FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) x
+           JOIN known k ON k.digest = sha256({_canonical_sql('line')})),
+     n AS (SELECT doc_id, list_sort(list(license_id)) AS ids FROM l GROUP BY doc_id)
+SELECT d.doc_id, d.digest, k.license_id, coalesce(array_to_string(n.ids, ','), '') AS notices, CAST(coalesce(len(n.ids), 0) AS INT) AS n_notices
+FROM d LEFT JOIN known k USING (digest) LEFT JOIN n ON n.doc_id = d.doc_id
+""")
+def op5_licenses(spark, sf_dir):
+    return licenses.scan(read(spark, sf_dir, "documents"), licenses.known_texts(spark))

@@ -25,10 +25,11 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """``_BASE ** i`` and its inverse modulo 2**64 for i < n."""
     if len(_POWERS.get("up", ())) < n:
-        with np.errstate(over="ignore"):
-            _POWERS["up"] = np.cumprod(np.concatenate([[1], np.full(n, _BASE, np.uint64)]).astype(np.uint64), dtype=np.uint64)
-            inverse = pow(_BASE, -1, 1 << 64)
-            _POWERS["down"] = np.cumprod(np.concatenate([[1], np.full(n, inverse, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            factors = np.full(n, base, np.uint64)
+            factors[:1] = 1
+            with np.errstate(over="ignore"):
+                _POWERS[name] = np.cumprod(factors, dtype=np.uint64)
     return _POWERS["up"], _POWERS["down"]
 
 
