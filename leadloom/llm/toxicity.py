@@ -20,7 +20,7 @@ MIN_DOCUMENTS = 5
 #: A document is rejected from this probability of a grade above 0.
 REJECT_AT = 0.2
 #: Words whose share among rows of grade 0 and among the others differs by fewer standard errors are no features.
-MIN_ERRORS = 8.0
+MIN_ERRORS = 5.0
 STEPS, RATE, L1 = 300, 2.0, 2e-5
 
 _LOWER = np.arange(256, dtype=np.uint8)
