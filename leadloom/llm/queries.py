@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leadloom.llm import contamination, licenses, lines, quality, rules, simhash, toxicity
+from leadloom.llm import contamination, licenses, lines, quality, rules, simhash, substrings, toxicity
 from leadloom.llm.shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,3 +116,8 @@ FROM d LEFT JOIN known k USING (digest) LEFT JOIN n ON n.doc_id = d.doc_id
 """)
 def op5_licenses(spark, sf_dir):
     return licenses.scan(read(spark, sf_dir, "documents"), licenses.known_texts(spark))
+
+
+@query()
+def op4_substring_dedup(spark, sf_dir):
+    return substrings.repeated_passages(read(spark, sf_dir, "documents")).drop("spans")
