@@ -4,23 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import contamination, lines, simhash
+
+from leadloom.llm import contamination, lines, mixing, simhash, toxicity
 from leadloom.llm.shared import new_folder, read
 
 
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.without_boilerplate(docs).select(*docs.columns)
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the severity model rejects go."""
+    return toxicity.without_toxic(docs, read(spark, sf_dir, "labels"))
+
+
+def boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines on many documents of a source go from the texts; n_chars follows."""
+    return lines.without_boilerplate(docs, length="n_chars")
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays."""
     return simhash.one_per_group(docs)
 
 
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with enough benchmark words go."""
     return contamination.without_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("line dedup", line_dedup), ("near duplicates", near_dedup), ("decontamination", decontamination)]
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay, with rates that bring the domains to their target weights."""
+    return mixing.mix(docs, mixing.label_domains(read(spark, sf_dir, "labels")), mixing.TARGETS)
+
+
+STAGES = [
+    ("toxicity", toxic_documents),
+    ("line dedup", boilerplate),
+    ("near duplicates", near_duplicates),
+    ("decontamination", benchmark_passages),
+    ("mixing", mixture),
+]
 
 #: Training and iteration are beyond SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None

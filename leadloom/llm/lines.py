@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from leadloom.llm.shared import sent_if_small
+from leadloom.llm.shared import sent_if_small, unused
 
 #: A line is boilerplate if it stands on more than this share of the pages of its site, in percent, ...
 BOILERPLATE_PERCENT = 5
@@ -38,19 +38,22 @@ def boilerplate_lines(
 
 
 def without_boilerplate(
-    docs: DataFrame, site: str = "source", text: str = "text", percent: int = BOILERPLATE_PERCENT, min_pages: int = MIN_PAGES
+    docs: DataFrame, site: str = "source", text: str = "text", percent: int = BOILERPLATE_PERCENT, min_pages: int = MIN_PAGES,
+    length: str | None = None, counts: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """``docs`` with ``text`` freed from boilerplate lines and two columns more, __lines and __dropped (counts).
+    """``docs`` with ``text`` freed from boilerplate lines; ``counts`` names two more columns for lines and lines dropped.
 
     Lines are what ``\\n`` separates, compared exactly. Blank lines stay. Null texts count as empty and become empty
-    ones; rows without a site form a site of their own. A page may lose all its lines, but never its row.
+    ones; rows without a site form a site of their own. ``length`` names a column to set to the new number of characters. A page may lose all its lines, but never its row.
     """
-    common = sent_if_small(boilerplate_lines(docs, site, text, percent, min_pages).select(
-        F.col("site").alias("__site"), F.col("lines").alias("__common")))
-    joined = docs.join(common, docs[site].eqNullSafe(common["__site"]), "left")
+    name, common, kept, n = unused(docs, "site_", "common_", "kept_", "n_")
+    found = sent_if_small(boilerplate_lines(docs, site, text, percent, min_pages).select(F.col("site").alias(name), F.col("lines").alias(common)))
+    joined = docs.join(found, F.col(site).eqNullSafe(F.col(name)), "left")
     lines = _lines(F.col(text))
-    kept = F.when(F.col("__common").isNull(), lines).otherwise(
-        F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__common"), _digest(x)), F.lit(False))))
-    counted = joined.withColumns({"__kept": kept, "__lines": F.size(lines)})
-    counted = counted.withColumns({text: F.array_join("__kept", "\n"), "__dropped": F.col("__lines") - F.size("__kept")})
-    return counted.select(*docs.columns, "__lines", "__dropped")
+    left = F.when(F.col(common).isNull(), lines).otherwise(
+        F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col(common), _digest(x)), F.lit(False))))
+    out = joined.withColumns({kept: left, n: F.size(lines)}).withColumn(text, F.array_join(kept, "\n"))
+    if length:
+        out = out.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
+    more = [F.col(n).alias(counts[0]), (F.col(n) - F.size(kept)).alias(counts[1])] if counts else []
+    return out.select(*docs.columns, *more)

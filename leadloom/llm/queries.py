@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leadloom.llm import contamination, licenses, lines, quality, rules, simhash, substrings, toxicity
+from leadloom.llm import contamination, licenses, lines, mixing, quality, rules, simhash, substrings, toxicity, urls
 from leadloom.llm.shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,9 +40,8 @@ WITH l AS (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS l
 SELECT doc_id, CAST(n_lines AS INT) AS n_lines, CAST(n_lines - len(kept) AS INT) AS n_dropped, sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM k
 """)
 def op7_line_dedup(spark, sf_dir):
-    out = lines.without_boilerplate(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"),
-                      F.sha2("text", 256).alias("kept_sha256"))
+    out = lines.without_boilerplate(read(spark, sf_dir, "documents"), counts=("n_lines", "n_dropped"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 @query()
@@ -121,3 +120,14 @@ def op5_licenses(spark, sf_dir):
 @query()
 def op4_substring_dedup(spark, sf_dir):
     return substrings.repeated_passages(read(spark, sf_dir, "documents")).drop("spans")
+
+
+@query()
+def op1_url_filters(spark, sf_dir):
+    return urls.judge(read(spark, sf_dir, "pages"))
+
+
+@query()
+def op10_mixing(spark, sf_dir):
+    out = mixing.mix(read(spark, sf_dir, "documents"), mixing.label_domains(read(spark, sf_dir, "labels")), mixing.TARGETS, keep=["doc_id"])
+    return out.select("doc_id", "n_tokens", *[F.col("posteriors")[d].alias(f"p_{d}") for d in sorted(mixing.TARGETS)], "rate")

@@ -21,6 +21,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until ``df`` has no such columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def sent_if_small(df: DataFrame) -> DataFrame:
     """``df``, written and with a broadcast hint if its measured size allows it; beyond that Spark shuffles it."""
     kept = stored(df, "small")
@@ -28,4 +40,4 @@ def sent_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(kept) if int(str(size)) <= BROADCAST_BYTES else kept
 
 
-__all__ = ["BROADCAST_BYTES", "checkpointed", "new_folder", "read", "sent_if_small", "stored"]
+__all__ = ["BROADCAST_BYTES", "checkpointed", "new_folder", "read", "sent_if_small", "stored", "unused"]
