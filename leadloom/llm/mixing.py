@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from leadloom.llm.shared import stored
+from leadloom.llm.shared import labelled_sample, stored, unused
 
 #: The classifier is fitted on this many labelled rows, those of the smallest hashes of their ids.
 SAMPLE_ROWS = 4_000
@@ -23,7 +23,8 @@ TOLERANCE, STEPS = 1e-6, 40
 #: Weights of the domains that the labels of the pipeline tables tell apart.
 TARGETS = {"clean": 0.90, "low": 0.07, "toxic": 0.03}
 
-BLANKS = r"[\x20\x09-\x0D]+"
+#: What separates words here: blanks and punctuation.
+BLANKS = r"[\x20\x09-\x0D.,;:!?()\"'#*$%&|<>]+"
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -33,14 +34,17 @@ def label_domains(labels: DataFrame) -> DataFrame:
 
 
 def _words(text: Column) -> Column:
-    """Words of a text, and marks of its shape in the same array."""
-    t = F.coalesce(text, F.lit(""))
-    words = F.array_remove(F.split(F.lower(t), BLANKS, -1), "")
-    bare = F.transform(words, lambda w: F.translate(w, ".,;:!?()\"'#*$%&|<>", ""))
-    often = lambda c, share: F.length(t) - F.length(F.translate(t, c, "")) > share * F.length(t)
-    marks = F.array(F.when(often("#*$%&|<>", 0.02), "\x01symbols"), F.when(often("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.3), "\x01capitals"),
-                    F.when(often("!", 0.02), "\x01calls"), F.when(F.size(F.array_distinct(bare)) < 0.3 * F.size(bare), "\x01repeats"))
-    return F.concat(bare, F.array_compact(marks))
+    """Words of a text in lower case, without punctuation."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BLANKS, -1), "")
+
+
+def _telling(text: Column, words: Column) -> Column:
+    """Distinct words, and marks of the shape of the text."""
+    count = lambda pattern: F.size(F.split(F.coalesce(text, F.lit("")), pattern, -1)) - 1
+    distinct = F.array_distinct(words)
+    marks = F.array(F.when(10 * count("[#*$%&|<>]") > F.size(words), "\x01symbols"), F.when(10 * count("!") > F.size(words), "\x01calls"),
+                    F.when(F.size(distinct) < 0.3 * F.size(words), "\x01repeats"))
+    return F.concat(distinct, F.array_compact(marks))
 
 
 @dataclass
@@ -51,12 +55,14 @@ class Classifier:
     base: list[float]
     weights: dict[str, list[float]]
 
-    def posteriors(self, words: Column) -> Column:
-        """Array of the domains' posteriors, in the order of ``domains``."""
+    def matching(self, words: Column) -> Column:
+        return F.array_intersect(words, F.array(*map(F.lit, self.weights))) if self.weights else F.array().cast("array<string>")
+
+    def posteriors(self, seen: Column) -> Column:
+        """Array of the domains' posteriors, in the order of ``domains``, from the ``matching`` words of a text."""
         score = F.array(*map(F.lit, self.base))
         if self.weights:
             table = F.create_map(*[x for w, v in self.weights.items() for x in (F.lit(w), F.array(*map(F.lit, v)))])
-            seen = F.array_intersect(words, F.array(*map(F.lit, self.weights)))
             score = F.aggregate(seen, score, lambda acc, w: F.zip_with(acc, table[w], lambda a, b: a + b))
         raised = F.transform(F.array(score), lambda s: F.transform(s, lambda x: F.exp(x - F.array_max(s))))[0]
         return F.transform(F.array(raised), lambda r: F.transform(r, lambda x: x / F.aggregate(r, F.lit(0.0), lambda a, b: a + b)))[0]
@@ -65,11 +71,9 @@ class Classifier:
 def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], doc_id: str = "doc_id", text: str = "text",
                    rows: int = SAMPLE_ROWS, vocabulary: int = VOCABULARY) -> Classifier:
     """From at most ``rows`` labelled documents. Labels of other domains, null labels and null ids are left out."""
-    wanted = labelled.select(F.col(doc_id).alias("__id"), F.col("domain").alias("__domain")).dropna().filter(F.col("__domain").isin(domains))
-    wanted = wanted.groupBy("__id").agg(F.max("__domain").alias("__domain"))
-    d = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(wanted, "__id")
-    d = d.orderBy(F.xxhash64("__id"), "__id").limit(rows)
-    d = stored(d.select("__domain", F.array_distinct(_words(F.col("__text"))).alias("words")), "labelled")
+    wanted = labelled.select(F.col(doc_id).alias("id"), F.col("domain").alias("y")).filter(F.col("y").isin(domains))
+    d = labelled_sample(docs, wanted, doc_id, text, rows).select(F.col("y").alias("__domain"), "text", _words(F.col("text")).alias("words"))
+    d = stored(d.select("__domain", _telling(F.col("text"), F.col("words")).alias("words")), "labelled")
     sizes = {r[0]: r[1] for r in d.groupBy("__domain").count().collect()}
     total = sum(sizes.values())
     within = [F.sum(F.when(F.col("__domain") == k, 1).otherwise(0)).alias(f"n{i}") for i, k in enumerate(domains)]
@@ -90,13 +94,13 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], doc
     return Classifier(domains, base, weights)
 
 
-def _rate(start: float, steps: list[list[float]]) -> Column:
+def _rate(start: float, steps: list[list[float]], p: str = "__p") -> Column:
     """Rate of a document after all steps: each moves it along its posteriors and projects it to 0 or more."""
     if not steps:
         return F.lit(start)
     taken = F.array(*[F.array(*map(F.lit, s)) for s in steps])
     return F.aggregate(taken, F.lit(start), lambda r, s: F.greatest(F.lit(0.0), r - F.aggregate(
-        F.zip_with(F.col("__p"), s, lambda p, x: p * x), F.lit(0.0), lambda a, b: a + b)))
+        F.zip_with(F.col(p), s, lambda a, x: a * x), F.lit(0.0), lambda a, b: a + b)))
 
 
 def fit_rates(table: DataFrame, targets: list[float]) -> tuple[float, list[list[float]]]:
@@ -142,10 +146,12 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], doc_id:
     model = fit_classifier(docs, labelled, domains, doc_id, text)
     new = ("n_tokens", "posteriors", "rate")
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    table = docs.select(*[F.col(c) for c in kept], F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), BLANKS, -1), "")).cast("long").alias("__tokens"),
-                        model.posteriors(_words(F.col(text))).alias("__p"))
+    w, seen, tokens, p = unused(docs, "words_", "seen_", "__tokens", "__p")
+    table = docs.select(*kept, *([] if text in kept else [text]), _words(F.col(text)).alias(w))
+    table = table.select(*kept, F.size(w).cast("long").alias(tokens), model.matching(_telling(F.col(text), F.col(w))).alias(seen))
+    table = table.select(*kept, tokens, model.posteriors(F.col(seen)).alias(p))
     table = stored(table, "posteriors")
     weight = sum(targets.values())
-    start, steps = fit_rates(table, [targets[d] / weight for d in domains])
-    posteriors = F.map_from_arrays(F.array(*map(F.lit, domains)), F.col("__p"))
-    return table.select(*kept, F.col("__tokens").alias("n_tokens"), posteriors.alias("posteriors"), _rate(start, steps).alias("rate"))
+    start, steps = fit_rates(table.select(F.col(tokens).alias("__tokens"), F.col(p).alias("__p")), [targets[d] / weight for d in domains])
+    posteriors = F.map_from_arrays(F.array(*map(F.lit, domains)), F.col(p))
+    return table.select(*kept, F.col(tokens).alias("n_tokens"), posteriors.alias("posteriors"), _rate(start, steps, p).alias("rate"))

@@ -6,8 +6,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, functions as F
 
+from leadloom.llm.shared import labelled_sample
 from leadloom.llm.words import blocks, hashes, spans
 
 #: Words of a passage; the last one of a text may be shorter.
@@ -136,19 +138,16 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     Passages are encoded in Spark tasks; the driver receives their features. Null labels and ids are left out.
     """
-    chosen = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("double").alias("__y")).dropna()
-    chosen = chosen.filter(~held_out(F.col("__id"))).groupBy("__id").agg(F.max("__y").alias("__y"))
-    both = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t")).join(chosen, "__id")
-    both = both.orderBy(F.xxhash64("__id"), "__id").limit(rows)
+    chosen = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("double").alias("y")).filter(~held_out(F.col("id")))
 
     @F.arrow_udf("array<float>")
     def encoded(texts: pa.Array) -> pa.Array:
         x, before = passages(texts)
         return pa.ListArray.from_arrays(pa.array((before * N_FEATURES).astype(np.int32)), pa.array(x.astype(np.float32).ravel()))
-    found = both.select("__y", encoded("__t").alias("x")).toArrow()
-    parts = [r.values.to_numpy().reshape(-1, N_FEATURES) for r in found["x"]]
-    before = np.concatenate([[0], np.cumsum([len(r) for r in parts])]).astype(np.int64)
-    return fit(np.concatenate([np.zeros((0, N_FEATURES)), *parts]).astype(float), before, found["__y"].to_numpy())
+    found = labelled_sample(docs, chosen, doc_id, text, rows).select("y", encoded("text").alias("x")).toArrow().combine_chunks()
+    sizes = pa.compute.list_value_length(found["x"]).to_numpy() // N_FEATURES
+    flat = pa.compute.list_flatten(found["x"]).to_numpy().reshape(-1, N_FEATURES).astype(float)
+    return fit(flat, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), found["y"].to_numpy())
 
 
 def score(model: Model, text: Column) -> Column:

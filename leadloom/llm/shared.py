@@ -21,6 +21,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, rows: int) -> DataFrame:
+    """(y, text) of at most ``rows`` documents that have a label, those of the smallest hashes of their ids.
+
+    ``labels`` has id and y. Ids are chosen first; the texts of the chosen ones are then found by a broadcast of at
+    most ``rows`` ids, so other texts do not move. Null ids and labels are left out, repeated ids count once.
+    """
+    labels = labels.dropna().groupBy("id").agg(F.max("y").alias("y"))
+    ids = docs.select(F.col(doc_id).alias("id")).distinct().join(labels, "id").orderBy(F.xxhash64("id"), "id").limit(rows)
+    ids = stored(ids, "sample")
+    found = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids), "id")
+    return found.groupBy("id").agg(F.first("y").alias("y"), F.first("text").alias("text")).select("y", "text")
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, lengthened until ``df`` has no such columns."""
     taken = {c.lower() for c in df.columns}
@@ -40,4 +53,4 @@ def sent_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(kept) if int(str(size)) <= BROADCAST_BYTES else kept
 
 
-__all__ = ["BROADCAST_BYTES", "checkpointed", "new_folder", "read", "sent_if_small", "stored", "unused"]
+__all__ = ["BROADCAST_BYTES", "checkpointed", "labelled_sample", "new_folder", "read", "sent_if_small", "stored", "unused"]

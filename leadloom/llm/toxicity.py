@@ -6,15 +6,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, functions as F
 
-from leadloom.llm.words import blocks, hashes, spans
 from leadloom.llm.contamination import SEPARATOR
+from leadloom.llm.shared import labelled_sample
+from leadloom.llm.words import blocks, hashes, spans
 
 #: Grades: 0 not toxic, then ever more severe.
 GRADES = 4
 #: The model is fitted on this many labelled rows, those of the smallest hashes of their ids.
-SAMPLE_ROWS = 10_000
+SAMPLE_ROWS = 6_000
 #: Words of fewer documents of the sample are no features.
 MIN_DOCUMENTS = 5
 #: A document is rejected from this probability of a grade above 0.
@@ -60,38 +62,37 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _errors(docs: list[np.ndarray], counts: np.ndarray, marked: np.ndarray) -> np.ndarray:
-    """Standard errors between each word's share of marked and of other rows; words in ascending order."""
-    own = [d for d, m in zip(docs, marked) if m]
-    words = np.unique(np.concatenate(docs))
-    inside = np.bincount(np.searchsorted(words, np.concatenate([np.zeros(0, np.uint64), *own])), minlength=len(words))
-    a, b = max(1, len(own)), max(1, len(docs) - len(own))
+def _errors(inside: np.ndarray, counts: np.ndarray, marked: int, rows: int) -> np.ndarray:
+    """Standard errors between each word's share of the marked and of the other rows."""
+    a, b = max(1, marked), max(1, rows - marked)
     share = counts / (a + b)
     return np.abs(inside / a - (counts - inside) / b) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / a + 1 / b))
 
 
-def fit(docs: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES) -> Model:
+def fit(words: np.ndarray, before: np.ndarray, grades: np.ndarray, n_grades: int = GRADES) -> Model:
     """Shared weights and ordered thresholds by proximal gradient steps on the cumulative-link likelihood.
 
-    The loss is the sum over thresholds of the logistic losses of 'grade above it'; small weights become zero. Without
-    rows nothing is toxic; a grade without rows above it keeps its threshold high.
+    ``words`` holds the distinct words of all texts one after another, ``before`` how many stand before each text. The
+    loss is the sum over thresholds of the logistic losses of 'grade above it'; small weights become zero. Without rows
+    nothing is toxic; a grade without rows above it keeps its threshold high.
     """
-    if not docs:
+    n = len(grades)
+    if not n:
         return Model(np.zeros(0, np.uint64), np.zeros(0), np.arange(1, n_grades) * 5.0)
-    vocabulary, counts = np.unique(np.concatenate(docs), return_counts=True)
-    vocabulary = vocabulary[(counts >= MIN_DOCUMENTS) & (_errors(docs, counts, grades > 0) >= MIN_ERRORS)]
-    places = [np.searchsorted(vocabulary, d) for d in docs]
-    padded = np.append(vocabulary, np.uint64(0))
-    places = [p[(p < len(vocabulary)) & (padded[p] == d)] for p, d in zip(places, docs)]
-    row = np.repeat(np.arange(len(docs)), [len(p) for p in places])
-    column = np.concatenate(places) if places else np.zeros(0, np.int64)
+    vocabulary, column, counts = np.unique(words, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), np.diff(before))
+    inside = np.bincount(column, grades[row] > 0, len(vocabulary))
+    wanted = (counts >= MIN_DOCUMENTS) & (_errors(inside, counts, int((grades > 0).sum()), n) >= MIN_ERRORS)
+    number = np.cumsum(wanted) - 1
+    used = wanted[column]
+    row, column, vocabulary = row[used], number[column[used]], vocabulary[wanted]
     above = grades[:, None] > np.arange(n_grades - 1)
-    share = (above.sum(0) + 0.5) / (len(docs) + 1)
+    share = (above.sum(0) + 0.5) / (n + 1)
     thresholds, weights = -np.log(share / (1 - share)), np.zeros(len(vocabulary))
     seen_w, seen_t = np.full(len(weights), 1e-8), np.full(len(thresholds), 1e-8)
     for _ in range(STEPS):
-        score = np.bincount(row, weights[column], len(docs))
-        slope = (_sigmoid(score[:, None] - thresholds) - above) / len(docs)
+        score = np.bincount(row, weights[column], n)
+        slope = (_sigmoid(score[:, None] - thresholds) - above) / n
         grad_w = np.bincount(column, slope.sum(1)[row], len(weights))
         grad_t = -slope.sum(0)
         seen_w, seen_t = seen_w + grad_w ** 2, seen_t + grad_t ** 2
@@ -99,20 +100,20 @@ def fit(docs: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES) -> M
         weights = weights - step * grad_w
         weights = np.sign(weights) * np.maximum(np.abs(weights) - step * L1, 0)
         thresholds = np.sort(thresholds - RATE / np.sqrt(seen_t) * grad_t)
-    used = weights != 0
-    return Model(vocabulary[used], weights[used], thresholds)
+    kept = weights != 0
+    return Model(vocabulary[kept], weights[kept], thresholds)
 
 
-def graded_by_words(docs: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+def graded_by_words(words: np.ndarray, before: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Grades for labels that only say toxic or not: toxic rows are split by their number of words that stand at least
     twenty times as often in toxic rows as in others (one or fewer, two to three, more)."""
-    if not docs or not toxic.any():
-        return np.zeros(len(docs), np.int64)
-    words, at = np.unique(np.concatenate(docs), return_inverse=True)
-    row_toxic = np.repeat(toxic, [len(d) for d in docs])
-    inside, outside = np.bincount(at, row_toxic, len(words)), np.bincount(at, ~row_toxic, len(words))
+    if not toxic.any():
+        return np.zeros(len(toxic), np.int64)
+    row = np.repeat(np.arange(len(toxic)), np.diff(before))
+    _, at = np.unique(words, return_inverse=True)
+    inside, outside = np.bincount(at, toxic[row]), np.bincount(at, ~toxic[row])
     marks = (inside >= MIN_DOCUMENTS) & (inside / toxic.sum() >= 0.01) & (inside / toxic.sum() >= 20 * (outside + 0.5) / max(1, (~toxic).sum()))
-    n = np.bincount(np.repeat(np.arange(len(docs)), [len(d) for d in docs]), marks[at], len(docs))
+    n = np.bincount(row, marks[at], len(toxic))
     return np.where(toxic, 1 + np.digitize(n, [2, 4]), 0)
 
 
@@ -122,17 +123,16 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     ``labels`` has ``toxic`` (0 or 1) or, if named, ``grade`` (0 to GRADES - 1). Null labels and ids are left out.
     """
-    chosen = labels.select(F.col(doc_id).alias("__id"), F.col(grade or toxic).cast("int").alias("__y")).dropna().groupBy("__id").agg(F.max("__y").alias("__y"))
-    both = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t")).join(chosen, "__id")
-    both = both.orderBy(F.xxhash64("__id"), "__id").limit(rows)
+    chosen = labels.select(F.col(doc_id).alias("id"), F.col(grade or toxic).cast("int").alias("y"))
 
     @F.arrow_udf("array<long>")
     def words(texts: pa.Array) -> pa.Array:
         return pa.array([w.view(np.int64) for w in word_sets(texts)], pa.list_(pa.int64()))
-    found = both.select("__y", words("__t").alias("w")).toArrow()
-    sets = [np.sort(w.values.to_numpy().view(np.uint64)) for w in found["w"]]
-    y = found["__y"].to_numpy().astype(np.int64)
-    return fit(sets, np.clip(y, 0, GRADES - 1) if grade else graded_by_words(sets, y > 0))
+    found = labelled_sample(docs, chosen, doc_id, text, rows).select("y", words("text").alias("w")).toArrow().combine_chunks()
+    y = found["y"].to_numpy().astype(np.int64)
+    before = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(found["w"]).to_numpy())]).astype(np.int64)
+    flat = pa.compute.list_flatten(found["w"]).to_numpy().view(np.uint64)
+    return fit(flat, before, np.clip(y, 0, GRADES - 1) if grade else graded_by_words(flat, before, y > 0))
 
 
 def severity(model: Model, text: Column) -> Column:
