@@ -17,6 +17,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from leadloom.llm.fmindex import FMIndex
@@ -59,46 +60,53 @@ def _rows(of: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids[lo + doc]), pa.array((begin - first[doc]).astype(np.int32))], ["anchor", "doc_id", "start"])
 
 
+def _shards(anchor: np.ndarray, part: np.ndarray, n_shards: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mix(anchor.view(np.uint64) + mix(part.astype(np.uint64) + np.uint64(1))) % np.uint64(n_shards)).astype(np.int32)
+
+
+def _by_window(h: np.ndarray, at: np.ndarray, size: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Segments cut where the part of their windows, dealt by the windows' own hashes, changes: source, place, size, part."""
+    plain = np.flatnonzero(parts == 1)
+    cut = [(plain, at[plain], size[plain], np.zeros(len(plain), np.int64))]
+    for i in np.flatnonzero(parts > 1):
+        own = (gram_hashes(h[at[i]:at[i] + size[i] + WINDOW - 1], WINDOW) % np.uint64(parts[i])).astype(np.int64)
+        begin = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
+        cut.append((np.full(len(begin), i), at[i] + begin, np.diff(np.append(begin, len(own))), own[begin]))
+    return tuple(np.concatenate(c) for c in zip(*cut))
+
+
 def _cut(n_shards: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments with repeated anchors, the first of equal ones with its words and the others as done (no words)."""
+    """Segments with repeated anchors: of equal ones the first with its text, the others as done (without)."""
     for batch in batches:
-        wanted = batch["found"].to_pylist()
-        ids = batch["doc_id"].to_pylist()
-        out: dict[tuple[int, bytes], tuple[int, int, int]] = {}
-        done = []
+        ids = batch["k"].to_numpy()
+        per_text = np.concatenate([[0], np.cumsum(pc.list_value_length(batch["found"]).to_numpy())])
+        found = pc.list_flatten(batch["found"])
+        start, anchor, parts = (pc.struct_field(found, c).to_numpy() for c in ("start", "anchor", "parts"))
         for lo, data, offsets in blocks(batch["text"]):
             starts, ends, first = spans(data, offsets)
-            raw = data.tobytes()
             h = hashes(data, starts, ends)
             begin, size, _ = _segments(first, h)
-            where = {int(b): int(s) for b, s in zip(begin, size)}
-            for i in range(len(offsets) - 1):
-                for f in {f["start"]: f for f in wanted[lo + i]}.values():
-                    at = int(first[i]) + f["start"]
-                    if at not in where:
-                        continue
-                    anchor, parts = f["anchor"], f["parts"]
-                    pieces = [(at, where[at], 0)]
-                    if parts > 1:
-                        own = (gram_hashes(h[at:at + where[at] + WINDOW - 1], WINDOW) % np.uint64(parts)).astype(np.int64)
-                        cuts = np.flatnonzero(np.diff(own)) + 1
-                        pieces = [(at + int(a), int(b - a), int(own[a])) for a, b in zip(np.append(0, cuts), np.append(cuts, len(own)))]
-                    for p, n, part in pieces:
-                        last = p + n + WINDOW - 2
-                        words = b" ".join(raw[a:b] for a, b in zip(starts[p:last + 1].tolist(), ends[p:last + 1].tolist())) + b" "
-                        key = np.array([anchor, part], np.int64).view(np.uint64)
-                        shard = int(mix(key[:1] + mix(key[1:] + np.uint64(1)))[0] % np.uint64(n_shards))
-                        here = (ids[lo + i], p - int(first[i]), n)
-                        there = out.get((shard, words))
-                        if there is None:
-                            out[shard, words] = here
-                        else:
-                            out[shard, words] = min(there, here)
-                            if there[:2] != here[:2]:
-                                done.append((shard, *max(there, here)))
-        rows = [(s, *v, w) for (s, w), v in out.items()] + [(*d, None) for d in done]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else ([],) * 5, (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
-                                         ["shard", "doc_id", "start", "n", "words"])
+            own = slice(per_text[lo], per_text[lo + len(offsets) - 1])
+            doc = np.repeat(np.arange(len(offsets) - 1), np.diff(per_text[lo:lo + len(offsets)]))
+            at = first[doc] + start[own]
+            where = np.searchsorted(begin, at)
+            real = where < len(begin)
+            real[real] = begin[where[real]] == at[real]
+            real[real] = at[real] < first[doc[real] + 1]
+            doc, at, anchors, many = doc[real], at[real], anchor[own][real], parts[own][real]
+            source, place, n, part = _by_window(h, at, size[where[real]], many)
+            doc = doc[source]
+            order = np.lexsort((place, ids[lo + doc]))
+            source, place, n, part, doc = source[order], place[order], n[order], part[order], doc[order]
+            raw, known = data.tobytes(), {}
+            texts = []
+            for a, b in zip(starts[place].tolist(), ends[place + n + WINDOW - 2].tolist()):
+                t = raw[a:b]
+                texts.append(None if t in known else known.setdefault(t, t))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_shards(anchors[source], part, n_shards)), pa.array(ids[lo + doc]), pa.array((place - first[doc]).astype(np.int32)),
+                 pa.array(n.astype(np.int32)), pa.array(texts, pa.binary())], ["shard", "doc_id", "start", "n", "words"])
 
 
 def _symbols(segments: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,13 +115,15 @@ def _symbols(segments: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     A symbol is a run of ``STRIDE`` words; the runs that start at each of ``STRIDE`` remainders follow one another, so
     a window is WINDOW / STRIDE symbols. Words are compared by their bytes.
     """
-    data = np.frombuffer(b"".join(segments.to_pylist()), np.uint8)
-    sizes = np.array([len(s) for s in segments.to_pylist()], np.int64)
-    ends = np.flatnonzero(data == 0x20) + 1
-    offsets = np.concatenate([[0], ends])
-    words = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
+    segments = segments.cast(pa.large_binary())
+    offsets = np.frombuffer(segments.buffers()[1], np.int64)[segments.offset:segments.offset + len(segments) + 1]
+    data = np.frombuffer(segments.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+    starts, ends, first = spans(data, offsets - offsets[0])
+    length = ends - starts
+    to = np.concatenate([[0], np.cumsum(length)])
+    packed = data[np.arange(to[-1]) + np.repeat(starts - to[:-1], length)]
+    words = pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(to.astype(np.int64)), pa.py_buffer(packed)])
     run = words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    first = np.searchsorted(ends, np.concatenate([[0], np.cumsum(sizes)]), "right")
     width = 1
     while width < STRIDE:
         run = np.unique(run[:-width] * (int(run.max()) + 1) + run[width:], return_inverse=True)[1]
@@ -214,8 +224,12 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     counts = stored(counts.select("anchor", F.ceil(F.col("n") / crowd).cast("int").alias("parts"), "n"), "anchors")
     n_shards = max(1, ceil((counts.agg(F.sum("n")).first()[0] or 0) / shard_segments))
     found = rows.join(counts.drop("n"), "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("start", "anchor", "parts")).alias("found"))
-    segments = known.join(found, "doc_id").mapInArrow(lambda b: _cut(n_shards, b), _SEGMENT)
+    # one shuffle of the texts serves both joins; with a key that is never null, neither join adds a filter below it
+    missing = F.lit(-(1 << 63))
+    texts = d.select(F.coalesce("doc_id", missing).alias("k"), "text").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k")
+    segments = texts.join(found.select(F.coalesce("doc_id", missing).alias("k"), "found"), "k").mapInArrow(lambda b: _cut(n_shards, b), _SEGMENT)
     marks = segments.groupBy("shard").applyInArrow(_index_shard, _MARK)
-    marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "mask")).alias("marks"))
+    marks = marks.groupBy(F.coalesce("doc_id", missing).alias("k")).agg(F.collect_list(F.struct("start", "n", "mask")).alias("marks"))
     report = F.arrow_udf(_report, "struct<n_words: long, n_removed: long, kept_sha256: string, spans: array<struct<first: long, end: long>>>")
-    return d.join(marks, "doc_id", "left").select("doc_id", report("text", "marks").alias("r")).select("doc_id", "r.*")
+    out = texts.join(marks, "k", "left").select("k", report("text", "marks").alias("r"))
+    return out.select(F.when(F.col("k") != missing, F.col("k")).alias("doc_id"), "r.*")
