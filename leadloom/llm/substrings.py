@@ -104,8 +104,10 @@ def _cut(n_shards: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             for a, b in zip(starts[place].tolist(), ends[place + n + WINDOW - 2].tolist()):
                 t = raw[a:b]
                 texts.append(None if t in known else known.setdefault(t, t))
+            done = np.array([t is None for t in texts], bool)  # these only pass through, so any shard will do
+            shard = np.where(done, np.arange(len(done)) % n_shards, _shards(anchors[source], part, n_shards)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_shards(anchors[source], part, n_shards)), pa.array(ids[lo + doc]), pa.array((place - first[doc]).astype(np.int32)),
+                [pa.array(shard), pa.array(ids[lo + doc]), pa.array((place - first[doc]).astype(np.int32)),
                  pa.array(n.astype(np.int32)), pa.array(texts, pa.binary())], ["shard", "doc_id", "start", "n", "words"])
 
 
