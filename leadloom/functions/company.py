@@ -20,6 +20,10 @@ def similarity(a: Column | str, b: Column | str) -> Column:
     return F.when(longer == 0, 1.0).otherwise((longer - F.levenshtein(x, y)) / longer)
 
 
+#: A whole number, with or without thousands separators; never the tail of a longer one.
+NUMBER = r"(?<![\d,])(\d{1,3}(?:,\d{3})+|\d+)"
+
+
 def _count(pattern: str, text: Column) -> Column:
     n = F.regexp_replace(F.regexp_extract(text, pattern, 1), ",", "").try_cast("long")
     return F.when((n > 0) & (n < 1_000_000), n).cast("int")
@@ -29,10 +33,10 @@ def employee_count(html: Column | str) -> Column:
     """'N employees', 'N people', the JSON field, or the social description; 1..999999."""
     t = text_or_empty(html)
     return F.coalesce(
-        _count(r"(?i)(\d{1,3}(?:,\d{3})*)\s+employees?", t),
-        _count(r"(?i)(\d{1,3}(?:,\d{3})*)\s+people", t),
+        _count(rf"(?i){NUMBER}\s+employees?", t),
+        _count(rf"(?i){NUMBER}\s+people", t),
         _count(r'(?i)"numberOfEmployees"\s*:\s*"?(\d+)"?', t),
-        _count(r"""(?i)<meta[^>]*property=["']og:description["'][^>]*content=["'][^"']*?(\d{1,3}(?:,\d{3})*)\s+employees?""", t),
+        _count(r"""(?i)<meta[^>]*property=["']og:description["'][^>]*content=["'][^"']*?""" + NUMBER + r"\s+employees?", t),
     )
 
 

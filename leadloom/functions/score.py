@@ -34,7 +34,7 @@ def quality_score(lead: dict[str, Column] | None = None) -> Column:
                                "about_text")} | (lead or {})
     person = F.exists(c["decision_makers"], lambda p: F.length(F.trim(text_or_empty(p["name"]))).between(1, 99))
     s = c["socials"]
-    socials = F.coalesce(s["linkedin"], s["twitter"], s["facebook"], s["instagram"]).isNotNull()
+    socials = filled(s["linkedin"]) | filled(s["twitter"]) | filled(s["facebook"]) | filled(s["instagram"])
     return quality_points(
         c["company_name"], c["website"], (_size(c["emails"]) > 0) | (_size(c["phones"]) > 0),
         F.coalesce(person, F.lit(False)),

@@ -144,11 +144,11 @@ def preview(leads: DataFrame, searches: DataFrame, users: DataFrame, balances: D
 
 
 def recent_searches(searches: DataFrame, limit: int = 5) -> DataFrame:
-    """Newest searches with the dashboard columns; at most 200."""
+    """Newest searches with the dashboard columns."""
     wanted = ["search_id", "query", "country", "location", "status", "created_at", "total_results", "extracted_count",
               "enriched_count"]
     cols = [c for c in wanted if c in searches.columns]
-    return searches.select(*cols).orderBy(F.desc("created_at"), F.desc("search_id")).limit(min(limit, 200))
+    return searches.select(*cols).orderBy(F.desc("created_at"), F.desc("search_id")).limit(limit)
 
 
 def templates(searches: DataFrame) -> DataFrame:

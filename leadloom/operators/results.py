@@ -58,13 +58,16 @@ def dedup_results(results: DataFrame, order: list[str] | None = None) -> DataFra
     return first_per_key(keyed, ["search_id", "dedup_key"], order).drop("dedup_key")
 
 
-def split_batches(results: DataFrame, searches: DataFrame, order: list[str], initial: int = R.INITIAL_BATCH) -> DataFrame:
+def split_batches(results: DataFrame, searches: DataFrame, order: list[str], initial: int = R.INITIAL_BATCH,
+                  largest: int = R.LARGEST_RESULT_COUNT) -> DataFrame:
     """Batch of each result: the first ``initial`` per search, then backfill up to the wanted count; others drop.
 
-    ``result_count`` is one of 50, 100 and 200, so the rank filter has a constant bound.
+    ``largest`` bounds the wanted counts, so that the rank filter has a constant bound; a search that wants more fails
+    the job instead of losing rows.
     """
-    ranked = top_per_key(results, ["search_id"], [F.asc(c) for c in order], 200, "rank")
-    wanted = searches.select("search_id", "result_count")
+    ranked = top_per_key(results, ["search_id"], [F.asc(c) for c in order], max(largest, initial), "rank")
+    too_large = F.raise_error(F.concat(F.lit("result_count above the bound: "), F.col("result_count").cast("string")))
+    wanted = searches.select("search_id", F.when(F.col("result_count") > largest, too_large.cast("int")).otherwise(F.col("result_count")).alias("result_count"))
     out = ranked.join(wanted, "search_id").filter((F.col("rank") <= F.col("result_count")) | (F.col("rank") <= initial))
     return out.withColumn("batch", F.when(F.col("rank") <= initial, "initial").otherwise("backfill"))
 
@@ -73,7 +76,7 @@ def provider_telemetry(results: DataFrame, max_results: int, min_results: int, b
                        places_key: bool = True) -> DataFrame:
     """Counts per provider and search, merged total, and why a search fell short."""
     counts = [F.count_if(F.col("provider") == p).alias(p) for p in R.PROVIDER_ORDER]
-    table = results.groupBy("search_id").agg(*counts, F.count_distinct("link").alias("links"))
+    table = results.groupBy("search_id").agg(*counts, F.count_distinct(F.when(F.col("link") != "", F.col("link"))).alias("links"))
     free = sum((F.col(p) for p in R.PROVIDER_ORDER if p != "places"), F.lit(0))
     reasons = F.concat_ws(
         "; ",

@@ -108,7 +108,7 @@ SELECT id, employees, CASE WHEN employees IS NULL OR employees <= 0 THEN NULL WH
    WHEN employees <= 500 THEN '201-500' WHEN employees <= 1000 THEN '501-1000' ELSE '1000+' END AS employee_range, founded, hiring FROM (
  SELECT id, coalesce(n, CASE lower(size) WHEN 'micro' THEN 5 WHEN 'small' THEN 25 WHEN 'medium' THEN 125 WHEN 'large' THEN 500 END) AS employees, CASE WHEN y BETWEEN 1800 AND 2026 THEN y END AS founded, hiring FROM (
   SELECT id, size, CASE WHEN c > 0 AND c < 1000000 THEN c END AS n, TRY_CAST({ex('t', '(?:Founded in|since) ([0-9]{4})')} AS INT) AS y, contains(t, 'now hiring') AS hiring FROM (
-    SELECT *, coalesce(TRY_CAST(right(replace({ex('t', '([0-9,]+) (?:employees|people)')}, ',', ''), CASE WHEN contains(t, 'employees') THEN 3 ELSE 9 END) AS INT), TRY_CAST({ex('t', '"numberOfEmployees": "([0-9]+)"')} AS INT)) AS c FROM ({_TEXT}) a) b) c) d""")
+    SELECT *, coalesce(TRY_CAST(replace({ex('t', '([0-9,]+) (?:employees|people)')}, ',', '') AS INT), TRY_CAST({ex('t', '"numberOfEmployees": "([0-9]+)"')} AS INT)) AS c FROM ({_TEXT}) a) b) c) d""")
 def company_facts(spark, sf):
     t = spark.sql(_TEXT.replace("FROM supplier", f"FROM parquet.`{sf}/supplier.parquet`"))
     n = C.employees(C.employee_count("t"), "size")

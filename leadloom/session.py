@@ -56,10 +56,6 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, scan: DataFrame, *keys: str) -> DataFrame:
-    """``df`` over all cores when the ``scan`` it starts from is read by fewer tasks than there are cores.
-
-    Costly rules per row should not run in the one task that reads a small file. Tables of many files pass unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if scan.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to all shuffle partitions, so that costly rules per row do not run in the tasks of the scan."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -112,13 +112,13 @@ def sql_for_duckdb(name: str) -> str:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "v_leads":
         orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
-        return spark.sql(VIEWS[name], orders=spread(orders, orders, "o_orderkey"), part=table(spark, sf_dir, "part"))
+        return spark.sql(VIEWS[name], orders=spread(orders, "o_orderkey"), part=table(spark, sf_dir, "part"))
     if name == "v_results":
         orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-        return spark.sql(VIEWS[name], orders=spread(orders, orders, "o_orderkey"))
+        return spark.sql(VIEWS[name], orders=spread(orders, "o_orderkey"))
     df = spark.sql(sql_for_spark(name, sf_dir))
     # pages go through costly rules
-    return spread(df, table(spark, sf_dir, "supplier"), "page_id") if name == "v_site_pages" else df
+    return spread(df, "page_id") if name == "v_site_pages" else df
 
 
 def with_enrichment(leads: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ def all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Driver pages and contact-rich site pages; the latter get ids above all others."""
     site = site_pages(spark, sf_dir).select((F.col("page_id") + 10_000_000).alias("page_id"), "url", "html")
     crawl = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return spread(crawl, crawl, "page_id").unionByName(site)
+    return spread(crawl, "page_id").unionByName(site)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,7 +89,7 @@ def test_person_names(values):
 
 
 def test_company_attributes(values):
-    check(values, company.employee_count, [(("We have 1,250 employees",), 1250), (("no number",), None), (('"numberOfEmployees": "7"',), 7)])
+    check(values, company.employee_count, [(("We have 1,250 employees",), 1250), (("We have 1400 employees",), 1400), (("25000 people",), 25000), (("no number",), None), (('"numberOfEmployees": "7"',), 7)])
     assert values([company.employee_range(F.lit(n)) for n in (10, 11, 200, 1000, 1001, 0)]) == [
         "1-10", "11-50", "51-200", "501-1000", "1000+", None]
     assert values([company.employees_from_size(F.lit(s)) for s in ("micro", "Small", "large", "other")]) == [5, 25, 500, None]
