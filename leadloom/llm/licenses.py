@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from leadloom.llm.rules import let
 from leadloom.llm.shared import sent_if_small
 
 # Public license texts and standard notices.
@@ -54,15 +59,39 @@ SPELLINGS = [
 #: A line that only states who holds the copyright.
 COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|copr\.|©|\(c\))[^\n]*(19|20)[0-9][0-9][^\n]*"
 NOT_WORD = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
+NOT_WORD_IN_LINE = r"[^a-z0-9\n\x{80}-\x{10FFFF}]+"
+#: What stands in every text with a copyright line.
+COPYRIGHT_MARKS = ("copyright", "copr.", "©", "(c)")
 
 
-def canonical(text: Column) -> Column:
-    """Lower case, without copyright lines and punctuation, words joined by one space, equal spellings made one."""
+def _changed(text: Column, marks: Iterable[str], then: Callable[[Column], Column]) -> Column:
+    """``then`` of a text that has one of the marks, which are cheap to look for; other texts as they are."""
+    return let(text, lambda t: F.when(reduce(or_, [F.contains(t, F.lit(m)) for m in marks]), then(t)).otherwise(t))
+
+
+def _spelt(text: Column, spellings: list[tuple[str, str]] = SPELLINGS) -> Column:
+    """Equal spellings made one."""
+    replaced = lambda t: reduce(lambda x, s: F.regexp_replace(x, rf"(?<![^ \n]){s[0]}(?![^ \n])", s[1]), spellings, t)
+    return _changed(text, [a for a, _ in spellings], replaced)
+
+
+def canonical_lines(text: Column) -> Column:
+    """Array of the lines of a text: lower case, words joined by one space, equal spellings made one, copyright lines and
+    punctuation gone. Lines without words are empty."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    t = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.regexp_replace(t, COPYRIGHT_LINE, "$1"), NOT_WORD, " ")), F.lit(" "))
-    for a, b in SPELLINGS:
-        t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(t)
+    t = _changed(t, COPYRIGHT_MARKS, lambda x: F.regexp_replace(x, COPYRIGHT_LINE, "$1"))
+    t = _spelt(F.regexp_replace(t, NOT_WORD_IN_LINE, " "))
+    return F.transform(F.split(t, "\n", -1), lambda x: F.trim(x))
+
+
+def joined_lines(lines: Column) -> Column:
+    """Canonical text from its canonical lines; spellings of two words may stand across a line end."""
+    return _spelt(F.array_join(F.array_remove(lines, ""), " "), [s for s in SPELLINGS if " " in s[0]])
+
+
+def canonical(text: Column) -> Column:
+    """A whole text in canonical form: one line."""
+    return joined_lines(canonical_lines(text))
 
 
 def digest(text: Column) -> Column:
@@ -83,11 +112,11 @@ def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str =
     """
     table = known.select(digest(F.col("text")).alias("digest"), F.col("license_id"), canonical(F.col("text")).alias("c"))
     table = sent_if_small(table.filter("license_id IS NOT NULL AND c <> ''").groupBy("digest").agg(F.min("license_id").alias("license_id")))
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), digest(F.col(text)).alias("digest"))
-    lines = d.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line"))
-    lines = lines.select("doc_id", digest(F.col("line")).alias("digest")).join(table, "digest")
+    d = docs.select(F.col(doc_id).alias("doc_id"), canonical_lines(F.col(text)).alias("lines"))
+    lines = d.select("doc_id", F.explode(F.array_remove(F.array_distinct("lines"), "")).alias("line"))
+    lines = lines.select("doc_id", F.sha2("line", 256).alias("digest")).join(table, "digest")
     notices = lines.groupBy("doc_id").agg(F.array_sort(F.collect_set("license_id")).alias("ids"))
-    out = d.select("doc_id", "digest").join(table, "digest", "left")
+    out = d.select("doc_id", F.sha2(joined_lines(F.col("lines")), 256).alias("digest")).join(table, "digest", "left")
     notices = notices.withColumnRenamed("doc_id", "__id")
     out = out.join(notices, out["doc_id"].eqNullSafe(F.col("__id")), "left")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
