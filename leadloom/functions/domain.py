@@ -204,7 +204,7 @@ def is_plausible_site(query: Column | str, url: Column | str) -> Column:
     return F.coalesce(
         host.isNotNull()
         & ~is_directory_url(url)
-        & ~host.rlike(rf"(^|\.)({alternation(R.PLACEHOLDER_DOMAINS[:9])})$")
+        & ~host.rlike(rf"(^|\.)({alternation(R.RESULT_PLACEHOLDER_DOMAINS)})$")
         & ~host.rlike(r"\.(mil|gov)$")
         & ~unrelated,
         F.lit(False),

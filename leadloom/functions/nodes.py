@@ -65,10 +65,9 @@ def first(rule: Rule, nodes: Column | None = None) -> Column:
     return F.get(select(rule, nodes), F.lit(0))
 
 
-def inside(node: Column, nodes: Column | None = None) -> Column:
-    """Descendants of a node."""
-    return F.filter(all_nodes() if nodes is None else nodes,
-                    lambda n: (n["seq"] > node["seq"]) & (n["seq"] < node["stop"]))
+def inside(node: Column) -> Column:
+    """Descendants of a node, none for no node. ``seq`` is the place in the array, so they are one slice of it."""
+    return F.slice(all_nodes(), F.coalesce(node["seq"] + 2, F.lit(1)), F.coalesce(node["stop"] - node["seq"] - 1, F.lit(0)))
 
 
 def text_of(node: Column) -> Column:

@@ -10,6 +10,12 @@ from leadloom.operators.skew import bucketed_running, top_per_key
 SEQ_WIDTH = 1_000_000  # ledger numbers per bucket of the running sums
 
 
+def _checked(ledger: DataFrame) -> DataFrame:
+    """The ledger; an entry that takes more than one credit fails the job, as the closed form of balances has no place for it."""
+    wrong = F.raise_error(F.concat(F.lit("reservation of more than one credit: "), F.col("delta").cast("string")))
+    return ledger.withColumn("delta", F.when(F.col("delta") < -1, wrong.cast(ledger.schema["delta"].dataType)).otherwise(F.col("delta")))
+
+
 def running_balance(ledger: DataFrame, width: int = SEQ_WIDTH) -> DataFrame:
     """Balance after each entry and whether a reservation was refused at zero.
 
@@ -17,7 +23,7 @@ def running_balance(ledger: DataFrame, width: int = SEQ_WIDTH) -> DataFrame:
     when it makes that minimum fall. Reservations must be -1. Sums are composed over ranges of ``seq``, so a company
     with most of the entries is spread over many tasks.
     """
-    run = bucketed_running(ledger, ["company_id"], "seq", "delta", width)
+    run = bucketed_running(_checked(ledger), ["company_id"], "seq", "delta", width)
     refused = (F.col("delta") < 0) & (F.col("run_sum") < F.least(F.lit(0), F.coalesce("run_min_before", F.lit(0))))
     return run.select(
         *ledger.columns, (F.col("run_sum") - F.least(F.lit(0), F.col("run_min"))).cast("long").alias("balance"),
@@ -26,7 +32,7 @@ def running_balance(ledger: DataFrame, width: int = SEQ_WIDTH) -> DataFrame:
 
 def balances(ledger: DataFrame, width: int = SEQ_WIDTH) -> DataFrame:
     """Balance per company: total minus the lowest running sum below zero; refused reservations cost nothing."""
-    run = bucketed_running(ledger, ["company_id"], "seq", "delta", width)
+    run = bucketed_running(_checked(ledger), ["company_id"], "seq", "delta", width)
     last = run.groupBy("company_id").agg(F.sum("delta").alias("total"), F.min("run_min").alias("low"))
     return last.select("company_id", (F.col("total") - F.least(F.lit(0), F.col("low"))).cast("long").alias("balance"))
 
@@ -46,10 +52,10 @@ def _price(ngn_per_usd: float) -> Column:
 def ledger_totals(ledger: DataFrame, companies: DataFrame, ngn_per_usd: float = R.NGN_PER_USD) -> DataFrame:
     """Credits bought, used and refunded, revenue per currency, and the credit balance of all companies.
 
-    Ledger rows are reduced per company, reason and pack before they meet the company table.
+    Refused reservations use no credit, so purchased - consumed + refunded is the balance. Ledger rows are reduced per company, reason and pack before they meet the company table.
     """
-    small = ledger.groupBy("company_id", "reason", "pack_id").agg(
-        F.sum("delta").alias("delta"), F.sum(F.abs("delta")).alias("used"), F.count(F.lit(1)).alias("n"))
+    small = running_balance(ledger).groupBy("company_id", "reason", "pack_id").agg(
+        F.sum("delta").alias("delta"), F.sum(F.when(~F.col("refused"), F.abs("delta"))).alias("used"), F.count(F.lit(1)).alias("n"))
     j = small.join(companies.select("company_id", "currency"), "company_id")
     buy, use = F.col("reason") == "purchase", F.col("reason").isin("reserve", "consume")
     back = F.col("reason").startswith("refund")

@@ -56,18 +56,23 @@ def gaps(events: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:
     return lagged.select(*events.columns, F.round((F.col("__t") - F.col("prev___t")) / 1_000_000, 6).alias("gap_seconds"))
 
 
-def stalled(progress: DataFrame, seconds: float = 30.0) -> DataFrame:
+BUSY = ("processing", "extracting", "enriching")
+
+
+def stalled(progress: DataFrame, seconds: float = 30.0, now: Column | None = None) -> DataFrame:
     """Spans in which a processing search did not move for ``seconds``.
 
     ``progress``: ``search_id, ts, status, extracted_count, enriched_count``. Counters only grow, so a span without
-    change is the group of equal counters: one aggregate, no ordering.
+    change is the group of equal counters: one aggregate, no ordering. With ``now``, the last span of a search that was
+    busy when last heard of lasts until then, so one that stopped reporting is found as well.
     """
-    busy = progress.filter(F.col("status").isin("processing", "extracting", "enriching"))
+    busy = progress.filter(F.col("status").isin(*BUSY))
     spans = busy.groupBy("search_id", "extracted_count", "enriched_count").agg(
         F.min("ts").alias("since"), F.max("ts").alias("until"))
+    if now is not None:
+        last = progress.groupBy("search_id").agg(F.max(F.struct("ts", F.col("status").isin(*BUSY).alias("busy"))).alias("last"))
+        going_on = F.col("last.busy") & (F.col("until") == F.col("last.ts"))
+        until = F.when(going_on, F.greatest("until", now.cast("timestamp").cast(progress.schema["ts"].dataType))).otherwise(F.col("until"))
+        spans = spans.join(last, "search_id").withColumn("until", until).drop("last")
     held = (F.unix_micros(F.col("until").cast("timestamp")) - F.unix_micros(F.col("since").cast("timestamp"))) / 1_000_000
     return spans.withColumn("stalled_seconds", held).filter(held > seconds)
-
-
-def turn_sort() -> list[Column]:
-    return [F.asc("turn"), F.asc("user_arrival")]

@@ -8,7 +8,7 @@ from leadloom import refdata as R
 from leadloom.functions import nodes as N
 from leadloom.functions.domain import is_directory_site, is_placeholder_host, is_social_host, is_social_url
 from leadloom.functions.text import all_groups, null_if_empty, text_or_empty
-from leadloom.functions.url import absolute_url, is_query_link, url_host
+from leadloom.functions.url import is_query_link, url_host
 from leadloom.operators.skew import first_per_key, top_per_key
 from leadloom.sources.html_nodes import read_nodes
 
@@ -159,10 +159,6 @@ def raw_byte_links(files: DataFrame, limit: int = 25) -> DataFrame:
     return top.select("path", "pos", host.alias("title"), "link", F.concat(F.lit("From PDF: "), "path").alias("snippet"))
 
 
-def resolve_href(href: Column, base: Column) -> Column:
-    return absolute_url(href, base)
-
-
 def external_host(href: Column, own_host: Column) -> Column:
     """Host of an absolute link to another site that is neither social nor a blocked platform, else NULL."""
     host = url_host(href)

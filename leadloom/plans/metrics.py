@@ -109,8 +109,6 @@ def search_counters(spark, sf):
 
 # --- ledger --------------------------------------------------------------------------------------
 
-_RUN = """run AS (SELECT *, sum(delta) OVER w AS s FROM v_ledger WINDOW w AS (PARTITION BY company_id ORDER BY seq)),
-low AS (SELECT *, min(s) OVER (PARTITION BY company_id ORDER BY seq) AS m, coalesce(min(s) OVER (PARTITION BY company_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM run)"""
 # the counterpart folds the entries of each company one after the other
 _FOLD = """entries AS (SELECT company_id, seq, delta, row_number() OVER (PARTITION BY company_id ORDER BY seq) AS i FROM v_ledger),
 fold AS (SELECT * FROM (WITH RECURSIVE step AS (
@@ -130,11 +128,11 @@ def company_balances(spark, sf):
 
 
 @query(with_views(("v_ledger", "v_companies"), """
-SELECT CAST(sum(delta) FILTER (reason = 'purchase') AS BIGINT) AS purchased, CAST(sum(abs(delta)) FILTER (reason IN ('reserve', 'consume')) AS BIGINT) AS consumed, CAST(sum(delta) FILTER (starts_with(reason, 'refund')) AS BIGINT) AS refunded,
+SELECT CAST(sum(l.delta) FILTER (reason = 'purchase') AS BIGINT) AS purchased, CAST(sum(abs(l.delta)) FILTER (reason IN ('reserve', 'consume') AND NOT refused) AS BIGINT) AS consumed, CAST(sum(l.delta) FILTER (starts_with(reason, 'refund')) AS BIGINT) AS refunded,
   CAST(sum(CASE pack_id WHEN 'pack_100' THEN 29 WHEN 'pack_500' THEN 129 WHEN 'pack_2000' THEN 399 END) FILTER (currency = 'usd') AS BIGINT) AS revenue_usd,
   CAST(sum(CASE pack_id WHEN 'pack_100' THEN 46400 WHEN 'pack_500' THEN 206400 WHEN 'pack_2000' THEN 638400 END) FILTER (currency = 'ngn') AS BIGINT) AS revenue_ngn,
-  (SELECT CAST(sum(b) AS BIGINT) FROM (SELECT arg_max(s - least(0, m), seq) AS b FROM low GROUP BY company_id) z) AS active_credits
-FROM v_ledger l JOIN v_companies c ON c.company_id = l.company_id""", _RUN))
+  (SELECT CAST(sum(b) AS BIGINT) FROM (SELECT arg_max(balance, i) AS b FROM fold GROUP BY company_id) z) AS active_credits
+FROM v_ledger l JOIN v_companies c ON c.company_id = l.company_id JOIN fold f ON f.company_id = l.company_id AND f.seq = l.seq""", _FOLD))
 def ledger_totals(spark, sf):
     return LG.ledger_totals(L.ledger(spark, sf), L.companies(spark, sf))
 
@@ -196,10 +194,25 @@ def stall_gaps(spark, sf):
 SELECT user_id AS search_id, extracted_count, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000 AS stalled_seconds FROM (
   SELECT user_id, ts, CAST(epoch_us(ts) // 86400000000 AS BIGINT) AS extracted_count FROM events WHERE event_type IN ('click', 'view')) a GROUP BY ALL HAVING (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000 > 30""")
 def stalled_searches(spark, sf):
+    return Q.stalled(_progress(L.events(spark, sf))).select("search_id", "extracted_count", "stalled_seconds")
+
+
+def _progress(e):
+    return e.select(F.col("user_id").alias("search_id"), "ts", F.when(F.col("event_type").isin("click", "view"), "extracting").otherwise("completed").alias("status"),
+                    F.floor(F.unix_micros("ts") / 86_400_000_000).alias("extracted_count"), F.lit(0).alias("enriched_count"))
+
+
+@query("""
+WITH p AS (SELECT user_id AS search_id, ts, event_type IN ('click', 'view') AS busy, CAST(epoch_us(ts) // 86400000000 AS BIGINT) AS extracted_count FROM events),
+l AS (SELECT p.search_id, last_ts, bool_or(busy) AS busy FROM p JOIN (SELECT search_id, max(ts) AS last_ts FROM p GROUP BY 1) m ON m.search_id = p.search_id AND ts = last_ts GROUP BY ALL),
+s AS (SELECT search_id, extracted_count, epoch_us(min(ts)) AS since, max(ts) AS until FROM p WHERE busy GROUP BY ALL),
+h AS (SELECT s.search_id, extracted_count, (CASE WHEN l.busy AND until = last_ts THEN (SELECT epoch_us(max(ts)) + 40000000 FROM events) ELSE epoch_us(until) END - since) / 1000000 AS stalled_seconds FROM s JOIN l USING (search_id))
+SELECT * FROM h WHERE stalled_seconds > 30""")
+def stalled_now(spark, sf):
+    """Also searches that were busy when last heard of, 40 seconds after the newest event."""
     e = L.events(spark, sf)
-    progress = e.select(F.col("user_id").alias("search_id"), "ts", F.when(F.col("event_type").isin("click", "view"), "extracting").otherwise("completed").alias("status"),
-                        F.floor(F.unix_micros("ts") / 86_400_000_000).alias("extracted_count"), F.lit(0).alias("enriched_count"))
-    return Q.stalled(progress).select("search_id", "extracted_count", "stalled_seconds")
+    now = e.agg((F.max(F.col("ts").cast("timestamp")) + F.expr("INTERVAL 40 SECONDS")).alias("now")).scalar()
+    return Q.stalled(_progress(e), now=now).select("search_id", "extracted_count", "stalled_seconds")
 
 
 @query()

@@ -57,5 +57,5 @@ ENRICHMENT_STATUSES = ["pending", "enriching", "enriched", "failed", "skipped"]
 SEARCH_STATUSES = [
     "pending", "queued", "searching", "extracting", "enriching", "processing_backfill", "completed", "failed",
 ]
-WAITING_STATUSES = SEARCH_STATUSES[:6]
+WAITING_STATUSES = ["pending", "queued", "searching", "extracting", "enriching", "processing_backfill"]
 RESULT_COUNTS = [50, 100, 200]

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -24,11 +25,15 @@ def file_stream(spark: SparkSession, folder: str, name: str, files_per_trigger:
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append",
-          each: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+          each: Callable[[DataFrame, int], DataFrame] | None = None, folder: str | None = None) -> DataFrame:
     """Run ``stream`` once over all available input; each micro-batch is written as its own folder, so a batch that
-    is run again after a failure replaces itself. The result has a ``batch`` column."""
+    is run again after a failure replaces itself. The result has a ``batch`` column.
+
+    ``folder`` keeps state and output: a later call with the same one goes on where the last one stopped, and returns
+    the output of all. Without it a new one is taken. A source without data gives no rows.
+    """
     spark = stream.sparkSession
-    folder = new_folder(spark, name)
+    folder = folder or new_folder(spark, name)
 
     def write(batch: DataFrame, number: int) -> None:
         out = batch if each is None else each(batch, number)
@@ -37,7 +42,13 @@ def drain(stream: DataFrame, name: str, mode: str = "append",
     query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state")
              .foreachBatch(write).trigger(availableNow=True).start())
     query.awaitTermination()
-    return spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+    try:
+        return spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    nothing = spark.createDataFrame([], stream.schema)
+    return (nothing if each is None else each(nothing, 0)).withColumn("batch", F.lit(0))
 
 
 # --- counters, dedup, trend ----------------------------------------------------------------------
@@ -139,7 +150,7 @@ def stall_alerts(progress: DataFrame, seconds: float = 30.0) -> DataFrame:
 
 # --- running balance -----------------------------------------------------------------------------
 
-def running_balances(entries: DataFrame, width: int = 1_000_000) -> DataFrame:
+def running_balances(entries: DataFrame, width: int = 1_000_000, folder: str | None = None) -> DataFrame:
     """Balance after each ledger entry and refusals, over a stream of entries in ``seq`` order from batch to batch.
 
     Per company only the running sum and its minimum are carried. Each batch composes them with its own running sums,
@@ -147,7 +158,8 @@ def running_balances(entries: DataFrame, width: int = 1_000_000) -> DataFrame:
     task. The carried table is written per batch and read by the next, which makes a repeated batch idempotent.
     """
     spark = entries.sparkSession
-    carried = new_folder(spark, "balance-state")
+    folder = folder or new_folder(spark, "balances")
+    carried = f"{folder}/carried"
     empty = spark.createDataFrame([], "company_id long, c_sum long, c_low long")
 
     def each(batch: DataFrame, number: int) -> DataFrame:
@@ -167,4 +179,4 @@ def running_balances(entries: DataFrame, width: int = 1_000_000) -> DataFrame:
             *batch.columns, (s - F.least(F.lit(0), low)).cast("long").alias("balance"),
             ((F.col("delta") < 0) & (s < F.least(F.lit(0), F.coalesce(low_before, F.lit(0))))).alias("refused"))
 
-    return drain(entries, "balances", "append", each)
+    return drain(entries, "balances", "append", each, folder)
