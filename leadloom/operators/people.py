@@ -344,13 +344,19 @@ def merge_people(people: DataFrame, limit: int = PEOPLE_PER_SITE, enough: int =
 
 
 def site_people(pages: DataFrame, others: DataFrame | None = None) -> DataFrame:
-    """Pages of one domain: the start page is source 0, about/team pages source 1; ``others`` add later sources."""
+    """Pages of one domain: the start page is source 0, about/team pages source 1; ``others`` add later sources.
+
+    ``pos`` of the result is a struct of page_id and place on the page, which order by page whatever ids are.
+    """
     found = page_people(pages).withColumn("site", url_host("url")).filter("site IS NOT NULL")
     start = F.regexp_replace(url_path("url"), "/$", "") == ""
     rows = found.select(
         "site", F.when(start, 0).otherwise(1).alias("source_rank"),
-        (F.col("page_id") * 100_000 + F.col("pos")).alias("pos"), *PERSON_COLUMNS)
-    return merge_people(rows if others is None else rows.unionByName(others))
+        F.struct("page_id", "pos").alias("pos"), *PERSON_COLUMNS)
+    if others is not None:
+        page = F.lit(0).cast(pages.schema["page_id"].dataType)
+        rows = rows.unionByName(others.withColumn("pos", F.struct(page.alias("page_id"), F.col("pos").cast("int").alias("pos"))))
+    return merge_people(rows)
 
 
 def page_text_people(pages: DataFrame) -> DataFrame:

@@ -195,3 +195,22 @@ def test_stall_alert_fires_once(spark, tmp_path):
         assert [tuple(r) for r in spark.sql("SELECT * FROM alerts").collect()] == [(1, 3, 1)]
     finally:
         q.stop()
+
+
+def test_people_of_hashed_page_ids(spark):
+    from leadloom.operators import people
+
+    html = '<div class="team-member"><h3>Jane Miller</h3><p class="title">Chief Executive Officer</p></div>'
+    pages = spark.createDataFrame([(2**63 - 5, "https://www.acme.com/team", html)], "page_id long, url string, html string")
+    assert [r["site"] for r in people.site_people(pages).collect()] == [r["site"] for r in people.site_people(pages.withColumn("page_id", F.lit(1).cast("long"))).collect()]
+
+
+def test_stream_goes_on_in_its_folder_and_takes_empty_sources(spark, tmp_path):
+    src, schema = str(tmp_path / "in"), "company_id long, seq long, delta int"
+    (tmp_path / "in").mkdir()
+    stream = lambda: live.running_balances(spark.readStream.schema(schema).parquet(src), 10, str(tmp_path / "kept"))
+    assert stream().collect() == []
+    for rows in ([(1, 1, 2), (1, 2, -1)], [(1, 3, -1), (1, 4, -1), (1, 5, 1)]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+        got = {r["seq"]: (r["balance"], r["refused"]) for r in stream().collect()}
+    assert got == {1: (2, False), 2: (1, False), 3: (0, False), 4: (0, True), 5: (1, False)}
