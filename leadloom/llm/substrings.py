@@ -4,7 +4,8 @@
    anchor at the same place make a segment. Equal windows have equal anchors, and two of them are never in one segment.
 2. Anchors are counted; only segments whose anchor occurs again can repeat anything.
 3. Segments go to shards by anchor; windows of very frequent anchors are dealt further by their own hash, so that a
-   shard stays small however often a passage occurs. Equal segments of a batch are reduced to the first one.
+   shard stays small however often a passage occurs. Equal segments of a batch are reduced to the first one; the same
+   place of a repeated row is dropped.
 4. A shard indexes its distinct segments and streams them over the index: backward search of each window gives its
    occurrences. A window that starts earlier elsewhere is reported, and reported intervals go back to their documents.
 """
@@ -97,18 +98,22 @@ def _cut(n_shards: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             doc, at, anchors, many = doc[real], at[real], anchor[own][real], parts[own][real]
             source, place, n, part = _by_window(h, at, size[where[real]], many)
             doc = doc[source]
-            order = np.lexsort((place, ids[lo + doc]))
+            order = np.lexsort((place - first[doc], ids[lo + doc]))
             source, place, n, part, doc = source[order], place[order], n[order], part[order], doc[order]
+            own_id, own_start = ids[lo + doc], place - first[doc]
             raw, known = data.tobytes(), {}
-            texts = []
-            for a, b in zip(starts[place].tolist(), ends[place + n + WINDOW - 2].tolist()):
+            texts, of = [], np.zeros(len(place), np.int64)
+            for i, (a, b) in enumerate(zip(starts[place].tolist(), ends[place + n + WINDOW - 2].tolist())):
                 t = raw[a:b]
-                texts.append(None if t in known else known.setdefault(t, t))
-            done = np.array([t is None for t in texts], bool)  # these only pass through, so any shard will do
+                of[i] = known.setdefault(t, i)
+                texts.append(t if of[i] == i else None)
+            done = of != np.arange(len(of))  # these only pass through, so any shard will do
+            same = done & (own_id == own_id[of]) & (own_start == own_start[of])  # the first one's place in a repeated row
             shard = np.where(done, np.arange(len(done)) % n_shards, _shards(anchors[source], part, n_shards)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard), pa.array(ids[lo + doc]), pa.array((place - first[doc]).astype(np.int32)),
+            cut = pa.RecordBatch.from_arrays(
+                [pa.array(shard), pa.array(own_id), pa.array(own_start.astype(np.int32)),
                  pa.array(n.astype(np.int32)), pa.array(texts, pa.binary())], ["shard", "doc_id", "start", "n", "words"])
+            yield cut.filter(pa.array(~same)) if same.any() else cut
 
 
 def _symbols(segments: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -133,6 +133,14 @@ def test_substrings_periodic(spark):
     assert {r[0]: tuple(r)[1:4] for r in got.collect()} == brute_passages(texts)
 
 
+def test_substrings_of_repeated_rows(spark):
+    """A passage that only repeated rows of one document hold stays in them; a repeat within the document goes."""
+    own, twice, shared = (" ".join(f"{c}{i}" for i in range(30)) for c in "ots")
+    rows = [(1, own), (1, own), (2, f"{twice} . {twice}"), (2, f"{twice} . {twice}"), (3, shared), (3, shared), (4, shared)]
+    got = substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(1, 0), (1, 0), (2, 30), (2, 30), (3, 0), (3, 0), (4, 30)]
+
+
 def test_fm_index():
     rng = np.random.RandomState(2)
     text = np.append(rng.randint(1, 5, 400), 0)
