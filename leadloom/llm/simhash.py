@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leadloom.llm.components import components
-from leadloom.llm.shared import checkpointed, stored
+from leadloom.llm.shared import checkpointed, stored, unused
 
 SHINGLE, SEED, BITS = 4, 42, 64
 HASHES_AT_ONCE = 1 << 15
@@ -125,6 +125,17 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     return pairs.unionByName(many) if many else pairs
 
 
+def _groups(marked: DataFrame, crowd: int) -> DataFrame:
+    """(fp, group, component_id) of each distinct fingerprint of ``marked`` (doc_id, fp)."""
+    distinct = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    roots = checkpointed(components(links(distinct.select("fp"), crowd)))
+    linked = distinct.join(roots, distinct["fp"] == roots["node"])
+    lowest = linked.groupBy("root").agg(F.min("low").alias("lowest"))
+    better = linked.select("fp", "root").join(lowest, "root").select("fp", "root", "lowest")
+    return distinct.join(better, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("group"), F.coalesce("lowest", "low").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs``.
 
@@ -134,21 +145,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     columns are not read.
     """
     marked = checkpointed(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp")))
-    distinct = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = checkpointed(components(links(distinct.select("fp"), crowd)))
-    linked = distinct.join(roots, distinct["fp"] == roots["node"])
-    lowest = linked.groupBy("root").agg(F.min("low").alias("lowest"))
-    better = linked.select("fp", "root").join(lowest, "root").select("fp", "lowest")
-    found = distinct.join(better, "fp", "left").select("fp", F.coalesce("lowest", "low").alias("component_id"))
-    return marked.join(found, "fp").select(
+    return marked.join(_groups(marked, crowd), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with only the smallest doc_id of each group; rows that repeat a doc_id count as one document.
+    """``docs`` with one row of each group, of its smallest doc_id; rows that repeat a doc_id in another group stay.
 
-    Rows without a doc_id stay if nothing with an id is in their group.
+    A row without a doc_id stays if nothing with an id is in its group, one for each such group.
     """
-    heads = near_duplicates(docs, doc_id, text).filter(F.col("component_id").eqNullSafe(F.col("doc_id")))
-    heads = heads.select(F.col("doc_id").alias("__head")).distinct()
-    return docs.join(heads, docs[doc_id].eqNullSafe(F.col("__head")), "left_semi").dropDuplicates([doc_id])
+    head, key, own = unused(docs, "__head", "__key", "__own")
+    marked = checkpointed(docs.select(
+        F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp"), F.xxhash64(F.col(text)).alias("key")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "key")).alias("h")
+    heads = marked.join(_groups(marked, CROWD).select("fp", "group"), "fp").groupBy("group").agg(first)
+    heads = heads.select(F.col("h.doc_id").alias(head), F.col("h.key").alias(key))
+    keyed = docs.withColumn(own, F.xxhash64(F.col(text)))
+    chosen = keyed.join(heads, keyed[doc_id].eqNullSafe(F.col(head)) & (F.col(own) == F.col(key)), "left_semi")
+    return chosen.dropDuplicates([doc_id, own]).drop(own)

@@ -288,6 +288,15 @@ def test_awkward_groups(awkward):
     assert sorted(r["doc_id"] for r in simhash.one_per_group(awkward.filter("doc_id IS NOT NULL")).collect()) == sorted({min(k for k in got if k is not None and got[k] == c) for c in got.values() if c is not None})
 
 
+def test_groups_without_ids(spark):
+    """One row stays per group: of the smallest id, or of no id if the group has none."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b), (None, c), (3, c), (4, c), (5, d), (5, d), (5, a[::-1]), (None, None), (None, " ")]
+    got = simhash.one_per_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = Counter([(None, a), (None, b), (3, c), (5, d), (5, a[::-1])])
+    assert Counter(tuple(r) for r in got if (r["text"] or "").strip()) == want and len(got) == 6
+
+
 @pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
 def test_stages_on_awkward_tables(k, spark, sf, awkward, empty):
     stage = corpus_pipeline.STAGES[k][1]
