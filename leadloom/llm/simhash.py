@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from leadloom.llm import similar
 from leadloom.llm.components import components
 from leadloom.llm.shared import checkpointed, stored, unused
 
@@ -125,10 +126,11 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     return pairs.unionByName(many) if many else pairs
 
 
-def _groups(marked: DataFrame, crowd: int) -> DataFrame:
-    """(fp, group, component_id) of each distinct fingerprint of ``marked`` (doc_id, fp)."""
+def _groups(marked: DataFrame, crowd: int, more: DataFrame | None = None) -> DataFrame:
+    """(fp, group, component_id) of each distinct fingerprint of ``marked`` (doc_id, fp), with ``more`` links if given."""
     distinct = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = checkpointed(components(links(distinct.select("fp"), crowd)))
+    edges = links(distinct.select("fp"), crowd)
+    roots = checkpointed(components(edges.unionByName(more) if more is not None else edges))
     linked = distinct.join(roots, distinct["fp"] == roots["node"])
     lowest = linked.groupBy("root").agg(F.min("low").alias("lowest"))
     better = linked.select("fp", "root").join(lowest, "root").select("fp", "root", "lowest")
@@ -149,16 +151,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingled: bool = False) -> DataFrame:
     """``docs`` with one row of each group, of its smallest doc_id; rows that repeat a doc_id in another group stay.
 
-    A row without a doc_id stays if nothing with an id is in its group, one for each such group.
+    A row without a doc_id stays if nothing with an id is in its group, one for each such group. With ``shingled``,
+    texts of Jaccard similarity 0.8 or more on five-word shingles are linked too.
     """
     head, key, own = unused(docs, "__head", "__key", "__own")
+    sketch = [similar.sketches(F.col(text)).alias("s")] if shingled else []
     marked = checkpointed(docs.select(
-        F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp"), F.xxhash64(F.col(text)).alias("key")))
+        F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp"), F.xxhash64(F.col(text)).alias("key"), *sketch))
+    more = similar.links(docs, text, marked.withColumnRenamed("fp", "node")) if shingled else None
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "key")).alias("h")
-    heads = marked.join(_groups(marked, CROWD).select("fp", "group"), "fp").groupBy("group").agg(first)
+    heads = marked.join(_groups(marked, CROWD, more).select("fp", "group"), "fp").groupBy("group").agg(first)
     heads = heads.select(F.col("h.doc_id").alias(head), F.col("h.key").alias(key))
     keyed = docs.withColumn(own, F.xxhash64(F.col(text)))
     chosen = keyed.join(heads, keyed[doc_id].eqNullSafe(F.col(head)) & (F.col(own) == F.col(key)), "left_semi")

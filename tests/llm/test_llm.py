@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from leadloom.llm import contamination, fmindex, licenses, lines, mixing, queries, quality, rules, simhash, substrings, toxicity, urls
+from leadloom.llm import contamination, fmindex, licenses, lines, mixing, queries, quality, rules, simhash, similar, substrings, toxicity, urls
+from leadloom.llm.components import components
 from leadloom.llm.shared import read
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -297,6 +298,28 @@ def test_groups_without_ids(spark):
     assert Counter(tuple(r) for r in got if (r["text"] or "").strip()) == want and len(got) == 6
 
 
+def test_stage_links_similar_texts(spark, sf):
+    """Of texts with five-word Jaccard similarity from 0.8 one stays, also where fingerprints differ in more than 4 bits."""
+    rng, base = np.random.RandomState(4), [[f"t{k}w{i}" for i in range(100)] for k in range(12)]
+    rows = [(100 * k + j, [f"x{k}.{j}.{i}" if i in set(rng.choice(100, j, replace=False)) else w for i, w in enumerate(b)]) for k, b in enumerate(base) for j in (0, 1, 2, 4, 9)]
+    rows += [(2000 + i, w) for i, w in enumerate([["one", "two"], ["ONE", "two"], ["three"]])]
+    grams = {i: {tuple(x.lower() for x in w[k:k + 5]) for k in range(max(1, len(w) - 4))} for i, w in rows}
+    fps, root = {i: brute_fingerprint(" ".join(w)) for i, w in rows}, {i: i for i, _ in rows}
+    far = 0
+    for a in grams:
+        for b in grams:
+            close = 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b])
+            far += a < b and close and (fps[a] ^ fps[b]).bit_count() > 4
+            if a < b and (close or (fps[a] ^ fps[b]).bit_count() <= 4):
+                x, y = root[a], root[b]
+                root = {i: min(x, y) if r in (x, y) else r for i, r in root.items()}
+    d = spark.createDataFrame([(i, " ".join(w), "en", "a", 1) for i, w in rows], DOCS)
+    assert far and sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, d, sf).collect()) == sorted(set(root.values()))
+    marked = d.select(F.col("doc_id").alias("node"), F.xxhash64("text").alias("key"), similar.sketches(F.col("text")).alias("s"))
+    whole, dealt = ({tuple(r) for r in components(similar.links(d, "text", marked, block=n)).collect()} for n in (similar.BLOCK, 2))
+    assert whole == dealt
+
+
 @pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
 def test_stages_on_awkward_tables(k, spark, sf, awkward, empty):
     stage = corpus_pipeline.STAGES[k][1]
