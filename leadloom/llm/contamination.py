@@ -37,21 +37,25 @@ def windows(text: bytes) -> list[bytes]:
     return [b" ".join(words[i:i + WINDOW]) for i in range(max(1, len(words) - WINDOW + 1))] if words else []
 
 
+def _by_id(item_id: str | None) -> tuple[bool, str]:
+    return item_id is not None, item_id or ""
+
+
 class Passages:
     """Automaton over the windows of some items. Built where it is used: tasks receive the items' texts only."""
 
-    def __init__(self, items: list[tuple[str, bytes]]):
+    def __init__(self, items: list[tuple[str | None, bytes]]):
         self.items, self.automaton = items, None
 
     def __getstate__(self):
         return {"items": self.items, "automaton": None}
 
     def build(self) -> None:
-        owners: dict[bytes, set[str]] = defaultdict(set)
+        owners: dict[bytes, set[str | None]] = defaultdict(set)
         for item_id, text in self.items:
             for w in windows(text):
                 owners[w].add(item_id)
-        self.owners = [sorted(ids) for ids in owners.values()]
+        self.owners = [sorted(ids, key=_by_id) for ids in owners.values()]
         self.lengths = np.array([w.count(b" ") + 1 for w in owners], np.int64)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for k, w in enumerate(owners):
@@ -71,7 +75,7 @@ class Passages:
         blanks = np.flatnonzero(np.frombuffer(plain, np.uint8) == 0x20)
         data = np.frombuffer(text, np.uint8)
         first_byte, end_byte, _ = spans(data, np.array([0, len(data)]), SEPARATOR)
-        runs: dict[str, list[list[int]]] = {}
+        runs: dict[str | None, list[list[int]]] = {}
         for end, (_, k) in zip(np.searchsorted(blanks, [at for at, _ in found]).tolist(), found):
             start = end - int(self.lengths[k])
             for item in self.owners[k]:
@@ -81,7 +85,7 @@ class Passages:
                 else:
                     own.append([start, end])
         return [{"item_id": item, "first_word": a, "end_word": b, "first_byte": int(first_byte[a]), "end_byte": int(end_byte[b - 1])}
-                for item, own in sorted(runs.items()) for a, b in own]
+                for item, own in sorted(runs.items(), key=lambda x: _by_id(x[0])) for a, b in own]
 
 
 def _bytes(t: pa.Scalar) -> bytes:
@@ -90,7 +94,7 @@ def _bytes(t: pa.Scalar) -> bytes:
 
 def item_blocks(items: DataFrame, item_id: str, text: str, limit: int) -> list[Passages]:
     """Automata over all items, each of at most ``limit`` bytes of text (or one longer item)."""
-    rows = items.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("binary").alias("t")).dropna()
+    rows = items.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("binary").alias("t")).dropna(subset=["t"])
     out, size = [[]], 0
     for r in rows.distinct().toLocalIterator():
         if size and size + len(r["t"]) > limit:
@@ -98,7 +102,7 @@ def item_blocks(items: DataFrame, item_id: str, text: str, limit: int) -> list[P
             size = 0
         out[-1].append((r["i"], bytes(r["t"])))
         size += len(r["t"])
-    return [Passages(sorted(block)) for block in out]
+    return [Passages(sorted(block, key=lambda x: (x[0] or "", x[1]))) for block in out]
 
 
 def hits(spark: SparkSession, blocks: list[Passages], text: Column) -> Column:
@@ -127,7 +131,7 @@ def _summarise(texts: pa.Array, found: pa.Array) -> pa.Array:
         for a, b in edges:
             n += max(0, b - max(a, end))
             end = max(end, b)
-        ids = sorted({h["item_id"] for h in own})
+        ids = sorted({h["item_id"] for h in own} - {None})
         out.append({"n_words": len(normal_words(_bytes(t))), "n_hit": n, "n_items": len(ids),
                     "items_sha256": hashlib.sha256(",".join(ids).encode()).hexdigest()})
     return pa.array(out, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string())]))
@@ -138,14 +142,18 @@ def find_passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     """(doc_id, hits): where benchmark passages stand in each document, by item, with word and byte offsets.
 
     Null and empty texts have no hits; items without words are never found. Repeated rows come out as often as they go
-    in, repeated items count once. An empty table of items gives empty arrays.
+    in, repeated items count once. Items without an id are found under a null item_id, all as one item. An empty table
+    of items gives empty arrays.
     """
     return docs.select(F.col(doc_id).alias("doc_id"), hits(docs.sparkSession, item_blocks(items, item_id, item_text, limit), F.col(text)).alias("hits"))
 
 
 def summary(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
             limit: int = ITEM_BYTES) -> Column:
-    """Per text: n_words, n_hit (words inside passages), n_items and the digest of the sorted item ids."""
+    """Per text: n_words, n_hit (words inside passages), n_items and the digest of the sorted item ids.
+
+    Passages of items without an id count in n_hit, but a null id is neither in n_items nor in the digest.
+    """
     return F.arrow_udf(_summarise, SUMMARY)(F.col(text), hits(docs.sparkSession, item_blocks(items, item_id, item_text, limit), F.col(text)))
 
 

@@ -177,6 +177,16 @@ def test_contamination(docs, texts, items, limit):
             assert len(norm(texts[r["doc_id"]].encode()[h["first_byte"]:h["end_byte"]].decode())) == h["end_word"] - h["first_word"]
 
 
+def test_contamination_without_item_id(spark):
+    """Passages of items without an id are hits; only ids that are known are counted."""
+    a, b = (" ".join(f"{c}{i}" for i in range(15)) for c in "ab")
+    d = spark.createDataFrame([(1, f"x {a} y {b}"), (2, b)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, a), (None, "z1 z2"), (None, None), ("k", None), ("k", b), (None, b)], "item_id string, text string")
+    got = d.select("doc_id", contamination.summary(d, items).alias("f")).select("doc_id", "f.*").collect()
+    assert {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"]) for r in got} == {i: (n, 1, hashlib.sha256(b"k").hexdigest()) for i, n in ((1, 30), (2, 15))}
+    assert {(h["item_id"], h["first_word"]) for r in contamination.find_passages(d, items).filter("doc_id = 1").collect() for h in r["hits"]} == {(None, 1), (None, 17), ("k", 17)}
+
+
 def test_quality_held_out(docs, labels):
     got = {r["doc_id"]: r for r in quality.score_documents(docs, labels).collect()}
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for i, r in got.items())
