@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leadloom.llm import contamination, licenses, lines, mixing, quality, rules, simhash, substrings, toxicity, urls
+from leadloom.llm import audit, contamination, licenses, lines, mixing, quality, rules, simhash, spelling, substrings, toxicity, urls
 from leadloom.llm.shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,3 +131,36 @@ def op1_url_filters(spark, sf_dir):
 def op10_mixing(spark, sf_dir):
     out = mixing.mix(read(spark, sf_dir, "documents"), mixing.label_domains(read(spark, sf_dir, "labels")), mixing.TARGETS, keep=["doc_id"])
     return out.select("doc_id", "n_tokens", *[F.col("posteriors")[d].alias(f"p_{d}") for d in sorted(mixing.TARGETS)], "rate")
+
+
+@query(rf"""
+WITH y AS (SELECT doc_id, coalesce(max(CAST(quality = 1 AS INT)), 0) AS good, coalesce(max(CAST(toxic = 1 AS INT)), 0) AS toxic FROM labels GROUP BY doc_id),
+     d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+     w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+     m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CAST(len(ws) < {audit.MIN_WORDS} AS INT)
+                  + 2 * CAST(100 * len(list_distinct(ws)) < {audit.MIN_DISTINCT_PERCENT} * len(ws) AS INT)
+                  + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {audit.MAX_CAPITALS_PERCENT} * length(t) AS INT)
+                  + 8 * CAST(regexp_matches(t, '{audit.SYMBOLS}') AS INT)
+                  + 16 * CAST(coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), FALSE) AS INT) AS mask
+           FROM w LEFT JOIN y ON w.doc_id = y.doc_id),
+     h AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+     f AS (SELECT unnest(range(5)) AS f),
+     o AS (SELECT [a.f, b.f, c.f, e.f, g.f] AS o FROM f a, f b, f c, f e, f g WHERE len(list_distinct([a.f, b.f, c.f, e.f, g.f])) = 5),
+     s AS (SELECT o, i, o[i] AS f FROM o, (SELECT unnest(range(1, 6)) AS i)),
+     r AS (SELECT o, mask, coalesce(min(i) FILTER (mask >> f & 1 = 1), 6) AS r FROM s, (SELECT unnest(range(32)) AS mask) GROUP BY o, mask),
+     t AS (SELECT part, s.o, i, s.f, sum(n * CAST(r > i AS INT)) AS kept, sum(n * CAST(r = i AS INT)) AS removed,
+                  sum(n * CAST(r < i AND h.mask >> s.f & 1 = 1 AS INT)) AS redundant, sum(n * CAST(h.mask = 1 << s.f AS INT)) AS unique_fails,
+                  sum(good * CAST(r = i AS INT)) AS good_lost, sum(toxic * CAST(r = i AS INT)) AS toxic_lost
+           FROM h JOIN r USING (mask) JOIN s ON s.o = r.o GROUP BY part, s.o, i, s.f)
+SELECT part, array_to_string(list_transform(o, lambda x: 'ABCDE'[x + 1]), '') AS filter_order, CAST(i AS INT) AS step, CAST(kept AS BIGINT) AS kept,
+       CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM t
+""")
+def op11_filter_audit(spark, sf_dir):
+    return audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query()
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.variants(read(spark, sf_dir, "documents"))
