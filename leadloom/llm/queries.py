@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leadloom.llm import audit, contamination, licenses, lines, mixing, quality, rules, simhash, spelling, substrings, toxicity, urls
+from leadloom.llm import audit, contamination, licenses, lines, mixing, quality, rules, simhash, spelling, substrings, superminhash, toxicity, urls
 from leadloom.llm.shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,3 +164,8 @@ def op11_filter_audit(spark, sf_dir):
 @query()
 def op12_spelling_variants(spark, sf_dir):
     return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_superminhash(spark, sf_dir):
+    return superminhash.near_duplicates(read(spark, sf_dir, "documents"))
