@@ -67,10 +67,10 @@ def _prefixes(words: pa.Array, root: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pairs)
 
 
-def _paths(words: DataFrame, root: int) -> DataFrame:
-    """(word, back, depth, h, following): one row per prefix of each word, forwards and backwards.
+def _directed(words: DataFrame, root: int) -> DataFrame:
+    """(id, word, back, prefixes) of each word, forwards and backwards.
 
-    ``h`` differs between directions, so both tries lie in one table.
+    Hashes differ between directions, so both tries lie in one table. The id is the hash of the whole word.
     """
     both = words.select(F.explode(F.array(F.struct(F.lit(False).alias("back"), F.col("word").alias("word")),
                                           F.struct(F.lit(True).alias("back"), F.reverse("word").alias("word")))).alias("w")).select("w.*")
@@ -78,63 +78,75 @@ def _paths(words: DataFrame, root: int) -> DataFrame:
     @F.arrow_udf("array<struct<h: long, following: int>>")
     def prefixes(w: pa.Array) -> pa.Array:
         return _prefixes(w, root)
-    rows = both.select("word", "back", F.posexplode(prefixes("word")).alias("depth", "p"))
-    h = F.when(F.col("back"), F.bitwise_not(F.col("p.h"))).otherwise(F.col("p.h"))
-    return rows.select("word", "back", (F.col("depth") + root).alias("depth"), h.alias("h"), F.col("p.following").alias("following"))
+    rows = both.withColumn("prefixes", prefixes("word"))
+    return rows.select(_turned(F.element_at("prefixes", -1)["h"]).alias("id"), "word", "back", "prefixes")
 
 
-def tries(words: DataFrame, root: int) -> tuple[DataFrame, DataFrame]:
-    """(edges, starts) of both tries.
+def _turned(h: Column) -> Column:
+    return F.when(F.col("back"), F.bitwise_not(h)).otherwise(h)
 
-    edges: node, slot, label, child, ends (a word ends at the child), spread (of the child). A node that many words
-    share has its edges once per slot. starts: word, back, i, node, spread: the last node of the word's own path in
-    its first half.
+
+def tries(words: DataFrame, root: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, starts, ends) of both tries.
+
+    edges: node, slot, label, child, ends (a word ends at the child), following (letters that go on from the child),
+    spread (of the child). A node that many words share has its edges once per slot. starts: word, back, i, node,
+    spread: the last node of the word's own path in its first half. ends: node, near: the words by the nodes they end at.
     """
-    paths = _paths(words, root)
+    directed = stored(_directed(words, root), "directed")
+    paths = directed.select("id", "back", F.posexplode("prefixes").alias("depth", "p")).select(
+        "id", (F.col("depth") + root).alias("depth"), _turned(F.col("p.h")).alias("h"), F.col("p.following").alias("following"))
     kinds = paths.groupBy("h").agg(F.min("depth").alias("d"), F.count("*").alias("n"), F.min("following").alias("low"), F.max("following").alias("high"))
     kept = kinds.filter(f"d = {root} OR low <> high OR low = -1").select(
         "h", F.ceil(F.col("n") / SHARE).cast("int").alias("spread"), (F.col("low") == -1).alias("ends"))
-    own = paths.select("word", "back", "depth", "h").join(kept, "h")
-    own = stored(own.groupBy("word", "back").agg(F.array_sort(F.collect_list(F.struct("depth", "h", "spread", "ends"))).alias("path")), "paths")
+    own = paths.select("id", "depth", "h").join(kept, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("depth", "h", "spread", "ends"))).alias("path"))
+    own = stored(own.join(directed.select("id", "word", "back"), "id"), "paths")
     steps = own.select("word", F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda k: F.struct(
         F.get("path", k - 1).alias("a"), F.get("path", k).alias("b")))).alias("e"))
     label = F.substring("word", F.col("e.a.depth") + 1, F.col("e.b.depth") - F.col("e.a.depth"))
     edges = steps.select(F.col("e.a.h").alias("node"), F.col("e.b.h").alias("child"), label.alias("label"), F.col("e.a.spread").alias("copies"),
                          F.col("e.b.spread").alias("spread"), F.col("e.b.ends").alias("ends"))
-    edges = edges.groupBy("node", "child").agg(*[F.first(c).alias(c) for c in ("label", "copies", "spread", "ends")])
+    edges = stored(edges.groupBy("node", "child").agg(*[F.first(c).alias(c) for c in ("label", "copies", "spread", "ends")]), "edges")
+    letters = edges.groupBy(F.col("node").alias("child")).agg(F.concat_ws("", F.collect_set(F.substring("label", 1, 1))).alias("following"))
+    edges = edges.join(letters, "child", "left").withColumn("following", F.coalesce("following", F.lit("")))
     edges = edges.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
     start = F.element_at(F.filter("path", lambda p: p["depth"] <= F.floor(F.length("word") / 2)), -1)
     starts = own.withColumn("s", start).select("word", "back", F.col("s.depth").alias("i"), F.col("s.h").alias("node"), F.col("s.spread").alias("spread"))
-    return stored(edges, "edges"), starts
+    return stored(edges, "edges"), starts, directed.select(F.col("id").alias("node"), F.col("word").alias("near"))
 
 
 def _advanced(frontier: DataFrame, edges: DataFrame) -> DataFrame:
     """States behind every edge that the words can pass with one edit at most.
 
-    The label is compared with the letters ahead: as many, one more or one fewer. Before the first half of a word ends,
-    letters must agree, so an edit is only looked for where the label reaches beyond it.
+    A pair is found from one of its words: from the longer one, which has a letter more than the label, or from the
+    one with the smaller letter where both differ. Before the first half of the word ends, letters must agree, so an
+    edit is only looked for where the label reaches beyond it. A state stays if the child has the word's next letter,
+    or a word that ends there.
     """
     slot = F.pmod(F.xxhash64("word"), F.col("spread")).cast("int")
-    f = frontier.select("word", "back", "i", "node", "edits", slot.alias("slot"))
+    f = frontier.select("word", "back", "i", "node", "edits", slot.alias("slot")).alias("f")
     width = F.length("label")
+    left = F.length("word") - F.col("i")
     ahead = F.substring("word", F.col("i") + 1, width)
-    same = ahead == F.col("label")
+    longer = F.substring("word", F.col("i") + 1, width + 1)
     half = F.floor(F.length("word") / 2)
     fixed = F.greatest(half - F.col("i"), F.lit(0)).cast("int")
     may = (F.col("edits") == 0) & (width > fixed) & (F.substring("word", F.col("i") + 1, fixed) == F.substring("label", F.lit(1), fixed))
-    near = lambda n: F.levenshtein(F.substring("word", F.col("i") + 1, width + n), F.col("label"), 1) == 1
-    long_enough = lambda n: F.length("word") - F.col("i") >= width + n
-    to = lambda e, n: F.struct((F.col("i") + width + n).cast("int").alias("i"), e.alias("edits"))
-    moves = F.array(
-        F.when(same, to(F.col("edits"), 0)),
-        *[F.when(may & long_enough(n) & near(n), to(F.lit(1), n)) for n in (0, 1, -1)])
-    joined = f.join(edges, ["node", "slot"]).select("word", "back", "child", "spread", "ends", F.explode(F.array_compact(moves)).alias("m"))
-    return joined.select("word", "back", F.col("m.i").alias("i"), F.col("child").alias("node"), F.col("m.edits").alias("edits"), "spread", "ends").distinct()
+    goes_on = lambda n: F.col("following").contains(F.substring("word", F.col("i") + width + n + 1, F.lit(1)))
+    alive = lambda n: F.when(left > width + n, goes_on(n)).otherwise(F.col("ends"))
+    same = (ahead == F.col("label")) & F.when(F.col("edits") == 0, F.col("following") != "").otherwise(alive(0))
+    replaced = may & (left >= width) & alive(0) & (F.col("label") > ahead) & (F.levenshtein(ahead, F.col("label"), 1) == 1)
+    removed = may & (left > width) & alive(1) & (F.levenshtein(longer, F.col("label"), 1) == 1)
+    joined = f.join(edges.alias("e"), [F.col("f.node") == F.col("e.node"), F.col("f.slot") == F.col("e.slot"), same | replaced | removed])
+    moves = F.array(*[F.when(how, F.struct((F.col("i") + width + n).cast("int").alias("i"), e.alias("edits")))
+                      for how, n, e in ((same, 0, F.col("edits")), (replaced, 0, F.lit(1)), (removed, 1, F.lit(1)))])
+    out = joined.select("word", "back", "child", "spread", "ends", F.explode(moves).alias("m")).filter("m IS NOT NULL")
+    return out.select("word", "back", F.col("m.i").alias("i"), F.col("child").alias("node"), F.col("m.edits").alias("edits"), "spread", "ends")
 
 
 def near_words(words: DataFrame, min_letters: int = MIN_LETTERS) -> DataFrame:
     """(word, near): ordered pairs of the words of ``words`` (distinct, at least ``min_letters`` letters) one edit apart."""
-    edges, frontier = tries(words.select("word"), min_letters // 2)
+    edges, frontier, ends = tries(words.select("word"), min_letters // 2)
     frontier = frontier.withColumn("edits", F.lit(0))
     found: list[DataFrame] = []
     while True:
@@ -142,13 +154,13 @@ def near_words(words: DataFrame, min_letters: int = MIN_LETTERS) -> DataFrame:
         if level.isEmpty():
             break
         found.append(level.filter("edits = 1 AND ends AND i = length(word)").select("word", "back", "node"))
-        frontier = level.filter("edits = 0 OR i <= length(word)")
+        frontier = level.filter("edits = 0 OR i < length(word)")
     if not found:
         return words.select("word", F.col("word").alias("near")).limit(0)
-    ends = _paths(words.select("word"), min_letters // 2).filter("following = -1").select(F.col("h").alias("node"), F.col("word").alias("near"))
     pairs = reduce(DataFrame.unionByName, found).join(ends, "node").filter(F.levenshtein("word", "near", 1) == 1)
-    straight = lambda c: F.when(F.col("back"), F.reverse(c)).otherwise(F.col(c)).alias(c)
-    return pairs.select(straight("word"), straight("near")).distinct()
+    straight = lambda c: F.when(F.col("back"), F.reverse(c)).otherwise(F.col(c))
+    pairs = checkpointed(pairs.select(straight("word").alias("word"), straight("near").alias("near")).distinct())
+    return pairs.unionByName(pairs.select(F.col("near").alias("word"), F.col("word").alias("near")))
 
 
 def _roots(forms: DataFrame) -> DataFrame:
