@@ -135,8 +135,9 @@ def _advanced(frontier: DataFrame, edges: DataFrame) -> DataFrame:
     goes_on = lambda n: F.col("following").contains(F.substring("word", F.col("i") + width + n + 1, F.lit(1)))
     alive = lambda n: F.when(left > width + n, goes_on(n)).otherwise(F.col("ends"))
     same = (ahead == F.col("label")) & F.when(F.col("edits") == 0, F.col("following") != "").otherwise(alive(0))
-    replaced = may & (left >= width) & alive(0) & (F.col("label") > ahead) & (F.levenshtein(ahead, F.col("label"), 1) == 1)
-    removed = may & (left > width) & alive(1) & (F.levenshtein(longer, F.col("label"), 1) == 1)
+    letter = width == 1  # most labels near the root; one letter needs no edit distance
+    replaced = may & (left >= width) & alive(0) & (F.col("label") > ahead) & (letter | (F.levenshtein(ahead, F.col("label"), 1) == 1))
+    removed = may & (left > width) & alive(1) & F.when(letter, longer.contains(F.col("label"))).otherwise(F.levenshtein(longer, F.col("label"), 1) == 1)
     joined = f.join(edges.alias("e"), [F.col("f.node") == F.col("e.node"), F.col("f.slot") == F.col("e.slot"), same | replaced | removed])
     moves = F.array(*[F.when(how, F.struct((F.col("i") + width + n).cast("int").alias("i"), e.alias("edits")))
                       for how, n, e in ((same, 0, F.col("edits")), (replaced, 0, F.lit(1)), (removed, 1, F.lit(1)))])
