@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leadloom.operators.skew import attach_per_key, bucketed_lag, bucketed_rank
@@ -49,6 +54,95 @@ def repeat_submissions(events: DataFrame, keys: list[str], at: str = "ts", secon
     return lagged.filter(gap < seconds).select(*events.columns, F.round(gap, 6).alias("gap_seconds"))
 
 
+def _following(times: np.ndarray, gap: int) -> np.ndarray:
+    """Index of the first time at least ``gap`` after each of the ordered times."""
+    return np.searchsorted(times, times + gap, "left")
+
+
+def leaving_times(times: np.ndarray, gap: int) -> np.ndarray:
+    """For each of the ordered times the last accepted one, if that time is the first accepted."""
+    at = np.arange(len(times))
+    to = np.where(_following(times, gap) == len(times), at, np.minimum(_following(times, gap), len(times) - 1))
+    while (to[to] != to).any():  # twice as far in each round
+        to = to[to]
+    return times[to]
+
+
+def bucket_steps(times: np.ndarray, gap: int, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """(leave, step) of the ordered times of a bucket that begins at ``start``.
+
+    A decision before the bucket only bears on times below ``start + gap``, so the first time beyond is the last that
+    can be the first accepted. ``step`` marks these possible entries, the last of each run that leaves at one time.
+    """
+    leave = leaving_times(times, gap)
+    last = min(int(np.searchsorted(times, start + gap, "left")), len(times) - 1)
+    step = np.append(leave[1:] != leave[:-1], True)
+    step[last:] = False
+    step[last] = True
+    return leave, step
+
+
+def _carried(tables: pa.Table, gap: int) -> pa.Table:
+    """The last time accepted before each bucket of one key; ``tables`` has (bucket, leave, last entry) of all of them."""
+    order = np.lexsort((tables["entry"].to_numpy(), tables["bucket"].to_numpy()))
+    bucket, entry, leave = (tables[c].to_numpy()[order] for c in ("bucket", "entry", "leave"))
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    carry, before = None, []
+    for a, b in zip(first, [*first[1:], len(bucket)]):
+        before.append(carry)
+        k = a if carry is None else a + int(np.searchsorted(entry[a:b], carry + gap, "left"))
+        carry = carry if k == b else int(leave[k])
+    keep = tables.select([c for c in tables.column_names if c not in ("bucket", "entry", "leave")]).take(pa.array(order[first]))
+    return keep.append_column("bucket", pa.array(bucket[first])).append_column("carry", pa.array(before, pa.int64()))
+
+
+def resolve_buckets(rows: DataFrame, keys: list[str], tie: str, seconds: float) -> DataFrame:
+    """(keys, tie, t, accepted) of rows (keys, bucket, tie, t, leave, step): buckets are composed from left to right.
+
+    A bucket is a function from the last time accepted before it to the last one accepted in it. Its steps are few rows
+    however many the bucket has; only these meet per key.
+    """
+    gap = int(seconds * 1_000_000)
+    steps = rows.filter("step").select(*keys, "bucket", "leave", F.col("t").alias("entry"))
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    key_schema = ", ".join(f"`{k}` {fields[k]}" for k in keys)
+    carried = steps.groupBy(*keys).applyInArrow(lambda t: _carried(t, gap), f"{key_schema}, bucket long, carry long")
+
+    def flags(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("t", "ascending"), (tie, "ascending")])
+        times, carry = table["t"].to_numpy(), table["carry"][0].as_py()
+        following, accepted = _following(times, gap), np.zeros(len(times), bool)
+        at = 0 if carry is None else int(np.searchsorted(times, carry + gap, "left"))
+        while at < len(times):
+            accepted[at] = True
+            at = following[at]
+        return table.select([*keys, tie, "t"]).append_column("accepted", pa.array(accepted))
+    same = reduce(and_, [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*keys, "bucket"]])
+    joined = rows.alias("r").join(carried.alias("c"), same).select("r.*", "c.carry")
+    return joined.groupBy(*keys, "bucket").applyInArrow(flags, f"{key_schema}, `{tie}` {fields[tie]}, t long, accepted boolean")
+
+
+def accepted_submissions(events: DataFrame, keys: list[str], at: str = "ts", seconds: float = 2.0, tie: str = "event_id",
+                         bucket_seconds: float = 600.0) -> DataFrame:
+    """(keys, tie, t, accepted): a submission within ``seconds`` of the last accepted one of its key is not accepted.
+
+    Unlike a gap to the previous one, this depends on all earlier decisions. Buckets of time are worked on apart and
+    composed, so a key with most of the rows is many tasks. ``t`` is the time in microseconds; rows without a time are
+    left out; keys that are null form a key.
+    """
+    width = int(bucket_seconds * 1_000_000)
+    t = F.unix_micros(F.col(at).cast("timestamp"))
+    rows = events.filter(F.col(at).isNotNull()).select(*keys, F.floor(t / F.lit(width)).alias("bucket"), tie, t.alias("t"))
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def leaving(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("t", "ascending"), (tie, "ascending")])
+        leave, step = bucket_steps(table["t"].to_numpy(), int(seconds * 1_000_000), table["bucket"][0].as_py() * width)
+        return table.append_column("leave", pa.array(leave)).append_column("step", pa.array(step))
+    schema = ", ".join(f"`{c}` {fields[c]}" for c in rows.columns) + ", leave long, step boolean"
+    return resolve_buckets(rows.groupBy(*keys, "bucket").applyInArrow(leaving, schema), keys, tie, seconds)
+
+
 def gaps(events: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:
     """Seconds since the previous event of the key; days are worked on apart and joined by their last event."""
     b = events.withColumn("__t", F.unix_micros(F.col(at).cast("timestamp")))

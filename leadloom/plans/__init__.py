@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("sites", "contacts", "companies", "results", "pages", "people", "leads", "metrics", "streams")
+MODULES = ("sites", "contacts", "companies", "results", "pages", "people", "leads", "metrics", "streams", "surface")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

@@ -70,3 +70,43 @@ def stream_repeats(spark, sf):
     return live.drain(live.suppress_repeats(e, ["event_type"], 300.0), "repeats").select("event_id", "accepted")
 
 
+
+
+_STALL, _DELAY = 14_400, 3_600
+
+
+@query(f"""
+WITH w AS (SELECT (epoch_us(max(ts)) // 1000 - {_DELAY * 1000}) * 1000 AS w FROM events),
+p AS (SELECT user_id AS search_id, epoch_us(ts) AS t, event_type IN ('click', 'view') AS busy, epoch_us(ts) // 86400000000 AS extracted_count FROM events, w WHERE epoch_us(ts) <= w),
+c AS (SELECT *, coalesce(busy AND lag(busy) OVER o AND lag(extracted_count) OVER o = extracted_count, FALSE) AS same FROM p WINDOW o AS (PARTITION BY search_id ORDER BY t)),
+i AS (SELECT *, count(*) FILTER (NOT same) OVER (PARTITION BY search_id ORDER BY t) AS island FROM c),
+s AS (SELECT search_id, island, bool_and(busy) AS busy, extracted_count, min(t) AS since FROM i GROUP BY search_id, island, extracted_count),
+n AS (SELECT *, lead(since) OVER (PARTITION BY search_id ORDER BY island) AS until FROM s)
+SELECT search_id, CAST(extracted_count AS BIGINT) AS extracted_count, since AS since_us FROM n, w WHERE busy AND coalesce(until, w) - since > {_STALL * 1000000}""")
+def stream_stalls(spark, sf):
+    """Spans of more than four hours without a change, told up to the watermark, an hour behind the newest event."""
+    e = live.file_stream(spark, sf, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    progress = e.select(F.col("user_id").alias("search_id"), "ts", F.when(F.col("event_type").isin("click", "view"), "extracting").otherwise("completed").alias("status"),
+                        F.floor(F.unix_micros("ts") / 86_400_000_000).alias("extracted_count"), F.lit(0).cast("long").alias("enriched_count"))
+    told = live.drain(live.stalled_spans(progress, _STALL, f"{_DELAY} seconds"), "stalls")
+    return told.select("search_id", "extracted_count", F.unix_micros("since").alias("since_us"))
+
+
+#: Events of a month squeezed into minutes, a third of them by one user.
+_SUBMITTED = "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS user_id, event_type, {micros} AS t FROM {events}"
+_WIDTH, _LATE = 10, 20
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY t, event_id) AS i FROM ({_SUBMITTED.format(micros='1704067200000000 + (epoch_us(ts) - 1704067200000000) // 5000', events='events')}) x),
+step AS (SELECT user_id, event_type, i, event_id, t, t AS last, true AS accepted FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.event_type, e.i, e.event_id, e.t, CASE WHEN e.t - s.last >= 2000000 THEN e.t ELSE s.last END, e.t - s.last >= 2000000 FROM step s JOIN e ON e.user_id = s.user_id AND e.event_type = s.event_type AND e.i = s.i + 1),
+w AS (SELECT max(t) // 1000 - {_LATE * 1000} AS w FROM e)
+SELECT event_id, accepted FROM step, w WHERE (t // {_WIDTH * 1000000} + 1) * {_WIDTH * 1000} <= w""")
+def stream_submissions(spark, sf):
+    """Submissions within two seconds of the last accepted one of their user and kind, in buckets that are over."""
+    e = live.file_stream(spark, sf, "events.parquet")
+    t = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 5000) + 1704067200000000
+    s = e.select("event_id", F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id")).cast("long").alias("user_id"), "event_type", F.timestamp_micros(t).alias("ts"))
+    out = live.accepted_submissions(s, ["user_id", "event_type"], 2.0, delay=f"{_LATE} seconds", bucket_seconds=_WIDTH)
+    return out.select("event_id", "accepted")

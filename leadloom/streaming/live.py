@@ -6,15 +6,17 @@ Sources are append-only. ``drain`` runs a stream over everything available and r
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from leadloom.operators.dedup import dedup_domain
-from leadloom.operators.skew import bucketed_running, lookup_per_key
+from leadloom.operators.queue import resolve_buckets
 from leadloom.session import new_folder
+from leadloom.streaming.stateful import BUSY, ClosedBuckets, RangeSums, StallAlerts
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 100) -> DataFrame:
@@ -24,6 +26,18 @@ def file_stream(spark: SparkSession, folder: str, name: str, files_per_trigger:
             .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
 
 
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """Streams started here keep their state in RocksDB, which timers and keyed state need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append",
           each: Callable[[DataFrame, int], DataFrame] | None = None, folder: str | None = None) -> DataFrame:
     """Run ``stream`` once over all available input; each micro-batch is written as its own folder, so a batch that
@@ -39,8 +53,9 @@ def drain(stream: DataFrame, name: str, mode: str = "append",
         out = batch if each is None else each(batch, number)
         out.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state")
-             .foreachBatch(write).trigger(availableNow=True).start())
+    with rocks(spark):
+        query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state")
+                 .foreachBatch(write).trigger(availableNow=True).start())
     query.awaitTermination()
     try:
         return spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")
@@ -116,13 +131,28 @@ def suppress_repeats(events: DataFrame, keys: list[str], seconds: float = 2.0, a
         run, f"{schema}, accepted boolean", "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def accepted_submissions(events: DataFrame, keys: list[str], seconds: float = 2.0, at: str = "ts", tie: str = "event_id",
+                         delay: str = "1 hour", bucket_seconds: float = 600.0, folder: str | None = None) -> DataFrame:
+    """(keys, tie, t, accepted) over a stream, by the rule of ``queue.accepted_submissions``; ``tie`` is a long.
+
+    A bucket of time is a key of its own in the state store and comes out once the watermark has passed it; its rows
+    carry what the bucket does with any earlier decision. Reading composes the buckets, so no task holds a whole key.
+    """
+    width, gap = int(bucket_seconds * 1_000_000), int(seconds * 1_000_000)
+    t = F.unix_micros(F.col(at))
+    rows = events.withWatermark(at, delay).select(*keys, F.floor(t / F.lit(width)).alias("bucket"), tie, t.alias("t"), at)
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(f"`{c}` {fields[c]}" for c in [*keys, "bucket", tie, "t"]) + ", leave long, step boolean"
+    closed = rows.groupBy(*keys, "bucket").transformWithStateInPandas(ClosedBuckets(keys, tie, width, gap), schema, "Append", "EventTime")
+    return resolve_buckets(drain(closed, "submissions", folder=folder).drop("batch"), keys, tie, seconds)
+
+
 def stall_alerts(progress: DataFrame, seconds: float = 30.0) -> DataFrame:
     """One alert per search whose counters do not move for ``seconds`` of processing time while it is busy.
 
-    ``progress``: ``search_id, status, extracted_count, enriched_count``.
+    ``progress``: ``search_id, status, extracted_count, enriched_count``, in order of arrival. Reports with a time of
+    their own are judged by ``stalled_spans``.
     """
-    busy = ("processing", "extracting", "enriching")
-
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             extracted, enriched, _ = state.get
@@ -136,7 +166,7 @@ def stall_alerts(progress: DataFrame, seconds: float = 30.0) -> DataFrame:
             top = max(extracted, int(frame.extracted_count.max())), max(enriched, int(frame.enriched_count.max()))
             since = since if top == (extracted, enriched) else now
             extracted, enriched = top
-            active = bool(frame.status.iloc[-1] in busy)
+            active = bool(frame.status.iloc[-1] in BUSY)
         if active:
             state.update((extracted, enriched, since))
             state.setTimeoutDuration(max(1, int(seconds * 1000) - (now - since)))
@@ -148,35 +178,36 @@ def stall_alerts(progress: DataFrame, seconds: float = 30.0) -> DataFrame:
         GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def stalled_spans(progress: DataFrame, seconds: float = 30.0, delay: str = "1 hour", keep: float = 86_400.0) -> DataFrame:
+    """One alert per span in which the counters of a busy search do not move for more than ``seconds`` of event time.
+
+    ``progress``: ``search_id, ts, status, extracted_count, enriched_count``. Reports are judged in order of time, once
+    the watermark has passed them; null counters count as 0.
+    """
+    return progress.withWatermark("ts", delay).groupBy("search_id").transformWithStateInPandas(
+        StallAlerts(seconds, keep), "search_id long, extracted_count long, enriched_count long, since timestamp", "Append", "EventTime")
+
+
 # --- running balance -----------------------------------------------------------------------------
 
 def running_balances(entries: DataFrame, width: int = 1_000_000, folder: str | None = None) -> DataFrame:
     """Balance after each ledger entry and refusals, over a stream of entries in ``seq`` order from batch to batch.
 
-    Per company only the running sum and its minimum are carried. Each batch composes them with its own running sums,
-    which are spread over ranges of ``seq`` as in the batch form, so a company with most of the entries is no single
-    task. The carried table is written per batch and read by the next, which makes a repeated batch idempotent.
+    The state store holds (sum, lowest) per company and range of ``width`` entry numbers; a batch touches and writes
+    what belongs to its own entries only. Reading composes the ranges: one row per range meets per company, and entries
+    meet the sums of earlier ranges by (company, range), so a company with most of the entries is no single task.
     """
-    spark = entries.sparkSession
-    folder = folder or new_folder(spark, "balances")
-    carried = f"{folder}/carried"
-    empty = spark.createDataFrame([], "company_id long, c_sum long, c_low long")
-
-    def each(batch: DataFrame, number: int) -> DataFrame:
-        before = empty if number == 0 else spark.read.schema(empty.schema).parquet(f"{carried}/batch={number - 1}")
-        run = bucketed_running(batch, ["company_id"], "seq", "delta", width)
-        own = run.groupBy("company_id").agg(F.sum("delta").alias("d"), F.min("run_min").alias("low"))
-        state = before.join(own, "company_id", "full").select(
-            "company_id", (F.coalesce("c_sum", F.lit(0)) + F.coalesce("d", F.lit(0))).alias("c_sum"),
-            F.least("c_low", F.coalesce("c_sum", F.lit(0)) + F.col("low")).alias("c_low"))
-        state.write.mode("overwrite").parquet(f"{carried}/batch={number}")
-        j = lookup_per_key(run, before, ["company_id"])
-        start = F.coalesce("c_sum", F.lit(0))
-        s = start + F.col("run_sum")
-        low_before = F.least(F.col("c_low"), start + F.col("run_min_before"))
-        low = F.least(low_before, s)
-        return j.select(
-            *batch.columns, (s - F.least(F.lit(0), low)).cast("long").alias("balance"),
-            ((F.col("delta") < 0) & (s < F.least(F.lit(0), F.coalesce(low_before, F.lit(0))))).alias("refused"))
-
-    return drain(entries, "balances", "append", each, folder)
+    ranged = entries.withColumn("__range", F.floor(F.col("seq") / F.lit(width)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema.fields) + ", in_sum long, in_low long"
+    summed = ranged.groupBy("company_id", "__range").transformWithStateInPandas(
+        RangeSums(["company_id", "__range"], "seq", "delta"), schema, "Append", "None")
+    rows = drain(summed, "balances", folder=folder).drop("batch")
+    parts = rows.groupBy("company_id", "__range").agg(F.sum("delta").alias("total"), F.min("in_sum").alias("low"))
+    before = W.partitionBy("company_id").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumn("start", F.coalesce(F.sum("total").over(before), F.lit(0)))
+    parts = parts.withColumn("low_before", F.min(F.col("start") + F.col("low")).over(before))
+    s = F.col("start") + F.col("in_sum")
+    lowest = F.least("low_before", F.col("start") + F.col("in_low"))
+    return rows.join(parts.select("company_id", "__range", "start", "low_before"), ["company_id", "__range"]).select(
+        *entries.columns, (s - F.least(F.lit(0), lowest, s)).cast("long").alias("balance"),
+        ((F.col("delta") < 0) & (s < F.least(F.lit(0), F.coalesce(lowest, F.lit(0))))).alias("refused"))
