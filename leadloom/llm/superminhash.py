@@ -29,7 +29,7 @@ SLOTS = BANDS * ROWS
 #: Pairs that agree on fewer slots are not verified; at the limit that happens once in 3e10 pairs.
 MIN_SLOTS = 75
 #: Rounds in which buckets offer heads; sets verified in one task; sets of a block of what is left.
-HEAD_ROUNDS, BATCH, BLOCK = 3, 128, 256
+HEAD_ROUNDS, BATCH, BLOCK = 3, 128, 512
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _UNSET = np.uint64(SLOTS << 56)
@@ -110,6 +110,14 @@ def _close(a: Column, b: Column) -> Column:
     return fits & (agreeing(a["slots"], b["slots"]) >= MIN_SLOTS)
 
 
+def _candidates(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (head, set) that sizes and slots do not rule out. Slots join the pairs, they do not go through buckets."""
+    slots = sets.select("set", F.struct("n", "slots").alias("sketch"))
+    heads = slots.join(pairs.select(F.col("head").alias("set")).distinct(), "set")
+    both = slots.join(pairs, "set").withColumnRenamed("sketch", "own").join(heads.withColumnRenamed("set", "head"), "head")
+    return stored(both.filter(_close(F.col("own"), F.col("sketch"))).select("head", "set"), "pairs")
+
+
 def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shingles of the table's texts as numbers from 0, where each text's begin, and how many it has."""
     owners, grams = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
@@ -184,8 +192,8 @@ def links(docs: DataFrame, doc_id: str, text: str, sets: DataFrame, rounds: int
 
     ``sets`` has set, n, slots, bands and ``row``, the (doc_id, xxhash64 of the text) of a row with that set.
     """
-    banded = sets.select("set", "n", "slots", F.explode("bands").alias("band"))
-    crowds = banded.groupBy("band").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low < high").select("band")
+    banded = sets.select("set", F.explode("bands").alias("band"))
+    crowds = sent_if_small(banded.groupBy("band").agg(F.count("*").alias("held")).filter("held > 1").select("band"))
     shared = stored(banded.join(crowds, "band"), "buckets").withColumn("root", F.col("set"))
     wanted = sent_if_small(shared.select("set").distinct().join(sets.select("set", "row.id", "row.key"), "set"))
     rows = docs.select(F.col(doc_id).alias("own"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
@@ -194,14 +202,14 @@ def links(docs: DataFrame, doc_id: str, text: str, sets: DataFrame, rounds: int
     found = docs.sparkSession.createDataFrame([], "a binary, b binary")
     tested = docs.sparkSession.createDataFrame([], "head binary, set binary")
     for _ in range(rounds):
-        head = F.min(F.struct("set", "n", "slots", "root")).alias("head")
+        head = F.min(F.struct("set", "root")).alias("head")
         open_ = shared.groupBy("band").agg(head, F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band", "head")
         left = stored(shared.join(open_, "band").filter("set <> head.set"), "left")
-        pairs = left.filter(F.col("root") != F.col("head.root")).filter(_close(F.struct("n", "slots"), F.col("head")))
-        pairs = stored(pairs.select(F.col("head.set").alias("head"), "set").distinct().join(tested, ["head", "set"], "left_anti"), "pairs")
+        pairs = left.filter(F.col("root") != F.col("head.root")).select(F.col("head.set").alias("head"), "set").distinct()
+        pairs = _candidates(sent_if_small(pairs.join(tested, ["head", "set"], "left_anti")), sets)
         tested = tested.unionByName(pairs)
         found = stored(found.unionByName(_verify(pairs, texts)), "links")
-        shared = stored(_rooted(left.select("band", "set", "n", "slots"), found), "buckets")
+        shared = stored(_rooted(left.select("band", "set"), found), "buckets")
         if shared.isEmpty():
             break
     head = F.min("set").alias("head")
