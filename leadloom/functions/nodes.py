@@ -1,4 +1,4 @@
-"""Selector rules over the element array of a page (columns ``nodes`` and ``page_text``)."""
+"""Selector rules over the element array of a page (columns ``nodes`` and ``page_pieces``)."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
+from leadloom.sources.html_nodes import PIECE
+
 Rule = Callable[[Column], Column]
 
 
@@ -71,8 +73,11 @@ def inside(node: Column) -> Column:
 
 
 def text_of(node: Column) -> Column:
-    """Trimmed text of a node, NULL for no node."""
-    raw = F.substr(F.col("page_text"), node["a"] + 1, node["b"] - node["a"])
+    """Trimmed text of a node, NULL for no node; only the pieces it covers are read."""
+    bits = PIECE.bit_length() - 1
+    first, stop = F.shiftright(node["a"], bits), F.shiftright(node["b"] + PIECE - 1, bits)
+    covered = F.array_join(F.slice(F.col("page_pieces"), first + 1, stop - first), "")
+    raw = F.substr(covered, node["a"] - F.shiftleft(first, bits) + 1, node["b"] - node["a"])
     return F.regexp_replace(raw, r"^\s+|\s+$", "")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from leadloom.functions.company import normalize_company, similarity
@@ -11,6 +13,12 @@ from leadloom.operators.skew import attach_per_key, top_per_key
 from leadloom.session import checkpointed
 
 NAME_RATIO = 0.85
+#: Old names of up to this many characters list their possible matches, at most 46 of them.
+LONG = 64
+#: Characters of the grams by which longer names are found.
+GRAM = 8
+#: Names that share a segment or part from which it does not make pairs by itself.
+CROWD = 512
 
 
 def dedup_domain(website: Column | str) -> Column:
@@ -36,21 +44,62 @@ def first_by_domain(leads: DataFrame) -> DataFrame:
 def name_matches(names: DataFrame, scope: list[str], name: str = "name") -> DataFrame:
     """Pairs (scope, new_name, old_name) of different names where old contains new and is at most 1/0.85 as long.
 
-    An old name of length n can only match its own substrings longer than 0.85 n, so those are listed and joined by
-    equality: only true pairs come out. New names need more than three characters. ``names`` must be distinct.
+    New names need more than three characters. ``names`` must be distinct. Old names of up to ``LONG`` characters list
+    the few substrings that can match and join by equality; longer ones have too many and are found by grams.
     """
     n = F.length(name)
-    shortest = F.greatest(F.lit(4), F.floor(n * F.lit(NAME_RATIO)).cast("int") + 1)
+    return _short_matches(names, names.filter(n <= LONG), scope, name).unionByName(_long_matches(names, scope, name))
+
+
+def _shortest(n: Column) -> Column:
+    """Fewest characters of a name that an old one of ``n`` characters can match."""
+    return F.greatest(F.lit(4), F.floor(n * F.lit(NAME_RATIO)).cast("int") + 1)
+
+
+def _short_matches(names: DataFrame, olds: DataFrame, scope: list[str], name: str) -> DataFrame:
+    n = F.length(name)
     starts = F.sequence(F.lit(1), n)
-    lengths = F.sequence(shortest, n - 1)
+    lengths = F.sequence(_shortest(n), n - 1)
     cuts = F.flatten(F.transform(lengths, lambda k: F.transform(
         F.filter(starts, lambda i: i + k - 1 <= n), lambda i: F.substr(F.col(name), i, k))))
-    old = names.filter(shortest <= n - 1).select(
+    old = olds.filter(_shortest(n) <= n - 1).select(
         *scope, F.col(name).alias("old_name"), F.explode(F.array_distinct(cuts)).alias("new_name"))
     new = names.filter(n > 3).select(*scope, F.col(name).alias("new_name"))
     return old.join(new, [*scope, "new_name"]).select(*scope, "new_name", "old_name")
 
 
+def _grams(names: DataFrame, scope: list[str], name: str) -> DataFrame:
+    """(scope, id, n, gram): the distinct grams of each name as hashes; the id is a hash of the name."""
+    chars = names.select(*scope, F.xxhash64(name).alias("id"), F.length(name).alias("n"), F.split(name, "").alias("c"))
+    places = F.sequence(F.lit(1), F.col("n") - GRAM + 1)
+    grams = F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice("c", i, GRAM), ""))))
+    return chars.select(*scope, "id", "n", F.explode(grams).alias("gram"))
+
+
+def _long_matches(names: DataFrame, scope: list[str], name: str) -> DataFrame:
+    """Matches of old names of more than ``LONG`` characters: a new name is looked up by its rarest gram.
+
+    An old name holds every gram of a name it contains, so one is enough, and a new name with a gram that no old name
+    of fitting length has is done. Lengths are in classes by powers of 1/0.85; a match is of the same class or the next.
+    Rows carry hashes, so the work grows with the length of a name; names meet only where a rarest gram does.
+    """
+    size = lambda c: F.floor(F.log(c) / F.lit(-math.log(NAME_RATIO))).cast("int")
+    grams = _grams(names.filter(F.length(name) > int(LONG * NAME_RATIO)), scope, name)
+    old = grams.filter(F.col("n") > LONG).withColumn("class", size(F.col("n")))
+    new = grams.withColumn("class", F.explode(F.array(size(F.col("n")), size(F.col("n")) + 1)))
+    counts = old.groupBy(*scope, "class", "gram").agg(F.count(F.lit(1)).alias("holders"))
+    # a name of more than LONG characters is a holder of its own grams
+    own = F.when((F.col("n") > LONG) & (F.col("class") == size(F.col("n"))), 1).otherwise(0)
+    ranked = new.join(counts, [*scope, "class", "gram"], "left").groupBy(*scope, "class", "id", "n").agg(
+        F.min(F.struct((F.coalesce("holders", F.lit(0)) - own).alias("others"), "gram")).alias("best"))
+    sought = ranked.filter("best.others > 0").select(*scope, "class", F.col("best.gram").alias("gram"), F.col("id").alias("new_id"), F.col("n").alias("k"))
+    fits = (F.col("k") < F.col("n")) & (F.col("k") >= _shortest(F.col("n")))
+    pairs = old.join(sought, [*scope, "class", "gram"]).filter(fits).select(*scope, "new_id", F.col("id").alias("old_id"))
+    named = lambda x: names.select(*scope, F.xxhash64(name).alias(f"{x}_id"), F.col(name).alias(f"{x}_name"))
+    found = pairs.join(named("old"), [*scope, "old_id"]).join(named("new"), [*scope, "new_id"])
+    return found.filter(F.contains("old_name", "new_name")).select(*scope, "new_name", "old_name")
+
+
 def mark_duplicates(leads: DataFrame, rules: tuple[str, ...] = ("domain", "name")) -> DataFrame:
     """Adds ``is_duplicate`` and ``duplicate_of``: leads are taken in order of (created_at, lead_id) and a lead is a
     duplicate when an earlier kept lead of its search has its domain, or a name that contains its name at more than
@@ -149,27 +198,25 @@ def _segments(edits: Column, name: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), edits), one)
 
 
-def similar_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (name, other, similarity) with similarity >= 0.85, for distinct non-empty names on both sides.
-
-    Two names within k edits agree on one of k+1 segments of the indexed name, at a place moved no further than the
-    edits before or after it allow. The join key is (length, k, segment, text); names of up to six characters have
-    k = 0 and meet by equality through the same key.
-    """
+def indexed_segments(right: DataFrame) -> DataFrame:
+    """(other, len, k, seg, text): the segments of each indexed name for every number of edits its pairs can have."""
     n = F.length("other")
     # the longer of a pair has length between len(other) and len(other)/0.85, hence this range of k
     ks = F.sequence(_allowed_edits(n), _allowed_edits(F.floor(n * 100 / 85).cast("int")))
-    indexed = right.select("other", n.alias("len"), F.explode(ks).alias("k")).select(
+    return right.select("other", n.alias("len"), F.explode(ks).alias("k")).select(
         "other", "len", "k", F.explode(_segments(F.col("k"), F.col("other"))).alias("s")
     ).select("other", "len", "k", F.col("s.seg").alias("seg"), F.col("s.text").alias("text"))
 
+
+def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(name, other, k) of names that agree on a segment at a fitting place; every pair within k edits is among them."""
+    indexed = indexed_segments(right)
     m = F.length("name")
     lens = F.sequence(F.ceil(m * 85 / 100).cast("int"), F.floor(m * 100 / 85).cast("int"))
     probe = left.select("name", m.alias("m"), F.explode(lens).alias("len"))
     probe = probe.withColumn("k", _allowed_edits(F.greatest("len", "m"))).filter(F.abs(F.col("len") - F.col("m")) <= F.col("k"))
     probe = probe.select("name", "m", "len", "k", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("seg"))
-    start = F.floor(F.col("len") * F.col("seg") / (F.col("k") + 1)).cast("int")
-    stop = F.floor(F.col("len") * (F.col("seg") + 1) / (F.col("k") + 1)).cast("int")
+    start, stop = (_cut(F.col("len"), F.col("k"), F.col("seg") + i) for i in (0, 1))
     probe = probe.withColumn("start", start).withColumn("size", stop - start)
     # with j segments before this one and k - j after it, at most as many edits can have moved it on either side
     shift, after = F.col("m") - F.col("len"), F.col("k") - F.col("seg")
@@ -178,12 +225,62 @@ def similar_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     places = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
     texts = F.array_distinct(F.transform(places, lambda i: F.substr(F.col("name"), i + 1, F.col("size"))))
     probe = probe.select("name", "len", "k", "seg", F.explode(texts).alias("text"))
-    # a pair may meet in several segments; taking each once also spreads the pairs of a frequent segment over all tasks
-    near = indexed.join(probe, ["len", "k", "seg", "text"]).select("name", "other", "k").distinct()
+    return _meet(indexed.withColumn("at", _cut(F.col("len"), F.col("k"), F.col("seg"))), probe)
+
+
+def similar_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs (name, other, similarity) with similarity >= 0.85, for distinct non-empty names on both sides.
+
+    Two names within k edits agree on one of k+1 segments of the indexed name, at a place moved no further than the
+    edits before or after it allow. The join key is (length, k, segment, text); names of up to six characters have
+    k = 0 and meet by equality through the same key.
+    """
+    # a pair may meet in several segments; taking each once also spreads the pairs of a segment over all tasks
+    near = candidate_pairs(left, right).distinct()
     return near.filter(_within("name", "other", F.col("k"))).select(
         "name", "other", similarity("name", "other").alias("similarity")).filter(F.col("similarity") >= NAME_RATIO)
 
 
+def _cut(length: Column, k: Column, seg: Column) -> Column:
+    """Where segment ``seg`` of an even cut into k+1 begins, from 0."""
+    return F.floor(length * seg / (k + 1)).cast("int")
+
+
+def _meet(indexed: DataFrame, probe: DataFrame) -> DataFrame:
+    """(name, other, k) of names that share a segment key (len, k, seg, text).
+
+    A segment that more than ``CROWD`` indexed names share is no key for pairs. There, what is left of the indexed name
+    around the segment is cut into k+1 parts, of which k edits leave one intact, moved by k places at most; names have
+    to agree on such a part as well. Parts are counted too, and what is still crowded is dealt out by blocks of the
+    indexed names, so that no task has all pairs of a key.
+    """
+    key = ["len", "k", "seg", "text"]
+    crowded = checkpointed(indexed.groupBy(*key).agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > CROWD).select(*key))
+    few = indexed.join(crowded, key, "left_anti").join(probe, key).select("name", "other", "k")
+    rest = F.concat(F.substr("other", F.lit(1), F.col("at")), F.substr("other", F.col("at") + F.length("text") + 1, F.length("other")))
+    # parts are places in the indexed name: those before the segment keep theirs, those behind skip it
+    parts = indexed.join(crowded, key, "left_semi").withColumn("rest", rest).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("k"))))
+    begin, end = (_cut(F.length("rest"), F.col("k"), F.col("part") + i) for i in (0, 1))
+    size = F.length("text")
+    parts = parts.withColumn("begin", begin).withColumn("end", end).filter("begin < end")
+    # a part that lies on both sides of the segment is taken up to it, which is shorter and so found wherever it was
+    parts = parts.withColumn("end", F.when((F.col("begin") < F.col("at")) & (F.col("end") > F.col("at")), F.col("at")).otherwise(F.col("end")))
+    place = F.when(F.col("begin") < F.col("at"), F.col("begin")).otherwise(F.col("begin") + size)
+    parts = parts.select(*key, "other", place.alias("place"), F.substr("rest", F.col("begin") + 1, F.col("end") - F.col("begin")).alias("piece"))
+    # probes list their pieces only for the places and sizes that the indexed names of the key have
+    shapes = parts.select(*key, "place", F.length("piece").alias("width")).distinct()
+    low = F.greatest(F.col("place") - F.col("k"), F.lit(0))
+    high = F.least(F.col("place") + F.col("k"), F.length("name") - F.col("width"))
+    pieces = F.when(low <= high, F.array_distinct(F.transform(F.sequence(low, high), lambda i: F.substr(F.col("name"), i + 1, F.col("width")))))
+    sought = probe.join(crowded, key, "left_semi").join(shapes, key).select(*key, "name", "place", F.explode(pieces).alias("piece"))
+    both = [*key, "place", "piece"]
+    blocks = parts.groupBy(*both).agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("blocks"))
+    dealt = parts.join(blocks, both).withColumn("block", F.pmod(F.xxhash64("other"), F.col("blocks")).cast("int")).drop("blocks")
+    sought = sought.join(blocks, both).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    many = dealt.join(sought, [*both, "block"]).select("name", "other", "k")
+    return few.unionByName(many)
+
+
 def _within(a: str, b: str, k: Column) -> Column:
     """Edit distance at most ``k``. The bounded form stops early; its bound must be a constant, so it goes by steps."""
     steps = F.when(k == 0, F.when(F.col(a) == F.col(b), 0).otherwise(-1))

@@ -72,8 +72,10 @@ def sitemap_team_pages(sitemaps: DataFrame, limit: int = 10) -> DataFrame:
 
 DOT = r"(?:\s*[\[(]\s*dot\s*[\])]\s*|\s+dot\s+)"
 AT = r"(?:\s*[\[(]\s*at\s*[\])]\s*|\s+at\s+)"
-DOT_ADDRESS = rf"(?i)[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+{DOT}[a-zA-Z]{{2,}}"
-AT_ADDRESS = rf"(?i)[a-zA-Z0-9._%+-]+{AT}[a-zA-Z0-9.-]+{DOT}[a-zA-Z]{{2,}}"
+#: Addresses begin where a run of their letters begins, or behind the address before: each run is scanned once.
+AT_RUN = r"(?:(?<![a-zA-Z0-9._%+-])|\G)"
+DOT_ADDRESS = rf"(?i){AT_RUN}[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+{DOT}[a-zA-Z]{{2,}}"
+AT_ADDRESS = rf"(?i){AT_RUN}[a-zA-Z0-9._%+-]+{AT}[a-zA-Z0-9.-]+{DOT}[a-zA-Z]{{2,}}"
 
 
 def page_emails(html: Column | str, allow: tuple[str, ...] = ()) -> Column:
@@ -84,7 +86,7 @@ def page_emails(html: Column | str, allow: tuple[str, ...] = ()) -> Column:
     def clean(c: Column) -> Column:
         return F.lower(F.regexp_replace(F.regexp_replace(c, f"(?i){AT}", "@"), f"(?i){DOT}", "."))
 
-    plain = all_groups(R.EMAIL_PATTERN, decoded)
+    plain = all_groups(AT_RUN + R.EMAIL_PATTERN, decoded)
     spoken = F.transform(F.concat(all_groups(DOT_ADDRESS, decoded), all_groups(AT_ADDRESS, decoded)), clean)
     packed = F.transform(
         all_groups(r'(?i)data-email="([^"]+)"', h, 1),

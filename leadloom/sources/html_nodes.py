@@ -2,7 +2,8 @@
 
 ``read_nodes`` keeps pages partitioned as they come and adds per page the visible text, the JSON-LD script bodies and
 one struct per element: ``seq`` (document order), ``stop`` (first seq after its descendants), ``tag``, ``attrs``, and
-``a``/``b``, the slice of the text it covers. Selector rules are Spark expressions over that array (see
+``a``/``b``, the slice of the text it covers. The text also comes in pieces of ``PIECE`` characters, so that the text
+of an element is read where it lies and not from the start of the page. Selector rules are Spark expressions over that array (see
 ``leadloom.functions.nodes``), so a page is parsed once however many rules read it.
 """
 
@@ -26,6 +27,8 @@ _NODE = pa.struct([
     ("seq", pa.int32()), ("stop", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())),
     ("a", pa.int32()), ("b", pa.int32())])
 PAGES_PER_BATCH = 64
+#: Characters of a piece of text, a power of two.
+PIECE = 256
 
 
 class _Reader(HTMLParser):
@@ -101,17 +104,18 @@ def _parser(keep: list[str]):
                 parsed = [parse(h.as_py()) for h in part.column("html")]
                 columns = [part.column(c) for c in keep] + [
                     pa.array([p[0] for p in parsed], pa.list_(_NODE)), pa.array([p[1] for p in parsed], pa.string()),
-                    pa.array([p[2] for p in parsed], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "nodes", "page_text", "ld"])
+                    pa.array([p[2] for p in parsed], pa.list_(pa.string())),
+                    pa.array([[p[1][i:i + PIECE] for i in range(0, len(p[1]), PIECE)] for p in parsed], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "nodes", "page_text", "ld", "page_pieces"])
     return run
 
 
 def read_nodes(pages: DataFrame, keep_html: bool = False) -> DataFrame:
-    """Columns of ``pages`` (``html`` only on request) plus ``nodes``, ``page_text`` and ``ld``.
+    """Columns of ``pages`` (``html`` only on request) plus ``nodes``, ``page_text``, ``ld`` and ``page_pieces``.
 
     Narrow and filter ``pages`` first: neither reaches through the Python step.
     """
     kept = [f for f in pages.schema.fields if keep_html or f.name != "html"]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return pages.mapInArrow(
-        _parser([f.name for f in kept]), f"{ddl}, nodes {NODES_DDL}, page_text string, ld array<string>")
+        _parser([f.name for f in kept]), f"{ddl}, nodes {NODES_DDL}, page_text string, ld array<string>, page_pieces array<string>")

@@ -1,10 +1,11 @@
 """Table operators against brute force, and plans that must hold at scale."""
 
 import random
+import time
 
 from pyspark.sql import Window as W, functions as F
 
-from leadloom.operators import dedup, ledger, skew
+from leadloom.operators import dedup, ledger, pages, skew
 from leadloom.sources import fixtures, html_nodes, lead_fixture as L
 from leadloom.streaming import live
 
@@ -214,3 +215,91 @@ def test_stream_goes_on_in_its_folder_and_takes_empty_sources(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
         got = {r["seq"]: (r["balance"], r["refused"]) for r in stream().collect()}
     assert got == {1: (2, False), 2: (1, False), 3: (0, False), 4: (0, True), 5: (1, False)}
+
+
+def contained(rows):
+    return {(s, a, b) for s, a in rows for t, b in rows if s == t and a != b and len(a) > 3 and a in b and len(a) > 0.85 * len(b)}
+
+
+def test_contained_names_of_any_length_equal_brute_force(spark):
+    """Short names list their matches, long ones are found by their rarest gram; lengths around the border meet."""
+    rng = random.Random(1)
+    rows = set()
+    for s in range(3):
+        for _ in range(25):
+            w = "".join(rng.choice("ab c") for _ in range(rng.choice([8, 30, 63, 64, 65, 66, 70, 90, 130, 300])))
+            rows |= {(s, w), *[(s, w[rng.randrange(max(1, len(w) // 10)):len(w) - rng.randrange(max(1, len(w) // 10))]) for _ in range(3)]}
+    got = [tuple(r) for r in dedup.name_matches(spark.createDataFrame(sorted(rows), "search_id int, name string"), ["search_id"]).collect()]
+    want = contained(rows)
+    assert len(got) == len(want) and set(got) == want and any(len(b) > dedup.LONG for _, _, b in want) and any(len(b) <= dedup.LONG for _, _, b in want)
+
+
+def test_contained_names_of_thousands_of_characters(spark):
+    base = "".join(random.Random(2).choice("abcdefghij klmnop") for _ in range(3000))
+    rows = [(1, base[i:3000 - j]) for i in range(0, 100, 20) for j in range(0, 200, 40)]
+    names = spark.createDataFrame(rows, "search_id int, name string")
+    matches = dedup.name_matches(names, ["search_id"])
+    assert {tuple(r) for r in matches.collect()} == contained(rows)
+    start = time.perf_counter()
+    matches.count()
+    assert time.perf_counter() - start < 20  # a list of all substrings took 22 s for one such name
+
+
+def list_page(n):
+    cards = "".join(f"<li class='card item'><h3>Comp {i} Ltd</h3><a href='https://h{i}.com/x'>Visit é website {i}</a><p>Some text of number {i}</p></li>" for i in range(n))
+    return f"<html><head><title>Top companies list</title></head><body><ul>{cards}</ul></body></html>"
+
+
+def test_page_rules_grow_with_the_page(spark):
+    """Nine times the cards take about nine times as long, not eighty-one times."""
+    took = {}
+    for n in (2000, 2000, 18000):
+        d = spark.createDataFrame([(1, "https://list.org/directory", list_page(n))], "page_id long, url string, html string")
+        start = time.perf_counter()
+        row, hits = pages.page_structure(d).first(), pages.expand_directories(d).orderBy("pos").collect()
+        took[n] = time.perf_counter() - start
+        assert row["list_items"] == row["cards"] == n and row["profile_buttons"] == 0 and len(hits) == 30
+        assert hits[7]["title"] == "Visit é website 7" and hits[7]["snippet"] == "Comp 7 LtdVisit é website 7Some text of number 7"
+    assert took[18000] < 20 * took[2000]
+
+
+def test_email_scan_of_long_runs(spark):
+    """Five megabytes of inline data, and addresses that touch each other."""
+    html = "<p>jane@acme.com</p><img src='data:image/png;base64," + "QUJDRA+" * 750_000 + "'> a@b.com-x@c.org p@q.comr@s.com bob [at] acme [dot] com"
+    start = time.perf_counter()
+    found = spark.createDataFrame([(html,)], "html string").select(pages.page_emails("html").alias("e")).first()["e"]
+    assert [e["email"] for e in found] == ["jane@acme.com", "a@b.com", "-x@c.org", "p@q.comr", "bob@acme.com"]
+    assert time.perf_counter() - start < 60
+
+
+def test_similar_pairs_of_crowded_segments(spark, monkeypatch):
+    """Segments that many names share make no pairs by themselves, and lose none."""
+    rng = random.Random(6)
+    ends = [" trading company", " trading co", "x trading company"]
+    names = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) + rng.choice(ends) for _ in range(150)})
+    d = spark.createDataFrame([(n,) for n in names], "name string")
+    pairs = lambda: {tuple(r) for r in dedup.similar_pairs(d, d.withColumnRenamed("name", "other")).select("name", "other").collect()}
+    whole = pairs()
+    monkeypatch.setattr(dedup, "CROWD", 3)
+    want = {(a, b) for a in names for b in names if 1 - edit_distance(a, b) / max(len(a), len(b)) >= 0.85}
+    assert pairs() == whole == want and len(want) > len(names)
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_no_task_has_all_pairs_of_a_segment(spark):
+    """Names that share one segment, and little else, meet by a second part of the name."""
+    rng = random.Random(8)
+    names = {"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(13)) + " holding" for _ in range(20_000)}
+    d = spark.createDataFrame([(n,) for n in names], "name string").repartition(4)
+    indexed = dedup.indexed_segments(d.select(F.col("name").alias("other")))
+    assert indexed.groupBy("len", "k", "seg", "text").count().agg({"count": "max"}).first()[0] > 19_000
+    near = dedup.candidate_pairs(d, d.withColumnRenamed("name", "other"))
+    assert near.filter("name <> other").count() < 20_000_000 // 4
