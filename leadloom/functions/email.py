@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from leadloom import refdata as R
+from leadloom.functions.person import NAME_REJECT_FIRST_WORDS, NAME_REJECT_WORDS
 from leadloom.functions.text import alternation, col, let, null_if_empty, text_or_empty
 
 ROLE_ADDRESS = rf"^({alternation(R.ROLE_MAILBOXES)})@|@({alternation(R.ROLE_MAIL_DOMAINS)})$"
@@ -186,7 +187,7 @@ def strip_honorific(name: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.trim(text_or_empty(name)), rf"(?i)^({alternation(R.HONORIFICS)})\.?\s+", ""))
 
 
-NAME_IS_COPY = r"(?i)^(" + alternation(R.NAME_REJECT_FIRST_WORDS) + r")\b|\b(" + alternation(R.NAME_REJECT_WORDS) + r")\b"
+NAME_IS_COPY = r"(?i)^(" + alternation(NAME_REJECT_FIRST_WORDS) + r")\b|\b(" + alternation(NAME_REJECT_WORDS) + r")\b"
 
 
 def email_from_template(name: Column | str, template: Column | str, website: Column | str) -> Column:

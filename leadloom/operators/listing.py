@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from leadloom import refdata as R
 from leadloom.functions.text import null_if_empty, text_or_empty
 from leadloom.operators.skew import bucketed_rank, top_per_key
+from leadloom.session import checkpointed
 
 SHARE_FLAGS = ("share_searches", "share_leads", "share_templates")
 
@@ -68,6 +69,9 @@ def period_filter(table: DataFrame, period: str, now: Column, start: Column | No
     return table
 
 
+ID_WIDTH = 1_000_000
+
+
 def lead_order(by: str = "rank", ascending: bool = False) -> list[Column]:
     """Sort of a lead list, NULLs last, ties by lead id.
 
@@ -91,15 +95,54 @@ def page_of(table: DataFrame, order: list[Column], page: int, size: int) -> Data
     return table.orderBy(*order).limit(page * size).offset((page - 1) * size)
 
 
+def _ranges(by: str, ascending: bool) -> list[list[Column]]:
+    """Coarse forms of ``lead_order`` as ascending columns, in levels: a row of an earlier range sorts earlier."""
+    def up(c: str) -> list[Column]:
+        return [F.col(c).isNull(), F.coalesce(F.col(c), F.lit(0))]
+
+    def down(c: str) -> list[Column]:
+        return [F.col(c).isNull(), -F.coalesce(F.col(c), F.lit(0))]
+
+    if by == "created_at":
+        day = F.floor(F.unix_micros(F.col(by).cast("timestamp")) / 86_400_000_000)
+        return [[F.col(by).isNull(), F.coalesce(day if ascending else -day, F.lit(0))]]
+    if by == "company_name":
+        return [[F.col(by).isNull(), F.coalesce(F.substring(by, 1, n), F.lit(""))] for n in (2, 8)]
+    scores = ["quality_score", "verification_score", "signal_strength"]
+    if ascending and by in ("quality_score", "signal_strength"):
+        levels = up(by) + [x for c in scores if c != by for x in down(c)]
+    else:
+        levels = [x for c in scores for x in down(c)]
+    return [levels, [F.floor(F.col("lead_id") / ID_WIDTH)]]
+
+
+def deep_page(table: DataFrame, by: str, ascending: bool, page: int, size: int) -> DataFrame:
+    """Rows of one page, however deep: rows are counted per range of the sort key, level by level, and only the ranges
+    that the page touches are counted finer and at last sorted.
+
+    ``lead_id`` is unique. A level has few ranges: combinations of scores, days, beginnings of names; ranges of ids
+    only inside the combinations left. Names in descending order are cut by ``page_of``.
+    """
+    if by == "company_name" and not ascending:
+        return page_of(table, lead_order(by, ascending), page, size)
+    rows, first, names = table, (page - 1) * size, []
+    for level, columns in enumerate(_ranges(by, ascending)):
+        rows = rows.withColumns({f"__r{level}_{i}": c for i, c in enumerate(columns)})
+        names += [f"__r{level}_{i}" for i in range(len(columns))]
+        counts = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+        ends = counts.withColumn("end", F.sum("n").over(W.orderBy(*names).rowsBetween(W.unboundedPreceding, W.currentRow)))
+        touched = checkpointed(ends.filter((F.col("end") > first) & (F.col("end") - F.col("n") < first + size)))
+        first -= touched.agg(F.min(F.col("end") - F.col("n"))).first()[0] or 0
+        rows = rows.join(F.broadcast(touched.select(*names)), names, "left_semi")  # at most one range per row of the page
+    return rows.drop(*names).orderBy(*lead_order(by, ascending)).offset(first).limit(size)
+
+
 def page_info(table: DataFrame, page: int, size: int) -> DataFrame:
     return table.agg(F.count(F.lit(1)).alias("total")).select(
         F.lit(page).alias("page"), F.lit(size).alias("limit"), "total",
         F.ceil(F.col("total") / size).cast("long").alias("pages"))
 
 
-ID_WIDTH = 1_000_000
-
-
 def ranked_within_search(leads: DataFrame, rank: str = "rank") -> DataFrame:
     """Position of every lead in its search. Buckets are the three scores and ranges of ids, so that one large search
     is ranked by many tasks."""

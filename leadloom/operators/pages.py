@@ -44,6 +44,8 @@ def page_links(pages: DataFrame) -> DataFrame:
                        external.alias("is_external"))
 
 
+#: Place of the fixed paths, behind any link that a page can hold.
+FIXED_PATHS = 1 << 30
 REGION = r"(?is)<(?:nav|footer)[^>]*>.*?</(?:nav|footer)>"
 
 
@@ -55,12 +57,30 @@ def team_page_candidates(pages: DataFrame, limit: int = 10) -> DataFrame:
     linked = linked.filter(F.col("href").rlike(words) | F.col("text").rlike(words)).select(
         "page_id", "url", "pos", absolute_url(F.col("href"), F.col("url")).alias("candidate"))
     paths = pages.select("page_id", "url", F.posexplode(R.literal_array(R.TEAM_PATHS)).alias("i", "path")).select(
-        "page_id", "url", (F.col("i") + 1_000_000).alias("pos"), F.concat(url_origin("url"), "path").alias("candidate"))
+        "page_id", "url", (F.col("i") + FIXED_PATHS).alias("pos"), F.concat(url_origin("url"), "path").alias("candidate"))
     both = linked.unionByName(paths).filter("candidate IS NOT NULL")
     first = first_per_key(both, ["page_id", "candidate"], ["pos"])
     return top_per_key(first, ["page_id"], [F.asc("pos")], limit)
 
 
+def page_key(url: Column | str) -> Column:
+    """Host and path of a page without ``www.``, port, query, fragment and closing slash; NULL for no absolute URL."""
+    return F.concat(url_host(url), F.regexp_replace(url_path(url), "/+$", ""))
+
+
+def team_pages(pages: DataFrame, limit: int = 10) -> DataFrame:
+    """(page_id, team_page_id, url, place): the candidates of each page that are among ``pages``, in order of place.
+
+    Candidates and pages meet by their key; only ids and URLs move. Of pages with one key the lowest id stands for it.
+    """
+    wanted = team_page_candidates(pages, limit).select("page_id", F.col("pos").alias("place"), page_key("candidate").alias("key"))
+    wanted = wanted.groupBy("page_id", "key").agg(F.min("place").alias("place"))
+    known = pages.select(page_key("url").alias("key"), F.struct("page_id", "url").alias("p")).filter("key IS NOT NULL")
+    known = known.join(wanted.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("p").alias("p"))
+    found = wanted.join(known, "key").filter(F.col("p.page_id") != F.col("page_id"))
+    return found.select("page_id", F.col("p.page_id").alias("team_page_id"), F.col("p.url").alias("url"), "place")
+
+
 def sitemap_team_pages(sitemaps: DataFrame, limit: int = 10) -> DataFrame:
     """Team page URLs of sitemap texts (``site_id, xml``)."""
     rows = sitemaps.select("site_id", F.posexplode(all_groups(r"(?i)<loc>(.*?)</loc>", F.col("xml"), 1)).alias("pos", "url"))

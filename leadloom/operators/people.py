@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from leadloom import refdata as R
@@ -364,6 +367,87 @@ def page_text_people(pages: DataFrame) -> DataFrame:
     return text_rule_people(pages, "page_id", visible_text("html"), PRESS_RULES, "press_release", 0.85)
 
 
+@dataclass(frozen=True)
+class Stage:
+    """A source of people: ``rows`` with a ``site``, and what makes (site, at, person columns) of them; ``at`` orders
+    the finds of a site."""
+
+    rows: DataFrame
+    people: Callable[[DataFrame], DataFrame]
+
+
+def people_in_stages(stages: list[Stage], limit: int = PEOPLE_PER_SITE, enough: int = ENOUGH_PEOPLE) -> DataFrame:
+    """(site, source_rank, pos, person columns): each source is only read for sites that earlier ones left with fewer
+    than ``enough`` people.
+
+    A person is a name and title, once per site, from the first source that has it. Rows of sites that have enough are
+    taken out before the rules of a source run. Sites are null-free; rows without one are left out.
+    """
+    known: DataFrame | None = None
+    for rank, stage in enumerate(stages):
+        rows = stage.rows.filter("site IS NOT NULL")
+        if known is not None:
+            done = known.groupBy("site").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= enough).select("site")
+            rows = rows.join(done, "site", "left_anti")
+        found = stage.people(rows).select("site", "at", *PERSON_COLUMNS)
+        keyed = found.withColumn("key", F.concat_ws("-", F.lower("name"), text_or_empty(F.lower("title"))))
+        fresh = first_per_key(keyed, ["site", "key"], ["at", "name", "title"])
+        if known is not None:
+            fresh = fresh.join(known.select("site", "key"), ["site", "key"], "left_anti")
+        fresh = top_per_key(fresh, ["site"], [F.asc("at"), F.asc("key")], limit, "pos").drop("at")
+        fresh = fresh.withColumn("source_rank", F.lit(rank))
+        known = checkpointed(fresh if known is None else known.unionByName(fresh))
+    out = top_per_key(known, ["site"], [F.asc("source_rank"), F.asc("pos")], limit)
+    return out.select("site", "source_rank", "pos", *PERSON_COLUMNS)
+
+
+def mail_contexts(pages: DataFrame, limit: int = 5) -> DataFrame:
+    """(site, at, email, body): the first mail links of a page with the text of the element around each."""
+    read = read_nodes(pages.select("site", "page_id", "url", "html"))
+    links = F.slice(N.select(lambda n: (n["tag"] == "a") & F.lower(N.attr(n, "href")).startswith("mailto:")), 1, limit)
+
+    def context(a: Column) -> Column:
+        around = F.try_element_at(F.filter(N.all_nodes(), lambda n: (n["seq"] < a["seq"]) & (n["stop"] > a["seq"])), F.lit(-1))
+        address = F.regexp_extract(N.attr(a, "href"), "(?i)^mailto:([^?]*)", 1)
+        return F.struct(F.lower(F.trim(address)).alias("email"), N.text_of(around).alias("body"))
+    rows = read.select("site", "page_id", F.posexplode(F.transform(links, context)).alias("i", "m"))
+    return rows.select("site", F.struct("page_id", "i").alias("at"), "m.email", "m.body")
+
+
+def site_people_stages(pages: DataFrame, sites: DataFrame, results: DataFrame, registry: DataFrame, articles: DataFrame) -> list[Stage]:
+    """The sources of ``SOURCE_ORDER`` for ``people_in_stages``.
+
+    ``pages``: page_id, url, html. ``sites`` (site, company_id) gives rows that have no page their site: ``results``
+    (company_id, pos, title, snippet, link), ``registry`` (company_id, payload), ``articles`` (company_id, text).
+    """
+    own = pages.select("page_id", "url", "html", url_host("url").alias("site"))
+    is_start = F.regexp_replace(text_or_empty(url_path("url")), "/$", "") == ""
+    start, others = own.filter(is_start), own.filter(~is_start)
+    with_site = lambda df: df.join(sites.select("site", "company_id"), "company_id")
+
+    def on_pages(rows: DataFrame) -> DataFrame:
+        return page_people(rows).select(url_host("url").alias("site"), F.struct("page_id", "pos").alias("at"), *PERSON_COLUMNS)
+
+    def in_results(rows: DataFrame) -> DataFrame:
+        found = result_people(rows.drop("search_id").withColumnRenamed("site", "search_id"))
+        return found.filter(text_or_empty("title") != "").select(F.col("search_id").alias("site"), F.struct("result_pos", "i").alias("at"), *PERSON_COLUMNS)
+
+    def in_press(rows: DataFrame) -> DataFrame:
+        return text_rule_people(rows, "site", visible_text("html"), PRESS_RULES, "press_release", 0.85).withColumnRenamed("pos", "at")
+
+    def in_signatures(rows: DataFrame) -> DataFrame:
+        contexts = mail_contexts(rows).withColumn("key", F.struct("site", "at"))
+        return signature_people(contexts, "key", "body", "email").select("key.site", "key.at", *PERSON_COLUMNS)
+
+    def in_registry(rows: DataFrame) -> DataFrame:
+        return registry_people(rows, "site").withColumnRenamed("pos", "at")
+
+    def in_articles(rows: DataFrame) -> DataFrame:
+        return encyclopedia_people(rows, "site").withColumnRenamed("pos", "at")
+    return [Stage(start, on_pages), Stage(others, on_pages), Stage(with_site(results), in_results), Stage(start, in_press),
+            Stage(start, in_signatures), Stage(with_site(registry), in_registry), Stage(with_site(articles), in_articles)]
+
+
 def new_people(existing: DataFrame, found: DataFrame, key: str, limit: int = PEOPLE_PER_SITE) -> DataFrame:
     """Existing people plus found ones whose lower-cased name is not there yet, up to ``limit`` per ``key``."""
     both = existing.withColumn("__s", F.lit(0)).unionByName(found.withColumn("__s", F.lit(1)))

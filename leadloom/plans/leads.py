@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from leadloom.functions.score import (
     in_progress, percent, quality_label, quality_score, remaining_time_text, status_from_counts, verification, verification_label)
@@ -10,7 +12,7 @@ from leadloom.functions.url import bare_domain
 from leadloom.operators import dedup, leads as LD, listing, pages as PG, people as PP
 from leadloom.plans import query
 from leadloom.plans.sql import LEAD_QUALITY, domain, host, mail_score, with_views
-from leadloom.session import checkpointed
+from leadloom.session import checkpointed, new_folder
 from leadloom.sources import lead_fixture as L, tables
 from leadloom.sources.fixtures import view
 
@@ -300,3 +302,33 @@ def lead_parents(spark, sf):
     """Search, user and company of each lead."""
     return tables.with_parents(L.leads(spark, sf).select("lead_id", "search_id"), L.searches(spark, sf), L.users(spark, sf), L.companies(spark, sf)).select(
         "lead_id", "status", "role", "currency")
+
+
+_DEEP = [("rank", False, 40), ("quality_score", True, 25), ("signal_strength", True, 30), ("created_at", False, 33), ("company_name", True, 20), ("rank", False, 100_000)]
+_DEEP_ORDER = {"rank": "quality_score DESC NULLS LAST, verification_score DESC NULLS LAST, signal_strength DESC NULLS LAST, lead_id",
+               "quality_score": "quality_score NULLS LAST, verification_score DESC NULLS LAST, signal_strength DESC NULLS LAST, lead_id",
+               "signal_strength": "signal_strength NULLS LAST, quality_score DESC NULLS LAST, verification_score DESC NULLS LAST, lead_id",
+               "created_at": "created_date DESC, lead_id", "company_name": "company_name, lead_id"}
+
+
+@query(with_views(("v_leads",), " UNION ALL ".join(
+    f"SELECT '{by}' AS sort, {page} AS page, lead_id FROM (SELECT lead_id FROM scored ORDER BY {_DEEP_ORDER[by]} LIMIT 25 OFFSET {(page - 1) * 25}) d{i}" for i, (by, _, page) in enumerate(_DEEP)), _SCORED))
+def deep_pages(spark, sf):
+    """Pages far down each list, found by counts per range."""
+    leads = scored_leads(spark, sf)
+    pages = [listing.deep_page(leads, by, ascending, page, 25).select(F.lit(by).alias("sort"), F.lit(page).alias("page"), "lead_id") for by, ascending, page in _DEEP]
+    return reduce(DataFrame.unionByName, pages)
+
+
+@query(with_views(("v_leads",), """
+SELECT search_id, lead_id, CASE WHEN again THEN upper(company_name) ELSE company_name END AS company_name FROM (
+  SELECT *, search_id % 3 = 0 AND count(*) FILTER (lead_id % 2 = 0) OVER (PARTITION BY search_id) > 0 AS again FROM v_leads) a
+WHERE search_id % 5 <> 0 AND (NOT again OR lead_id % 2 = 0)"""))
+def lead_table(spark, sf):
+    """Written, replaced for a third of the searches, deleted for a fifth, and read back."""
+    root, ddl = new_folder(spark, "lead-table"), "lead_id long, search_id long, company_name string"
+    leads = view(spark, sf, "v_leads").select("lead_id", "search_id", "company_name")
+    tables.commit_leads(leads, root)
+    tables.commit_leads(leads.filter("search_id % 3 = 0 AND lead_id % 2 = 0").withColumn("company_name", F.upper("company_name")), root)
+    tables.delete_leads(spark, leads.filter("search_id % 5 = 0"), root)
+    return tables.read_leads(spark, root, ddl).select("search_id", "lead_id", "company_name")

@@ -136,3 +136,20 @@ SELECT min(page_id) AS page_id, url FROM (SELECT page_id, regexp_replace(url, '[
 def distinct_pages(spark, sf):
     p = table(spark, sf, "pages").select("page_id", F.regexp_replace("url", "[0-9]+", "").alias("url"), "html")
     return P.distinct_pages(p).select("page_id", "url")
+
+
+_CRAWLED = """SELECT s_suppkey * 4 AS page_id, 'https://www.c' || CAST(s_suppkey AS STRING) || '.com/' AS url, '<nav><a href="/our-people?x=1">People</a><a href="https://partner.org/team/">Partner team</a><a href="/shop">Shop</a></nav><p><a href="/staff-list">staff</a></p>' AS html FROM supplier
+UNION ALL SELECT s_suppkey * 4 + 1, 'http://c' || CAST(s_suppkey AS STRING) || '.com/Our-People/', '' FROM supplier WHERE s_suppkey % 2 = 0
+UNION ALL SELECT s_suppkey * 4 + 2, 'https://c' || CAST(s_suppkey AS STRING) || '.com/team#top', '' FROM supplier WHERE s_suppkey % 3 = 0
+UNION ALL SELECT s_suppkey * 4 + 3, 'https://c' || CAST(s_suppkey AS STRING) || '.com/staff-list', '' FROM supplier
+UNION ALL SELECT -1, 'https://partner.org/team', '' FROM supplier WHERE s_suppkey = 1 UNION ALL SELECT -2, 'http://www.partner.org:80/team?q=2', '' FROM supplier WHERE s_suppkey = 1"""
+
+
+@query("""
+SELECT s_suppkey * 4 AS page_id, s_suppkey * 4 + 1 AS team_page_id FROM supplier WHERE s_suppkey % 2 = 0
+UNION ALL SELECT s_suppkey * 4, s_suppkey * 4 + 2 FROM supplier WHERE s_suppkey % 3 = 0
+UNION ALL SELECT s_suppkey * 4 + CAST(d AS BIGINT), s_suppkey * 4 + 2 FROM supplier, (VALUES (1), (3)) v(d) WHERE s_suppkey % 3 = 0 AND (d = 3 OR s_suppkey % 2 = 0)
+UNION ALL SELECT s_suppkey * 4, -2 FROM supplier UNION ALL SELECT -1, -2 FROM supplier WHERE s_suppkey = 1""")
+def chosen_team_pages(spark, sf):
+    """Team pages that were crawled, by links in navigation and by fixed paths."""
+    return P.team_pages(_from(spark, sf, _CRAWLED, "supplier")).select("page_id", "team_page_id")

@@ -145,3 +145,42 @@ def people_not_known(spark, sf):
     old = v.filter("lead_id % 2 = 0").select("search_id", F.col("title").alias("name"), F.col("lead_id").alias("pos"))
     new = v.filter("lead_id % 2 = 1").select("search_id", F.upper("title").alias("name"), F.col("lead_id").alias("pos"))
     return P.new_people(old, new, "search_id").select("search_id", "name")
+
+
+# --- all sources of a site, one after the other ---------------------------------------------------
+
+_LAST = ["Adams", "Baker", "Clark", "Davis", "Evans", "Grant", "Hayes"]
+_NAMED = "(VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(_LAST)) + ") v(i, n)"
+
+
+def _cards(first: str, count: str) -> str:
+    """``count`` cards of people with one first name."""
+    each = " || ".join(f"CASE WHEN {count} > {i} THEN '<div class=\"team-member\"><h3>{first} {n}</h3><span class=\"title\">CEO</span></div>' ELSE '' END" for i, n in enumerate(_LAST))
+    return f"({each})"
+
+
+_SITE_PAGES = f"""SELECT s_suppkey * 2 AS page_id, 'https://c' || CAST(s_suppkey AS STRING) || '.com/' AS url, '<html><body>' || {_cards('Anna', 's_suppkey % 7')}
+  || CASE WHEN s_suppkey % 2 = 0 THEN '<p>CEO David Adams said: yes.</p>' ELSE '' END
+  || CASE WHEN s_suppkey % 5 < 2 THEN '<div>Emma Adams\nDirector <a href="mailto:office@c' || CAST(s_suppkey AS STRING) || '.com">mail</a></div>' WHEN s_suppkey % 5 = 2 THEN '<div>Write <a href="MAILTO:emma.baker@c.com?subject=x">us</a></div>' ELSE '' END || '</body></html>' AS html FROM supplier
+UNION ALL SELECT s_suppkey * 2 + 1, 'https://www.c' || CAST(s_suppkey AS STRING) || '.com/team', '<div>' || {_cards('Anna', 'least(s_suppkey % 7, 1)')} || {_cards('Boris', 's_suppkey % 3')} || '</div>' FROM supplier"""
+_SITES = "SELECT s_suppkey AS company_id, 'c' || CAST(s_suppkey AS STRING) || '.com' AS site FROM supplier"
+_SITE_RESULTS = f"SELECT s_suppkey AS company_id, i AS pos, 'Clara ' || n || ' - CEO' AS title, '' AS snippet, 'https://a.com' AS link FROM supplier, {_NAMED} WHERE i < CAST(floor(s_suppkey / 3) AS INT) % 3"
+_SITE_REGISTRY = """SELECT s_suppkey AS company_id, '{"results": {"companies": [{"company": {"officers": [{"officer": {"name": "Felix Adams", "position": "Chair"}}, {"officer": {"name": "Felix Baker"}}]}}]}}' AS payload FROM supplier WHERE s_suppkey % 4 = 0"""
+_SITE_ARTICLES = "SELECT s_suppkey AS company_id, '| CEO = Grace Adams' AS text FROM supplier"
+
+
+@query(f"""
+WITH s AS (SELECT s_suppkey AS k FROM supplier), p AS (
+  SELECT k, 0 AS source_rank, i AS pos, 'Anna ' || n AS name, 'CEO' AS title FROM s, {_NAMED} WHERE i < k % 7
+  UNION ALL SELECT k, 1, i, 'Boris ' || n, 'CEO' FROM s, {_NAMED} WHERE i < k % 3
+  UNION ALL SELECT k, 2, i, 'Clara ' || n, 'CEO' FROM s, {_NAMED} WHERE i < k // 3 % 3
+  UNION ALL SELECT k, 3, 0, 'David Adams', 'CEO' FROM s WHERE k % 2 = 0
+  UNION ALL SELECT k, 4, 0, CASE WHEN k % 5 = 2 THEN 'Emma Baker' ELSE 'Emma Adams' END, CASE WHEN k % 5 < 2 THEN 'Director' END FROM s WHERE k % 5 < 3
+  UNION ALL SELECT k, 5, i, 'Felix ' || n, CASE i WHEN 0 THEN 'Chair' ELSE 'Director' END FROM s, {_NAMED} WHERE k % 4 = 0 AND i < 2
+  UNION ALL SELECT k, 6, 0, 'Grace Adams', 'CEO' FROM s),
+q AS (SELECT *, (SELECT count(*) FROM p b WHERE b.k = a.k AND b.source_rank < a.source_rank) AS known FROM p a)
+SELECT 'c' || CAST(k AS VARCHAR) || '.com' AS site, source_rank, name, title FROM q WHERE known < 5""")
+def staged_people(spark, sf):
+    read = lambda sql: _from(spark, sf, sql, "supplier")
+    stages = P.site_people_stages(read(_SITE_PAGES), read(_SITES), read(_SITE_RESULTS), read(_SITE_REGISTRY), read(_SITE_ARTICLES))
+    return P.people_in_stages(stages).select("site", "source_rank", "name", "title")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from leadloom import schemas as S
 from leadloom.operators.skew import lookup_per_key
@@ -51,6 +52,78 @@ def write_leads(leads: DataFrame, root: str) -> None:
      .option("partitionOverwriteMode", "dynamic").partitionBy("search_id").parquet(f"{root}/leads"))
 
 
+# --- leads by bucket, with versions ---------------------------------------------------------------
+
+LEAD_BUCKETS = 64
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("search_id"), F.lit(buckets)).cast("int")
+
+
+def _versions(spark: SparkSession, root: str) -> DataFrame:
+    """Versions that are in force."""
+    return _read_or_empty(spark, f"{root}/versions", "version long")
+
+
+def _read_or_empty(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    try:
+        return spark.read.schema(ddl).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return spark.createDataFrame([], ddl)
+
+
+def commit_leads(leads: DataFrame, root: str, buckets: int = LEAD_BUCKETS) -> int:
+    """Replace the leads of the searches present in ``leads`` in the table at ``root``; returns the new version.
+
+    Rows are appended to the buckets of their searches, the searches they replace go to a table of deletions, and the
+    version comes into force with its line in ``versions``, which is written last: a writer that dies before leaves
+    nothing that readers see. Old rows are neither read nor written. There is one writer at a time.
+    """
+    return _commit(leads.sparkSession, root, leads, leads.select("search_id").distinct(), buckets)
+
+
+def delete_leads(spark: SparkSession, doomed: DataFrame, root: str, buckets: int = LEAD_BUCKETS) -> int:
+    """Delete the leads of the searches in ``doomed`` (search_id), which may be of any size."""
+    return _commit(spark, root, None, doomed.select("search_id").distinct(), buckets)
+
+
+def _commit(spark: SparkSession, root: str, leads: DataFrame | None, gone: DataFrame, buckets: int) -> int:
+    version = (_versions(spark, root).agg(F.max("version")).first()[0] or 0) + 1
+    marked = gone.select("search_id", F.lit(version).cast("long").alias("version"))
+    if leads is not None:
+        rows = leads.withColumn("version", F.lit(version).cast("long")).withColumn("bucket", _bucket(buckets))
+        # a bucket is one file of a version, however many searches there are; large buckets come in several
+        rows = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "search_id", "lead_id")
+        rows.write.mode("append").option("maxRecordsPerFile", 1_000_000).partitionBy("bucket").parquet(f"{root}/leads")
+    marked.coalesce(1).write.mode("append").parquet(f"{root}/deleted")
+    spark.range(1).select(F.lit(version).cast("long").alias("version")).coalesce(1).write.mode("append").parquet(f"{root}/versions")
+    return version
+
+
+def read_leads(spark: SparkSession, root: str, ddl: str, searches: DataFrame | None = None, buckets: int = LEAD_BUCKETS) -> DataFrame:
+    """Leads in force, with the columns of ``ddl``; with ``searches`` (search_id) only theirs, from their buckets alone.
+
+    A row counts if its version is in force and no later one has replaced or deleted its search.
+    """
+    rows = _read_or_empty(spark, f"{root}/leads", f"{ddl}, version long, bucket int")
+    if searches is not None:
+        wanted = [r[0] for r in searches.select(_bucket(buckets)).distinct().collect()]  # at most ``buckets`` numbers
+        rows = rows.filter(F.col("bucket").isin(wanted)).join(searches.select("search_id").distinct(), "search_id", "left_semi")
+    versions = _versions(spark, root).distinct()
+    gone = _read_or_empty(spark, f"{root}/deleted", "search_id long, version long").join(versions, "version", "left_semi")
+    gone = gone.groupBy("search_id").agg(F.max("version").alias("since"))
+    live = rows.join(versions, "version", "left_semi")
+    return lookup_per_key(live, gone, ["search_id"]).filter("since IS NULL OR version >= since").drop("version", "bucket", "since")
+
+
+def compact_leads(spark: SparkSession, root: str, target: str, ddl: str, buckets: int = LEAD_BUCKETS) -> int:
+    """The leads in force as the first version of a new table at ``target``."""
+    return commit_leads(read_leads(spark, root, ddl), target, buckets)
+
+
 def deletable_searches(searches: DataFrame, users: DataFrame, viewer_id: int, wanted: list[int]) -> DataFrame:
     """Ids the viewer may delete: own searches, or those of company colleagues when the viewer is an admin."""
     owner = users.select("user_id", "company_id")

@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import Window as W, functions as F
 
-from leadloom.operators import dedup, ledger, pages, skew
+from leadloom.operators import dedup, ledger, listing, pages, people, skew
 from leadloom.sources import fixtures, html_nodes, lead_fixture as L
 from leadloom.streaming import live
 
@@ -303,3 +303,60 @@ def test_no_task_has_all_pairs_of_a_segment(spark):
     assert indexed.groupBy("len", "k", "seg", "text").count().agg({"count": "max"}).first()[0] > 19_000
     near = dedup.candidate_pairs(d, d.withColumnRenamed("name", "other"))
     assert near.filter("name <> other").count() < 20_000_000 // 4
+
+
+def test_lead_table_versions(spark, tmp_path):
+    """Files do not grow with the searches, a commit that dies is not seen, deletes and replacements last."""
+    from leadloom.sources import tables
+
+    root, ddl = str(tmp_path / "t"), "lead_id long, search_id long, name string"
+    rows = spark.range(4000).select(F.col("id").alias("lead_id"), (F.col("id") % 1000).alias("search_id"), F.lit("a").alias("name"))
+    assert tables.read_leads(spark, root, ddl).collect() == []
+    assert tables.commit_leads(rows, root, buckets=8) == 1
+    assert len(list((tmp_path / "t/leads").rglob("*.parquet"))) == 8
+    tables.delete_leads(spark, rows.filter("search_id < 10 OR search_id = 77"), root)
+    tables.commit_leads(rows.filter("search_id IN (5, 500) AND lead_id < 1000").withColumn("name", F.lit("b")), root, buckets=8)
+    # rows of a version that never came into force
+    rows.withColumns({"version": F.lit(4).cast("long"), "bucket": F.lit(0)}).write.mode("append").partitionBy("bucket").parquet(f"{root}/leads")
+    want = {(i, i % 1000, "a") for i in range(4000) if i % 1000 >= 10 and i % 1000 not in (77, 500)} | {(5, 5, "b"), (500, 500, "b")}
+    assert {tuple(r) for r in tables.read_leads(spark, root, ddl).collect()} == want
+    some = tables.read_leads(spark, root, ddl, spark.createDataFrame([(5,), (500,), (77,)], "search_id long"), buckets=8)
+    assert {tuple(r) for r in some.collect()} == {(5, 5, "b"), (500, 500, "b")}
+    assert "PartitionFilters: [bucket" in some._jdf.queryExecution().executedPlan().toString().replace("isnotnull(bucket", "[bucket")
+    tables.compact_leads(spark, root, str(tmp_path / "u"), ddl, buckets=8)
+    assert {tuple(r) for r in tables.read_leads(spark, str(tmp_path / "u"), ddl).collect()} == want
+
+
+def test_deep_pages_equal_one_sort(spark):
+    rng = random.Random(4)
+    pick = lambda n: rng.choice([None, *range(n)])
+    rows = [(i, pick(6), pick(6), pick(20), rng.choice([None, "", "Alpha trading", "Alpha trade", "Beta", "alpha"]), rng.randrange(5)) for i in rng.sample(range(5_000_000), 600)]
+    d = spark.createDataFrame(rows, "lead_id long, quality_score int, verification_score int, signal_strength int, company_name string, day int")
+    d = d.withColumn("created_at", F.timestamp_seconds(F.col("day") * 86_400 + F.col("lead_id") % 86_400)).drop("day").cache()
+    for by, ascending in (("rank", False), ("quality_score", True), ("signal_strength", True), ("created_at", True), ("created_at", False), ("company_name", True), ("company_name", False)):
+        whole = [r["lead_id"] for r in d.orderBy(*listing.lead_order(by, ascending)).collect()]
+        for page in (1, 7, 24, 30):
+            assert [r["lead_id"] for r in listing.deep_page(d, by, ascending, page, 25).collect()] == whole[(page - 1) * 25:page * 25], (by, page)
+    assert listing.deep_page(d.limit(0), "rank", False, 3, 25).collect() == []
+
+
+def test_team_pages_move_no_html(spark):
+    d = spark.createDataFrame([(1, "https://a.com/", "<nav><a href='/team'>t</a></nav>"), (2, "http://www.a.com:8080/Team/?x", "x"), (3, None, None), (4, "https://b.org/team", "")], "page_id long, url string, html string")
+    assert [tuple(r) for r in pages.team_pages(d).select("page_id", "team_page_id").collect()] == [(1, 2)]
+    assert pages.team_pages(d.limit(0)).collect() == []
+
+
+def test_later_sources_read_only_sites_that_need_them(spark):
+    """A source sees no rows of sites that have enough people, nor rows without a site."""
+    seen = []
+    columns = {c: F.lit(None).cast("string") for c in ("title", "email", "source")} | {"confidence": F.lit(0.5)}
+
+    def source(rows):
+        seen.append(sorted(r["site"] for r in rows.select("site").distinct().collect()))
+        return rows.select("site", F.col("n").alias("at"), F.concat(F.lit("Name "), F.col("n").cast("string")).alias("name"), *[c.alias(k) for k, c in columns.items()])
+    stage = lambda rows: people.Stage(spark.createDataFrame(rows, "site string, n int"), source)
+    out = people.people_in_stages([stage([("a", i) for i in range(6)] + [("b", 1), ("b", 1), (None, 3)]), stage([("a", 9), ("b", 1), ("b", 7), ("c", 2)]),
+                                   stage([("c", i) for i in range(20)] + [("a", 1)])], limit=8)
+    assert seen == [["a", "b"], ["b", "c"], ["c"]]
+    got = sorted((r["site"], r["source_rank"], r["name"]) for r in out.collect())
+    assert got == sorted([("a", 0, f"Name {i}") for i in range(6)] + [("b", 0, "Name 1"), ("b", 1, "Name 7"), ("c", 1, "Name 2")] + [("c", 2, f"Name {i}") for i in (0, 1, 3, 4, 5, 6, 7)])
