@@ -181,10 +181,13 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return own.unionByName(heads).groupBy("a", "batch").applyInArrow(_verified, "a binary, b binary")
 
 
-def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """``rows`` (set) with the root of each set over ``links``."""
-    roots = components(links).select(F.col("node").alias("set"), F.col("root").alias("root"))
-    return rows.drop("root").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
+def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` (set) with a root: the smallest head each set is linked to, or itself.
+
+    Sets of one root are connected; that is all that is needed to spare comparisons, so no components are worked out.
+    """
+    heads = links.groupBy(F.col("b").alias("set")).agg(F.min("a").alias("root"))
+    return rows.join(heads, "set", "left").withColumn("root", F.coalesce("root", "set"))
 
 
 def links(docs: DataFrame, doc_id: str, text: str, sets: DataFrame, rounds: int = HEAD_ROUNDS, block: int = BLOCK) -> DataFrame:
@@ -209,7 +212,7 @@ def links(docs: DataFrame, doc_id: str, text: str, sets: DataFrame, rounds: int
         pairs = _candidates(sent_if_small(pairs.join(tested, ["head", "set"], "left_anti")), sets)
         tested = tested.unionByName(pairs)
         found = stored(found.unionByName(_verify(pairs, texts)), "links")
-        shared = stored(_rooted(left.select("band", "set"), found), "buckets")
+        shared = stored(_labelled(left.select("band", "set"), found), "buckets")
         if shared.isEmpty():
             break
     head = F.min("set").alias("head")
@@ -219,7 +222,7 @@ def links(docs: DataFrame, doc_id: str, text: str, sets: DataFrame, rounds: int
     if clusters.isEmpty():
         return found
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    known = _rooted(clusters, found).join(sizes, "cluster").join(texts, "set")
+    known = _labelled(clusters, found).join(sizes, "cluster").join(texts, "set")
     at = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
     dealt = known.withColumn("at", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("cluster", F.col("set").alias("node"), "root", "text", F.least("at", "other").alias("x"), F.greatest("at", "other").alias("y"))
