@@ -6,11 +6,13 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from leadloom import refdata as R
+from leadloom.functions.email import merge_emails
 from leadloom.functions.score import (
     in_progress, percent, quality_label, quality_score, remaining_time_text, status_from_counts, verification, verification_label)
 from leadloom.functions.url import bare_domain
 from leadloom.operators import dedup, leads as LD, listing, pages as PG, people as PP
-from leadloom.plans import query
+from leadloom.plans import ORACLES, query
 from leadloom.plans.sql import LEAD_QUALITY, domain, host, mail_score, with_views
 from leadloom.session import checkpointed, new_folder
 from leadloom.sources import lead_fixture as L, tables
@@ -202,7 +204,15 @@ def point_read(spark, sf):
 
 # --- build and enrich ----------------------------------------------------------------------------
 
-@query()
+_PLACES = {c: (la, lo) for c, la, lo in R.CITY_COORDINATES if c in ("lagos", "nairobi", "london")}
+_FROM_LAGOS = "CASE location " + " ".join(
+    f"WHEN '{c.capitalize()}' THEN round(2 * 6371 * atan2(sqrt(h), sqrt(1 - h)), 1)".replace("h)", f"(pow(sin(radians({la} - {_PLACES['lagos'][0]}) / 2), 2) + cos(radians({la})) * cos(radians({_PLACES['lagos'][0]})) * pow(sin(radians({lo} - {_PLACES['lagos'][1]}) / 2), 2)))").replace("- h", "- ")
+    for c, (la, lo) in _PLACES.items()) + " END"
+
+
+@query(with_views(("v_site_pages", "v_searches"), f"""
+SELECT page_id AS lead_id, page_id % 1500 AS search_id, 'C' || CAST(page_id AS VARCHAR) || ' Trading' AS company_name, 'https://www.c' || CAST(page_id AS VARCHAR) || '.com/' AS website,
+  2 AS emails, 1 AS phones, 2 AS people, 5 AS quality_score, {_FROM_LAGOS} AS distance_km FROM v_site_pages JOIN v_searches ON search_id = page_id % 1500"""))
 def build_leads(spark, sf):
     """Search results over the site pages, from raw HTML to scored leads."""
     pages = L.site_pages(spark, sf)
@@ -285,7 +295,8 @@ def search_progress(spark, sf):
                     remaining_time_text(*args).alias("remaining"), status_from_counts(c("total_results"), c("total_results"), c("extracted"), F.lit(30)).alias("next_status"))
 
 
-@query()
+@query(ORACLES["mark_duplicates"].replace("SELECT lead_id, dup IS NOT NULL AS is_duplicate, dup AS duplicate_of FROM fold", f"""SELECT l.lead_id, l.search_id, {domain('website')} AS domain, {LEAD_QUALITY} AS quality_score,
+  row_number() OVER (PARTITION BY l.search_id ORDER BY {LEAD_QUALITY} DESC, coalesce(verification_score, -1) DESC, coalesce(signal_strength, -1) DESC, l.lead_id) AS rank FROM v_leads l JOIN (SELECT lead_id AS id, dup FROM fold) f ON id = lead_id WHERE dup IS NULL"""))
 def lead_batch_job(spark, sf):
     """Score, mark duplicates and rank within each search: the whole batch path on lead rows."""
     leads = scored_leads(spark, sf).drop("is_duplicate")
@@ -332,3 +343,43 @@ def lead_table(spark, sf):
     tables.commit_leads(leads.filter("search_id % 3 = 0 AND lead_id % 2 = 0").withColumn("company_name", F.upper("company_name")), root)
     tables.delete_leads(spark, leads.filter("search_id % 5 = 0"), root)
     return tables.read_leads(spark, root, ddl).select("search_id", "lead_id", "company_name")
+
+
+# --- each gate of a lead decides a row ------------------------------------------------------------
+
+_GATED = """SELECT s_suppkey AS lead_id, s_suppkey % 7 AS search_id, 'Acme Foods ' || CAST(s_suppkey AS STRING) || CASE WHEN s_suppkey % 12 = 8 THEN '' ELSE ' - Home' END AS raw, s_suppkey % 12 AS k,
+  CASE s_suppkey % 12 WHEN 0 THEN 'places:p' || CAST(s_suppkey AS STRING) WHEN 1 THEN 'https://www.facebook.com/acme' || CAST(s_suppkey AS STRING) WHEN 2 THEN 'https://www.yellowpages.com/acme' || CAST(s_suppkey AS STRING)
+    WHEN 4 THEN 'places:q' || CAST(s_suppkey AS STRING) WHEN 6 THEN 'https://example.com/' || CAST(s_suppkey AS STRING) WHEN 7 THEN 'https://www.google.com/search?q=acme' || CAST(s_suppkey AS STRING)
+    ELSE 'https://acme' || CAST(s_suppkey AS STRING) || '.com/' END AS link,
+  CASE WHEN s_suppkey % 12 IN (0, 7) THEN '0803 123 4567' END AS phone, CASE WHEN s_suppkey % 12 = 6 THEN '12 Marina, Lagos' END AS address FROM supplier"""
+
+
+@query(f"""
+WITH g AS ({_GATED})
+SELECT lead_id, 'Acme Foods ' || CAST(lead_id AS VARCHAR) AS company_name, CASE WHEN k IN (0, 6, 7) THEN NULL ELSE link END AS website, CAST(CASE WHEN k IN (0, 7) THEN 1 ELSE 0 END AS INT) AS phones, address
+FROM g WHERE k NOT IN (1, 2, 4, 5, 9)""")
+def lead_gates(spark, sf):
+    """Results of which a social profile, a directory, a place without data, a generic name and a site that scores as a
+    list are left out, and links that are no site leave a lead without one."""
+    rows = spark.sql(_GATED.replace("FROM supplier", f"FROM parquet.`{sf}/supplier.parquet`"))
+    null = F.lit(None).cast("string")
+    results = rows.select(
+        "lead_id", "search_id", F.lit("bing").alias("provider"), F.lit(0).alias("pos"), F.when(F.col("k") == 5, "Home").otherwise(F.col("raw")).alias("title"), "link",
+        null.alias("snippet"), "phone", "address", null.alias("place_id"), (F.col("k") == 0).alias("is_place"), F.to_timestamp(F.lit("2024-01-01")).alias("created_at"))
+    pages = L.site_pages(spark, sf).limit(0)
+    sites = rows.select(F.col("link").alias("url"), F.when(F.col("k") == 9, -3).otherwise(-2).alias("score"))
+    searches = spark.range(7).select(F.col("id").alias("search_id"), F.lit("acme").alias("query"), F.lit("ng").alias("country"), F.lit("Lagos").alias("location"), null.alias("industry"))
+    leads = LD.build_leads(results, PG.extract_contacts(pages), PP.site_people(pages), searches, sites)
+    return leads.select("lead_id", "company_name", "website", F.size("phones").alias("phones"), "address")
+
+
+@query("""
+SELECT o_orderkey AS lead_id, CASE o_orderkey % 4 WHEN 0 THEN 'info@a.com:0.8,jane@a.com:0.9' WHEN 1 THEN 'Jane@A.com:0.8' WHEN 2 THEN 'jane@a.com:0.9' ELSE 'info@a.com:0.8' END AS emails FROM orders""")
+def merged_emails(spark, sf):
+    """Addresses of pages and of people, each once whatever its case."""
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("lead_id"), (F.col("o_orderkey") % 4).alias("k"))
+    mail = lambda e: F.struct(F.lit(e).alias("email"), F.lit("website").alias("source"), F.lit(0.8).alias("confidence"))
+    one = F.struct(F.lit("Jane Baker").alias("name"), F.lit("CEO").alias("title"), F.when(F.col("k") == 3, "no address").otherwise("JANE@a.com").alias("email"), F.lit("x").alias("source"), F.lit(0.5).alias("confidence"))
+    found = F.when(F.col("k").isin(0, 3), F.array(mail("info@a.com"))).when(F.col("k") == 1, F.array(mail("Jane@A.com")))
+    merged = o.select("lead_id", merge_emails(found, F.array(one)).alias("m"))
+    return merged.select("lead_id", F.array_join(F.transform("m", lambda e: F.concat(e["email"], F.lit(":"), e["confidence"].cast("string"))), ",").alias("emails"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from leadloom import refdata as R
 from leadloom.operators import ledger as LG, metrics as M, queue as Q
-from leadloom.plans import query
+from leadloom.plans import ORACLES, query
 from leadloom.plans.sql import with_views
 from leadloom.schemas import ENRICHMENT_STATUSES
 from leadloom.sources import lead_fixture as L
@@ -215,7 +215,24 @@ def stalled_now(spark, sf):
     return Q.stalled(_progress(e), now=now).select("search_id", "extracted_count", "stalled_seconds")
 
 
-@query()
+def _health(rate: str, good: int, fair: int) -> str:
+    return f"CASE WHEN {rate} >= {good} THEN 'healthy' WHEN {rate} >= {fair} THEN 'warning' ELSE 'critical' END"
+
+
+@query(with_views(("v_users", "v_companies", "v_searches", "v_leads", "v_enrichment", "v_ledger"), f"""
+SELECT *, CASE WHEN searches_in_period > 0 AND leads_in_period > 0 THEN round(leads_in_period / searches_in_period, 1) ELSE 0 END AS leads_per_search, CASE WHEN searches_in_period > 0 AND enriched > 0 THEN round(enriched / searches_in_period, 1) ELSE 0 END AS enriched_per_search,
+  round(searches_in_period * 100.0 / total_users, 2) AS user_engagement_rate, round(total_searches / total_users, 1) AS searches_per_user, round(total_leads / total_users, 1) AS leads_per_user,
+  round(revenue_usd / total_users, 2) AS revenue_per_user, CASE WHEN consumed > 0 THEN round(leads_in_period / consumed, 2) ELSE 0 END AS leads_per_credit,
+  {_health('success_rate', 80, 60)} AS search_health, {_health('extraction_rate', 70, 50)} AS extraction_health, {_health('enrichment_rate', 60, 40)} AS enrichment_health FROM
+(SELECT count(*) AS total_users, count(*) AS new_users, count(*) FILTER (role = 'admin') AS admin_users, count(*) FILTER (role = 'member') AS member_users FROM v_users) u,
+(SELECT count(*) AS total_companies, count(*) AS new_companies FROM v_companies) c,
+(SELECT *, round(completed_searches * 100.0 / searches_in_period, 2) AS success_rate FROM (
+   SELECT count(*) AS total_searches, count(*) AS searches_in_period, count(*) FILTER (status = 'completed') AS completed_searches, count(*) FILTER (status = 'failed') AS failed_searches, count(*) FILTER (status IN ('pending', 'processing_backfill')) AS pending_searches,
+     CAST(round(avg(total_results) FILTER (status = 'completed')) AS BIGINT) AS avg_results, CAST(round(avg(search_id % 50) FILTER (status = 'completed')) AS BIGINT) AS avg_minutes FROM v_searches) z) s,
+({{funnel}}) f, ({{ledger}}) l""".replace("{funnel}", "SELECT *, 100.0 AS extraction_rate, round(enriched * 100.0 / extracted, 2) AS enrichment_rate, round(duplicates * 100.0 / leads_in_period, 2) AS duplicate_rate, round(with_contact * 100.0 / leads_in_period, 2) AS contact_quality_rate FROM ("
+    "SELECT count(*) FILTER (NOT dup) AS total_leads, count(*) FILTER (NOT dup) AS leads_in_period, count(*) FILTER (NOT dup) AS extracted, count(*) FILTER (NOT dup AND enrichment_status = 'enriched') AS enriched, count(*) FILTER (dup) AS duplicates, "
+    "count(*) FILTER (NOT dup AND email IS NOT NULL) AS with_email, count(*) FILTER (NOT dup AND phone IS NOT NULL) AS with_phone, count(*) FILTER (NOT dup AND (email IS NOT NULL OR phone IS NOT NULL)) AS with_contact FROM kept) k").replace(
+    "{ledger}", ORACLES["ledger_totals"][ORACLES["ledger_totals"].index("SELECT CAST(sum(l.delta)"):]), _LEADS + ",\n" + _FOLD))
 def admin_overview(spark, sf):
     """Every single-row metric side by side."""
     return M.overview(L.users(spark, sf), L.companies(spark, sf), L.searches(spark, sf), L.leads(spark, sf),

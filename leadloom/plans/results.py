@@ -58,7 +58,12 @@ def nominatim_results(spark, sf):
     return P.nominatim_results(_payloads(spark, sf, _NOM, "customer")).select("search_id", "title", "link", "address", "phone")
 
 
-@query()
+@query("""
+SELECT search_id, title, link FROM (
+  SELECT id, search_id, city, row_number() OVER (PARTITION BY search_id, id % 1000 ORDER BY id) AS r, CASE id % 7 WHEN 0 THEN 'Health Pharmacy' WHEN 1 THEN 'Taiwo Road' ELSE 'Shop ' || CAST(id AS VARCHAR) END AS title,
+    CASE id % 4 WHEN 0 THEN 'https://c' || CAST(id AS VARCHAR) || '.com' ELSE 'https://www.google.com/search?q=Health+Pharmacy+Marina%2C+' || city END AS link
+  FROM (SELECT c_custkey AS id, c_custkey % 50 AS search_id, CASE c_custkey % 2 WHEN 0 THEN 'Lagos' ELSE 'Abuja' END AS city FROM customer) a) b
+WHERE r = 1 AND id % 5 <> 0 AND id % 11 <> 0 AND (search_id % 3 <> 0 OR city = 'Lagos') AND search_id % 2 = 1 AND id % 7 = 0""")
 def nominatim_results_by_terms(spark, sf):
     """The same with expanded terms deciding the intent."""
     return P.nominatim_results(_payloads(spark, sf, _NOM, "customer"), expansions("query", "country")).select("search_id", "title", "link")
