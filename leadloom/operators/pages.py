@@ -332,6 +332,8 @@ def ld_items(bodies: Column) -> Column:
 
 PROFILE_BUTTON = r"view\s+(profile|website|site)|visit\s+(website|site)|learn\s+more|see\s+details"
 COMPANY_LINE = r"^[A-Z][a-zA-Z\s&]+[-|]\s*[A-Z]"
+#: Entries from which any structured list marks a list page.
+LIST_ENTRIES = 5
 DIRECTORY_HINT = r"directory|listing|business.*list|company.*list|ranking|rankings"
 
 
@@ -345,7 +347,9 @@ def page_structure(pages: DataFrame) -> DataFrame:
     outside = F.filter(hosts, lambda h: h.isNull() | (h != own))
     listed = N.select(N.has_tag("ul", "ol"))
     items = N.select(N.has_tag("li"))
-    types = F.lower(F.array_join(F.transform(ld_items(F.col("ld")), lambda i: i["@type"]), " "))
+    things = ld_items(F.col("ld"))
+    types = F.lower(F.array_join(F.transform(things, lambda i: i["@type"]), " "))
+    long_list = F.exists(things, lambda i: F.coalesce(F.size(F.from_json(i["itemListElement"], "array<string>")), F.lit(0)) >= LIST_ENTRIES)
     return read.select(
         "page_id", "url", F.lower(text_or_empty(N.text_of(N.first(N.has_tag("title"))))).alias("title"),
         F.size(outside).alias("external_links"), (F.size(links) - F.size(outside)).alias("internal_links"),
@@ -356,7 +360,7 @@ def page_structure(pages: DataFrame) -> DataFrame:
             "profile_buttons"),
         F.size(N.select(lambda n: (n["b"] - n["a"]).between(4, 99) & N.text_of(n).rlike(COMPANY_LINE))).alias(
             "company_lines"),
-        types.rlike("itemlist|collectionpage").alias("has_item_list"),
+        (types.rlike("itemlist|collectionpage") | long_list).alias("has_item_list"),
         types.rlike("localbusiness|organization").alias("has_organization"))
 
 

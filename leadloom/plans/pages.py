@@ -153,3 +153,70 @@ UNION ALL SELECT s_suppkey * 4, -2 FROM supplier UNION ALL SELECT -1, -2 FROM su
 def chosen_team_pages(spark, sf):
     """Team pages that were crawled, by links in navigation and by fixed paths."""
     return P.team_pages(_from(spark, sf, _CRAWLED, "supplier")).select("page_id", "team_page_id")
+
+
+# --- pages on which one rule each decides ----------------------------------------------------------
+
+def _many(n: int, piece: str) -> str:
+    """``piece`` n times, with the number in place of #."""
+    return "".join(piece.replace("#", str(i)) for i in range(n))
+
+
+_OUT = '<a href="https://h#.org/">x</a>'
+_RULE_PAGES = [  # host and path, html, score, reasons
+    ("bizinfo.org/", "", -3, "domain:keyword"),
+    ("yellowbook.org/directory/x", "", -7, "domain:keyword,path:listlike"),
+    ("plain.org/category/a", "", -2, "path:listlike"),
+    ("plain.org/top-10-shops", "", -2, "path:ranked"),
+    ("www.sedo.com/x", "", -5, "domain:marketplace"),
+    ("plain.org/5", "<title>List of shops</title>", -2, "title:listlike"),
+    ("plain.org/6", "<title>acme is for sale</title>", -5, "title:domain_sale"),
+    ("plain.org/7", "<title>Shop directory</title>" + _many(12, _OUT), -4, "title:listlike,links:many-external"),
+    ("plain.org/8", _many(21, _OUT), -3, "links:very-many-external"),
+    ("plain.org/9", "<title>Shop directory</title>" + _many(5, "<ul>" + "<li>y</li>" * 20 + "</ul>"), -4, "title:listlike,structure:many-lists"),
+    ("plain.org/10", "<title>Shop directory</title>" + _many(20, '<div class="my-card">z</div>'), -3, "title:listlike,structure:card-layout"),
+    ("plain.org/11", _many(5, "<button>View profile</button>"), -2, "content:profile-buttons"),
+    ("plain.org/12", _many(10, "<p>Acme Foods - Lagos</p>"), -2, "content:company-patterns"),
+    ("plain.org/13", '<script type="application/ld+json">{"@type":"CollectionPage"}</script>', -3, "schema:itemList"),
+    ("plain.org/14", '<script type="application/ld+json">{"@type":"WebPage","itemListElement":[{"a":1},{"a":2},{"a":3},{"a":4},{"a":5}]}</script>', -3, "schema:itemList"),
+    ("plain.org/15", '<script type="application/ld+json">{"@type":"WebPage","itemListElement":[{"a":1},{"a":2},{"a":3},{"a":4}]}</script>', 0, ""),
+    ("plain.org/16", '<script type="application/ld+json">{"@type":"LocalBusiness"}</script>', 2, "schema:localbusiness"),
+]
+
+
+@query("WITH r AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {s}, {q(r)})" for i, (_, _, s, r) in enumerate(_RULE_PAGES)) + f""") v(k, score, reasons))
+SELECT s_suppkey AS page_id, score, reasons, score > 0 AS is_first_party FROM supplier JOIN r ON k = s_suppkey % {len(_RULE_PAGES)}""")
+def site_rules(spark, sf):
+    """Each rule that tells list pages from company sites decides a page."""
+    cases = spark.createDataFrame([(i, f"https://{u}", f"<html><body>{h}</body></html>") for i, (u, h, _, _) in enumerate(_RULE_PAGES)], "k long, url string, html string")
+    pages = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("page_id"), (F.col("s_suppkey") % len(_RULE_PAGES)).alias("k")).join(F.broadcast(cases), "k").drop("k")
+    return P.classify_sites(pages).select("page_id", "score", F.array_join("reasons", ",").alias("reasons"), "is_first_party")
+
+
+_FORMS = [  # html with N for the page, addresses, source, confidence, messenger link
+    ("<p>joeN&#64;shopN&#46;com</p>", "joeN@shopN.com", "website", 0.8, ""),
+    ("<p>joeN&commat;shopN&period;com</p> https://wa.me/2348N", "joeN@shopN.com", "website", 0.8, "https://wa.me/2348N"),
+    ("<p>joeN [at] shopN [dot] com</p>", "joeN@shopN.com", "website", 0.8, ""),
+    ("<p>joeN at shopN dot com</p>", "joeN@shopN.com", "website", 0.8, ""),
+    ("<p>joeN@shopN (dot) org</p>", "joeN@shopN.org", "website", 0.8, ""),
+    ("<p>joeN@shopN.com</p><a href='mailto:joeN@shopN.com'>m</a>", "joeN@shopN.com", "mailto_link", 0.95, ""),
+    ("<b data-contact=\"joeN@shopN.com\">c</b>", "joeN@shopN.com", "data_attribute", 0.95, ""),
+    ("<b data-contact='x'>JOEN@shopN.com</b> https://api.whatsapp.com/send?phone=+44N", "joeN@shopN.com", "structured_data", 0.9, "https://api.whatsapp.com/send?phone=+44N"),
+    ("<p>noreply@shopN.com user@example.com joe@localhost joe@@shop</p>", "", "", None, ""),
+]
+
+
+@query("WITH f AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {q(e)}, {q(s)}, {c if c else 'NULL'}, {q(w)})" for i, (_, e, s, c, w) in enumerate(_FORMS)) + f""") v(k, e, s, c, w))
+SELECT s_suppkey AS page_id, replace(e, 'N', n) AS email, s AS source, CAST(c AS DOUBLE) AS confidence, replace(w, 'N', n) AS messenger FROM (
+  SELECT s_suppkey, CAST(s_suppkey AS VARCHAR) AS n, s_suppkey % {len(_FORMS) + 1} AS k FROM supplier) s JOIN f USING (k)
+UNION ALL SELECT s_suppkey, 'info' || CAST(s_suppkey AS VARCHAR) || '@packed.com', 'structured_data', 0.9, '' FROM supplier WHERE s_suppkey % {len(_FORMS) + 1} = {len(_FORMS)}""")
+def page_contact_forms(spark, sf):
+    """Addresses in every form that pages hide them in, and messenger links."""
+    forms = spark.createDataFrame([(i, h) for i, (h, *_) in enumerate(_FORMS)], "k long, html string")
+    n = F.col("s_suppkey").cast("string")
+    packed = F.concat(F.lit('<i data-email="'), F.base64(F.concat(F.lit("info"), n, F.lit("@packed.com")).cast("binary")), F.lit('"></i>'))
+    s = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") % (len(_FORMS) + 1)).alias("k")).join(F.broadcast(forms), "k", "left")
+    pages = s.select(F.col("s_suppkey").alias("page_id"), F.coalesce(F.replace("html", F.lit("N"), n), packed).alias("html"))
+    found = pages.select("page_id", P.page_emails("html").alias("e"), F.array_join(P.whatsapp_links("html"), ",").alias("messenger"))
+    return found.select("page_id", F.array_join(F.transform("e", lambda e: e["email"]), ",").alias("email"), F.coalesce(F.get("e", F.lit(0))["source"], F.lit("")).alias("source"),
+                        F.get("e", F.lit(0))["confidence"].alias("confidence"), "messenger")
