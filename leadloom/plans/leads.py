@@ -11,9 +11,9 @@ from leadloom.functions.email import merge_emails
 from leadloom.functions.score import (
     in_progress, percent, quality_label, quality_score, remaining_time_text, status_from_counts, verification, verification_label)
 from leadloom.functions.url import bare_domain
-from leadloom.operators import dedup, leads as LD, listing, pages as PG, people as PP
+from leadloom.operators import dedup, leads as LD, ledger, listing, pages as PG, people as PP
 from leadloom.plans import ORACLES, query
-from leadloom.plans.sql import LEAD_QUALITY, domain, host, mail_score, with_views
+from leadloom.plans.sql import LEAD_QUALITY, domain, host, mail_score, phone_format, with_views
 from leadloom.session import checkpointed, new_folder
 from leadloom.sources import lead_fixture as L, tables
 from leadloom.sources.fixtures import view
@@ -170,6 +170,14 @@ def preview_cut(spark, sf):
     return listing.preview(scored_leads(spark, sf), L.searches(spark, sf), L.users(spark, sf), b).select("search_id", "lead_id")
 
 
+def _export_input(spark, sf):
+    return L.leads(spark, sf).withColumns({
+        "business_summary": F.lit(""), "location": F.struct(*[F.lit(None).cast("string").alias(k) for k in ("city", "state", "country", "formatted")]),
+        "hiring": F.struct(*[F.lit(None).cast("boolean").alias(k) for k in ("is_hiring", "has_careers_page", "has_job_postings")]),
+        "employee_count_range": F.lit(None).cast("string"), "revenue_bracket": F.lit("unknown"), "founded_year": F.lit(None).cast("int"),
+        "contact_relevance": F.lit(50), "quality_score": quality_score(), "distance_km": F.lit(None).cast("double")})
+
+
 @query(with_views(("v_leads", "v_enrichment"), f"""
 SELECT lead_id, company_name, coalesce(website, '') AS website, coalesce(email, '') AS primary_email, CASE WHEN email IS NULL THEN '' ELSE {_ST} END AS primary_email_status,
   CASE WHEN email IS NULL THEN '' WHEN {_S} = 0 THEN email || ' (' || {_ST} || ')' ELSE email || ' (' || {_ST} || ' ' || CAST({_S} AS STRING) || ')' END AS all_emails,
@@ -178,12 +186,7 @@ SELECT lead_id, company_name, coalesce(website, '') AS website, coalesce(email,
   coalesce(signal_strength, 0) AS signal_strength, CASE WHEN coalesce(verification_score, 0) = 0 THEN '' ELSE CAST(verification_score AS STRING) END AS verification_score, CASE WHEN lead_id % 10 = 0 THEN 'https://linkedin.com/company/x' ELSE '' END AS linkedin
 FROM (SELECT * FROM v_leads JOIN v_enrichment USING (lead_id) WHERE lead_id % 17 <> 0 ORDER BY signal_strength DESC NULLS LAST, lead_id LIMIT 10000) a"""))
 def export_flat(spark, sf):
-    leads = L.leads(spark, sf).withColumns({
-        "business_summary": F.lit(""), "location": F.struct(*[F.lit(None).cast("string").alias(k) for k in ("city", "state", "country", "formatted")]),
-        "hiring": F.struct(*[F.lit(None).cast("boolean").alias(k) for k in ("is_hiring", "has_careers_page", "has_job_postings")]),
-        "employee_count_range": F.lit(None).cast("string"), "revenue_bracket": F.lit("unknown"), "founded_year": F.lit(None).cast("int"),
-        "contact_relevance": F.lit(50), "quality_score": quality_score(), "distance_km": F.lit(None).cast("double")})
-    return listing.export_leads(leads).select(
+    return listing.export_leads(_export_input(spark, sf)).select(
         "lead_id", "company_name", "website", "primary_email", "primary_email_status", "all_emails", "location", "all_people", "person_count",
         "contacts", "industry", "employee_count", "signal_strength", "verification_score", "linkedin")
 
@@ -383,3 +386,41 @@ def merged_emails(spark, sf):
     found = F.when(F.col("k").isin(0, 3), F.array(mail("info@a.com"))).when(F.col("k") == 1, F.array(mail("Jane@A.com")))
     merged = o.select("lead_id", merge_emails(found, F.array(one)).alias("m"))
     return merged.select("lead_id", F.array_join(F.transform("m", lambda e: F.concat(e["email"], F.lit(":"), e["confidence"].cast("string"))), ",").alias("emails"))
+
+
+_PHONE = phone_format("phone")
+
+
+@query(with_views(("v_leads", "v_enrichment"), f"""
+SELECT CAST(lead_id AS VARCHAR) AS lead_id, CASE WHEN email IS NULL OR {_S} = 0 THEN '' ELSE CAST({_S} AS VARCHAR) END AS primary_email_score, CASE WHEN phone IS NULL THEN '' ELSE {_PHONE} END AS primary_phone,
+  CASE WHEN phone IS NULL THEN '' ELSE {_PHONE} END AS all_phones, coalesce(address, '') AS location_formatted, CASE WHEN title IS NULL THEN '' ELSE 'John Baker' END AS person_name, coalesce(title, '') AS person_title,
+  CASE WHEN title IS NULL THEN '' ELSE 'website' END AS person_source, CASE WHEN title IS NULL THEN '' ELSE '1%' END AS person_confidence, CASE WHEN lead_id % 3 = 0 THEN '1' ELSE '0' END AS contact_count,
+  coalesce(linkedin_company_url, '') AS linkedin_company_url, coalesce(company_size, '') AS company_size, 'unknown' AS revenue_bracket, coalesce(email_pattern, '') AS email_pattern, '50' AS contact_relevance,
+  CASE WHEN {LEAD_QUALITY} = 0 THEN '' ELSE CAST({LEAD_QUALITY} AS VARCHAR) END AS quality_score, CASE WHEN lead_id % 15 = 0 THEN 'https://x.com/x' ELSE '' END AS twitter, '' AS empty
+FROM (SELECT * FROM v_leads JOIN v_enrichment USING (lead_id) WHERE lead_id % 17 <> 0 ORDER BY signal_strength DESC NULLS LAST, lead_id LIMIT 10000) a"""))
+def export_csv(spark, sf):
+    """The other columns of the flat export, written as CSV and read again."""
+    path = new_folder(spark, "export")
+    tables.write_csv(listing.export_leads(_export_input(spark, sf)), path)
+    rows = spark.read.option("header", True).csv(path).na.fill("")
+    none = ["about", "whatsapp", "all_whatsapp", "location_city", "location_state", "location_country", "person_email", "founded_year", "facebook", "instagram", "distance_km", "category_signals"]
+    return rows.select("lead_id", "primary_email_score", "primary_phone", "all_phones", "location_formatted", "person_name", "person_title", "person_source", "person_confidence",
+                       "contact_count", "linkedin_company_url", "company_size", "revenue_bracket", "email_pattern", "contact_relevance", "quality_score", "twitter", F.concat(*none).alias("empty"))
+
+
+@query(with_views(("v_leads", "v_searches", "v_users"), """
+SELECT u.company_id, lead_id, 1 AS delta, 'refund_invalid' AS reason FROM v_leads l JOIN v_searches s ON s.search_id = l.search_id JOIN v_users u ON u.user_id = s.user_id
+WHERE enrichment_status = 'enriched' AND (title IS NULL OR lead_id % 3 <> 0)"""))
+def refund_ledger(spark, sf):
+    """Credits of leads without a person that can be reached, appended to the ledger and read from it."""
+    root = new_folder(spark, "ledger")
+    made = F.transform("decision_makers", lambda p: p.withField("email", F.when(F.col("lead_id") % 3 == 0, "john.baker@c.com").otherwise("")))
+    owed = LD.refundable(L.leads(spark, sf).withColumn("decision_makers", made)).select("lead_id", "search_id")
+    owners = L.searches(spark, sf).select("search_id", "user_id").join(L.users(spark, sf).select("user_id", "company_id"), "user_id")
+    rows = owed.join(owners, "search_id").withColumns({"seq": F.col("lead_id") + 10_000_000, "ts": F.to_timestamp(F.lit("2024-02-01")), "currency": F.lit("usd")})
+    null = F.lit(None)
+    old = L.ledger(spark, sf).select("company_id", "seq", F.col("ts").cast("timestamp").alias("ts"), F.col("delta").cast("int").alias("delta"), "reason", null.cast("long").alias("search_id"),
+                                     null.cast("long").alias("lead_id"), null.cast("string").alias("currency"), "pack_id")
+    tables.append_ledger(old, root)
+    tables.append_ledger(ledger.refund_entries(rows), root)
+    return tables.scan(spark, root, "ledger").filter("lead_id IS NOT NULL").select("company_id", "lead_id", "delta", "reason")
