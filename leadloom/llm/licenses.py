@@ -108,16 +108,16 @@ def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str =
     license_id is the licence whose canonical text the whole document is, null if none; notices are the licences whose
     whole text stands as one line of it, sorted and comma-joined ('' if none), n_notices their number. A text without
     words has the digest of the empty text and matches nothing. If several known licences share a canonical text, the
-    smallest id counts. Repeated rows come out as often as they go in; other columns are not read.
+    smallest id counts. Rows that share an id, or have none, are judged apart. Repeated rows come out as often as they go
+    in; other columns are not read.
     """
     table = known.select(digest(F.col("text")).alias("digest"), F.col("license_id"), canonical(F.col("text")).alias("c"))
     table = sent_if_small(table.filter("license_id IS NOT NULL AND c <> ''").groupBy("digest").agg(F.min("license_id").alias("license_id")))
-    d = docs.select(F.col(doc_id).alias("doc_id"), canonical_lines(F.col(text)).alias("lines"))
-    lines = d.select("doc_id", F.explode(F.array_remove(F.array_distinct("lines"), "")).alias("line"))
-    lines = lines.select("doc_id", F.sha2("line", 256).alias("digest")).join(table, "digest")
-    notices = lines.groupBy("doc_id").agg(F.array_sort(F.collect_set("license_id")).alias("ids"))
-    out = d.select("doc_id", F.sha2(joined_lines(F.col("lines")), 256).alias("digest")).join(table, "digest", "left")
-    notices = notices.withColumnRenamed("doc_id", "__id")
-    out = out.join(notices, out["doc_id"].eqNullSafe(F.col("__id")), "left")
+    # the number stands for the row: ids may repeat or be missing
+    d = docs.select(F.col(doc_id).alias("doc_id"), canonical_lines(F.col(text)).alias("lines"), F.monotonically_increasing_id().alias("row"))
+    lines = d.select("row", F.explode(F.array_remove(F.array_distinct("lines"), "")).alias("line"))
+    lines = lines.select("row", F.sha2("line", 256).alias("digest")).join(table, "digest")
+    notices = lines.groupBy("row").agg(F.array_sort(F.collect_set("license_id")).alias("ids"))
+    out = d.select("row", "doc_id", F.sha2(joined_lines(F.col("lines")), 256).alias("digest")).join(table, "digest", "left").join(notices, "row", "left")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     return out.select("doc_id", "digest", "license_id", F.array_join(ids, ",").alias("notices"), F.size(ids).alias("n_notices"))

@@ -9,7 +9,7 @@ from itertools import permutations
 import numpy as np
 import pytest
 
-from leadloom.llm import audit, spelling, superminhash
+from leadloom.llm import audit, licenses, spelling, superminhash
 from leadloom.llm.shared import read
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -251,3 +251,11 @@ def test_signatures_estimate_similarity():
     assert abs(np.mean(errors)) < 0.02 and np.var(errors) < independent
     one = superminhash.signatures(np.zeros(1, int), np.array([7], np.uint64), 1)
     assert sorted((one[0] >> np.uint64(56)).tolist()) == list(range(superminhash.SLOTS))
+
+
+def test_notices_stay_in_their_row(spark):
+    """Rows of one id, or of none, do not share notices."""
+    mit, cc = (next(t for i, t in licenses.LICENSES if i == name and "\n" not in t) for name in ("MIT", "CC-BY-4.0"))
+    rows = [(None, "hello there"), (None, f"text\n{mit}"), (7, "plain words"), (7, f"{cc}\nmore"), (7, f"{cc}\nmore"), (8, None)]
+    got = Counter((r["doc_id"], r["notices"], r["n_notices"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known_texts(spark)).collect())
+    assert got == Counter([(None, "", 0), (None, "MIT", 1), (7, "", 0), (7, "CC-BY-4.0", 1), (7, "CC-BY-4.0", 1), (8, "", 0)])
