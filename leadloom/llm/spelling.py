@@ -124,23 +124,27 @@ def _advanced(frontier: DataFrame, edges: DataFrame) -> DataFrame:
     or a word that ends there.
     """
     slot = F.pmod(F.xxhash64("word"), F.col("spread")).cast("int")
-    f = frontier.select("word", "back", "i", "node", "edits", slot.alias("slot")).alias("f")
-    width = F.length("label")
-    left = F.length("word") - F.col("i")
-    ahead = F.substring("word", F.col("i") + 1, width)
-    longer = F.substring("word", F.col("i") + 1, width + 1)
-    half = F.floor(F.length("word") / 2)
-    fixed = F.greatest(half - F.col("i"), F.lit(0)).cast("int")
-    may = (F.col("edits") == 0) & (width > fixed) & (F.substring("word", F.col("i") + 1, fixed) == F.substring("label", F.lit(1), fixed))
-    goes_on = lambda n: F.col("following").contains(F.substring("word", F.col("i") + width + n + 1, F.lit(1)))
-    alive = lambda n: F.when(left > width + n, goes_on(n)).otherwise(F.col("ends"))
-    same = (ahead == F.col("label")) & F.when(F.col("edits") == 0, F.col("following") != "").otherwise(alive(0))
-    letter = width == 1  # most labels near the root; one letter needs no edit distance
-    replaced = may & (left >= width) & alive(0) & (F.col("label") > ahead) & (letter | (F.levenshtein(ahead, F.col("label"), 1) == 1))
-    removed = may & (left > width) & alive(1) & F.when(letter, longer.contains(F.col("label"))).otherwise(F.levenshtein(longer, F.col("label"), 1) == 1)
-    joined = f.join(edges.alias("e"), [F.col("f.node") == F.col("e.node"), F.col("f.slot") == F.col("e.slot"), same | replaced | removed])
-    moves = F.array(*[F.when(how, F.struct((F.col("i") + width + n).cast("int").alias("i"), e.alias("edits")))
-                      for how, n, e in ((same, 0, F.col("edits")), (replaced, 0, F.lit(1)), (removed, 1, F.lit(1)))])
+    fixed = F.greatest(F.floor(F.length("word") / 2) - F.col("i"), F.lit(0)).cast("int")
+    letter = lambda c, k: F.substring(c, k, 1)
+    f = frontier.select("word", "back", "i", "node", "edits", slot.alias("slot"), fixed.alias("fixed"), (F.length("word") - F.col("i")).alias("left"),
+                        F.substring("word", F.col("i") + 1, F.length("word")).alias("rest"))
+    f = f.withColumns({"c1": letter("rest", 1), "c2": letter("rest", 2)}).alias("f")
+    e = edges.withColumns({"width": F.length("label"), "l1": letter("label", 1), "l2": letter("label", 2)}).alias("e")
+    c, width, left = F.col, F.col("width"), F.col("left")
+    start = lambda x, n: F.substring(x, F.lit(1), n)
+    goes_on = lambda n: c("following").contains(F.substring("rest", width + n + 1, F.lit(1)))
+    alive = lambda n: F.when(left > width + n, goes_on(n)).otherwise(c("ends"))
+    # first letters rule most edges out before longer texts are compared
+    first, short = c("c1") == c("l1"), width == 1
+    may = (c("edits") == 0) & (width > c("fixed")) & ((c("fixed") == 0) | (start("rest", c("fixed")) == start("label", c("fixed"))))
+    same = first & c("rest").startswith(c("label")) & F.when(c("edits") == 0, c("following") != "").otherwise(alive(0))
+    replaced = may & (short | first | (c("c2") == c("l2"))) & (left >= width) & (c("label") > start("rest", width)) & alive(0) & (
+        short | (F.levenshtein(start("rest", width), c("label"), 1) == 1))
+    removed = may & (first | (c("c2") == c("l1"))) & (left > width) & alive(1) & (
+        short | (F.levenshtein(start("rest", width + 1), c("label"), 1) == 1))
+    joined = f.join(e, [c("f.node") == c("e.node"), c("f.slot") == c("e.slot"), same | replaced | removed])
+    moves = F.array(*[F.when(how, F.struct((F.col("i") + width + n).cast("int").alias("i"), used.alias("edits")))
+                      for how, n, used in ((same, 0, F.col("edits")), (replaced, 0, F.lit(1)), (removed, 1, F.lit(1)))])
     out = joined.select("word", "back", "child", "spread", "ends", F.explode(moves).alias("m")).filter("m IS NOT NULL")
     return out.select("word", "back", F.col("m.i").alias("i"), F.col("child").alias("node"), F.col("m.edits").alias("edits"), "spread", "ends")
 
