@@ -4,7 +4,7 @@
 2. SuperMinHash: every shingle draws a random permutation of the slots, one slot a step; step j offers the value
    j + (a fraction) to its slot, which keeps the lowest. Slots of a set are so correlated that their estimate varies
    less than that of independent MinHashes. Once all slots of a set are below j, later steps cannot lower any.
-3. Sets that agree on a band are candidates. A bucket is never compared pair by pair: in a few rounds each bucket
+3. Sets that agree on a band are candidates. A bucket is never compared pair by pair: in a first round each bucket
    offers its smallest set as head, the others are verified against it, and sets that became one component are not
    compared again. What is left undecided meets in blocks, each two blocks once, with a union-find in the task.
 """
@@ -29,7 +29,7 @@ SLOTS = BANDS * ROWS
 #: Pairs that agree on fewer slots are not verified; at the limit that happens once in 3e10 pairs.
 MIN_SLOTS = 75
 #: Rounds in which buckets offer heads; sets verified in one task; sets of a block of what is left.
-HEAD_ROUNDS, BATCH, BLOCK = 3, 128, 512
+HEAD_ROUNDS, BATCH, BLOCK = 1, 128, 512
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _UNSET = np.uint64(SLOTS << 56)

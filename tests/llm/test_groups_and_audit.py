@@ -221,7 +221,7 @@ def drifting():
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("rounds, block", [(superminhash.HEAD_ROUNDS, superminhash.BLOCK), (0, 7), (1, 16)])
+@pytest.mark.parametrize("rounds, block", [(superminhash.HEAD_ROUNDS, superminhash.BLOCK), (0, 7), (3, 16)])
 def test_groups(spark, rounds, block):
     rows = drifting()
     got = superminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), rounds=rounds, block=block)
