@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from leadloom.llm import similar
 from leadloom.llm.components import components
 from leadloom.llm.shared import checkpointed, stored, unused
+from leadloom.operators.skew import lookup_per_key
 
 SHINGLE, SEED, BITS = 4, 42, 64
 HASHES_AT_ONCE = 1 << 15
@@ -131,11 +132,11 @@ def _groups(marked: DataFrame, crowd: int, more: DataFrame | None = None) -> Dat
     distinct = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
     edges = links(distinct.select("fp"), crowd)
     roots = checkpointed(components(edges.unionByName(more) if more is not None else edges))
-    linked = distinct.join(roots, distinct["fp"] == roots["node"])
-    lowest = linked.groupBy("root").agg(F.min("low").alias("lowest"))
-    better = linked.select("fp", "root").join(lowest, "root").select("fp", "root", "lowest")
-    return distinct.join(better, "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("group"), F.coalesce("lowest", "low").alias("component_id"))
+    linked = stored(distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "root", "low"), "linked")
+    lowest = stored(linked.groupBy("root").agg(F.min("low").alias("lowest")), "lowest")
+    better = lookup_per_key(linked.select("fp", "root"), lowest, ["root"])  # a component may hold a third of all
+    return stored(distinct.join(better, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("group"), F.coalesce("lowest", "low").alias("component_id")), "groups")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
@@ -147,7 +148,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     columns are not read.
     """
     marked = checkpointed(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp")))
-    return marked.join(_groups(marked, crowd), "fp").select(
+    return lookup_per_key(marked, _groups(marked, crowd).select("fp", "component_id"), ["fp"]).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -161,9 +162,10 @@ def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     sketch = [similar.sketches(F.col(text)).alias("s")] if shingled else []
     marked = checkpointed(docs.select(
         F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp"), F.xxhash64(F.col(text)).alias("key"), *sketch))
-    more = similar.links(docs, text, marked.withColumnRenamed("fp", "node")) if shingled else None
+    more = similar.links(docs, text, marked.withColumnRenamed("fp", "node"), doc_id=doc_id) if shingled else None
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "key")).alias("h")
-    heads = marked.join(_groups(marked, CROWD, more).select("fp", "group"), "fp").groupBy("group").agg(first)
+    own_heads = marked.groupBy("fp").agg(first)  # one row per fingerprint, however many copies share it
+    heads = own_heads.join(_groups(marked, CROWD, more).select("fp", "group"), "fp").groupBy("group").agg(F.min("h").alias("h"))
     heads = heads.select(F.col("h.doc_id").alias(head), F.col("h.key").alias(key))
     keyed = docs.withColumn(own, F.xxhash64(F.col(text)))
     chosen = keyed.join(heads, keyed[doc_id].eqNullSafe(F.col(head)) & (F.col(own) == F.col(key)), "left_semi")

@@ -105,13 +105,17 @@ def _forest(table: pa.Table) -> pa.Table:
     return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
 
 
-def links(docs: DataFrame, text: str, marked: DataFrame, block: int = BLOCK) -> DataFrame:
+def links(docs: DataFrame, text: str, marked: DataFrame, block: int = BLOCK, doc_id: str | None = None) -> DataFrame:
     """(a, b) between nodes: enough links to connect all nodes whose texts are similar.
 
     ``marked`` has for each row of ``docs`` its node (long), its sketch ``s`` and ``key``, the xxhash64 of its text.
+    With ``doc_id``, which ``marked`` then has under that name as doc_id, the row that gives a set its text is chosen
+    here by id and key, so that no other copy of the text moves; without it copies meet by key.
     """
+    ids = [F.col("doc_id").alias("id")] if doc_id else []
+    row = F.min(F.struct(*[i.isNull().alias("none") for i in ids], *ids, "key")).alias("row")
     sets = checkpointed(marked.filter("size(s.keys) > 0").groupBy(F.col("s.set").alias("set")).agg(
-        F.min("node").alias("node"), F.min("key").alias("key"), F.first("s.keys").alias("keys")))
+        F.min("node").alias("node"), row, F.first("s.keys").alias("keys")))
     equal = marked.filter("size(s.keys) > 0").select(F.col("node").alias("a"), F.col("s.set").alias("set")).distinct()
     equal = equal.join(sets.select("set", F.col("node").alias("b")), "set").filter("a != b").select("a", "b")
     banded = sets.select("set", F.explode("keys").alias("band"))
@@ -119,9 +123,13 @@ def links(docs: DataFrame, text: str, marked: DataFrame, block: int = BLOCK) ->
     ties = banded.join(heads, "band").filter("set > head").select(F.col("set").alias("a"), F.col("head").alias("b")).distinct()
     clusters = stored(components(ties), "clusters")
     sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
-    known = clusters.join(sizes, "root").join(sets.select(F.col("set").alias("member"), "node", "key").withColumnRenamed("node", "own"), F.col("node") == F.col("member"))
-    known = sent_if_small(known.select("root", "n", F.col("own").alias("node"), "key", F.pmod(F.xxhash64("member"), F.col("n")).cast("int").alias("at")))
-    found = docs.select(F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text")).join(known, "key").dropDuplicates(["key"])
+    chosen = sets.select(F.col("set").alias("member"), F.col("node").alias("own"), "row")
+    known = clusters.join(sizes, "root").join(chosen, F.col("node") == F.col("member"))
+    at = F.pmod(F.xxhash64("member"), F.col("n")).cast("int").alias("at")
+    known = sent_if_small(known.select("root", "n", F.col("own").alias("node"), "row.*", at))
+    rows = docs.select(F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"), *[F.col(doc_id).alias("own_id") for _ in ids])
+    same = F.col("hash") == F.col("key")
+    found = rows.join(known, same & F.col("own_id").eqNullSafe(F.col("id")) if ids else same).dropDuplicates(["key"])
     dealt = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     dealt = dealt.select("root", "node", "text", F.least("at", "other").alias("x"), F.greatest("at", "other").alias("y"))
     return equal.unionByName(dealt.groupBy("root", "x", "y").applyInArrow(_forest, "a long, b long"))

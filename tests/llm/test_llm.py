@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from leadloom.llm import contamination, fmindex, licenses, lines, mixing, queries, quality, rules, simhash, similar, substrings, toxicity, urls
+from leadloom.llm import contamination, fmindex, licenses, lines, mixing, queries, quality, rules, shared, simhash, similar, substrings, toxicity, urls
 from leadloom.llm.components import components
 from leadloom.llm.shared import read
 
@@ -330,6 +330,37 @@ def test_stage_links_similar_texts(spark, sf):
     assert whole == dealt
 
 
+@pytest.fixture
+def many_tasks(spark):
+    """Partitions stay as they are dealt, so that a test sees which rows meet in a task."""
+    own = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.skewJoin.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_hot_fingerprint_is_many_tasks(spark, many_tasks):
+    """A text that a third of the rows share does not bring them into one task."""
+    rows = [(i, "one text of many copies" if i % 3 == 0 else f"a{i} b{i} c{i} d{i} e{i}") for i in range(3000)]
+    out = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    tasks = out.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in tasks) < 500 and sum(r["count"] for r in tasks) == 3000
+    assert out.filter("component_id = 0").count() == 1000
+
+
+def test_copies_of_a_text_stay_where_they_are(spark, monkeypatch):
+    """Also where the chosen rows are not broadcast, one row per set gives its text, of a smallest id."""
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", -1)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base)) for i in range(50)] + [(None, " ".join(base))] * 3
+    rows += [(100 + i, " ".join(base[:-1] + [f"z{i % 3}"])) for i in range(9)] + [(200, "some thing else of six words")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.one_per_group(d, shingled=True).collect()) == [0, 200]
+
+
 @pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
 def test_stages_on_awkward_tables(k, spark, sf, awkward, empty):
     stage = corpus_pipeline.STAGES[k][1]
