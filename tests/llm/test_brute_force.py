@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leadloom.llm import mixing, urls
-from leadloom.llm.shared import read
+from leadloom.llm import mixing, similar, urls
+from leadloom.llm.components import components
+from leadloom.llm.shared import checkpointed, read
 
 
 def plain_parts(path):
@@ -123,3 +124,37 @@ def test_mixing_equals_plain_posteriors(spark, sf):
     tokens, p = np.array([r["n_tokens"] for r in got], float), np.array([[r["posteriors"][k] for k in names] for r in got])
     off = (np.array([r["rate"] for r in got]) * tokens) @ p / tokens.sum() - [mixing.TARGETS[k] for k in names]
     assert np.linalg.norm(off) <= mixing.TOLERANCE * 1.01
+
+
+def similar_pairs(texts, top=4, base=5):
+    """All pairs of ids whose sets of five-word shingles have an intersection of at least top / base of the union.
+
+    Of the rarest shingles of a set, one more than the similarity lets it miss, each similar set holds one.
+    """
+    sets = {}
+    for i, t in texts.items():
+        w = re.sub("[A-Z]", lambda x: x.group().lower(), t or "").encode().split()
+        sets[i] = {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    n = Counter(g for s in sets.values() for g in s)
+    index, out = defaultdict(list), set()
+    for i, s in sets.items():
+        first = sorted(s, key=lambda g: (n[g], g))[:len(s) - -(-top * len(s) // base) + 1]
+        for j in {j for g in first for j in index[g]}:
+            if base * len(s & sets[j]) >= top * len(s | sets[j]):
+                out.add((j, i))
+        for g in first:
+            index[g].append(i)
+    return out
+
+
+def linked_share(docs):
+    """(linked, all) of the similar pairs of whole ``docs``: recall of the pipeline's search for similar texts."""
+    marked = checkpointed(docs.select("doc_id", F.col("doc_id").alias("node"), F.xxhash64("text").alias("key"), similar.sketches(F.col("text")).alias("s")))
+    root = {r["node"]: r["root"] for r in components(similar.links(docs, "text", marked, doc_id="doc_id")).collect()}
+    pairs = similar_pairs({r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()})
+    return sum(root.get(a, a) == root.get(b, b) for a, b in pairs), len(pairs)
+
+
+def test_recall_of_similar_texts(spark):
+    linked, pairs = linked_share(read(spark, "/root/testdata/sf0.01", "documents"))
+    assert linked == pairs > 0
