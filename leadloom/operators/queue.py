@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import reduce
 from operator import and_
 
@@ -54,72 +55,118 @@ def repeat_submissions(events: DataFrame, keys: list[str], at: str = "ts", secon
     return lagged.filter(gap < seconds).select(*events.columns, F.round(gap, 6).alias("gap_seconds"))
 
 
-def _following(times: np.ndarray, gap: int) -> np.ndarray:
-    """Index of the first time at least ``gap`` after each of the ordered times."""
-    return np.searchsorted(times, times + gap, "left")
+#: Keys are dealt into so many parts; the keys of a part are worked on together.
+PARTS = 128
 
 
-def leaving_times(times: np.ndarray, gap: int) -> np.ndarray:
-    """For each of the ordered times the last accepted one, if that time is the first accepted."""
-    at = np.arange(len(times))
-    to = np.where(_following(times, gap) == len(times), at, np.minimum(_following(times, gap), len(times) - 1))
-    while (to[to] != to).any():  # twice as far in each round
-        to = to[to]
-    return times[to]
+def part_of(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int")
+
+
+def key_codes(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """A number for each row that equal keys share; nulls are equal."""
+    code = np.zeros(table.num_rows, np.int64)
+    for k in keys:
+        values = table[k].combine_chunks().dictionary_encode("encode")
+        code = code * (len(values.dictionary) + 1) + values.indices.to_numpy(zero_copy_only=False)
+        code = np.unique(code, return_inverse=True)[1]
+    return code
+
 
+def ordered(table: pa.Table, keys: list[str], tie: str) -> tuple[pa.Table, np.ndarray]:
+    """The rows by key, time and tie, and the numbers of their keys."""
+    table = table.append_column("__code", pa.array(key_codes(table, keys))).sort_by(
+        [("__code", "ascending"), ("t", "ascending"), (tie, "ascending")])
+    return table.drop_columns(["__code"]), table["__code"].to_numpy()
 
-def bucket_steps(times: np.ndarray, gap: int, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """(leave, step) of the ordered times of a bucket that begins at ``start``.
 
-    A decision before the bucket only bears on times below ``start + gap``, so the first time beyond is the last that
-    can be the first accepted. ``step`` marks these possible entries, the last of each run that leaves at one time.
+def _laid_out(code: np.ndarray, times: np.ndarray, gap: int) -> tuple[np.ndarray, int, int, np.ndarray]:
+    """(line, base, stride, ends): the ordered times of each key one after the other on a single line, further apart than
+    ``gap``, and for each key where its rows end."""
+    base = int(times.min())
+    stride = int(times.max()) - base + gap + 1
+    ends = np.append(np.flatnonzero(code[1:] != code[:-1]) + 1, len(code))
+    return times - base + code * stride, base, stride, ends
+
+
+def bucket_steps(times: np.ndarray, gap: int, start: int, code: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(leave, step) of the ordered times of a bucket that begins at ``start``, for each key that ``code`` numbers.
+
+    ``leave`` is the last time accepted if a time is the first accepted. A decision before the bucket only bears on times
+    below ``start + gap``, so the first time beyond is the last that can be the first accepted. ``step`` marks these
+    possible entries, the last of each run that leaves at one time.
     """
-    leave = leaving_times(times, gap)
-    last = min(int(np.searchsorted(times, start + gap, "left")), len(times) - 1)
-    step = np.append(leave[1:] != leave[:-1], True)
-    step[last:] = False
+    code = np.zeros(len(times), np.int64) if code is None else np.unique(code, return_inverse=True)[1]
+    line, base, stride, ends = _laid_out(code, times, gap)
+    following = np.searchsorted(line, line + gap, "left")
+    to = np.where(following == ends[code], np.arange(len(times)), np.minimum(following, len(times) - 1))
+    while (to[to] != to).any():  # twice as far in each round
+        to = to[to]
+    leave = times[to]
+    within = min(max(start + gap - base, 0), stride)
+    last = np.minimum(np.searchsorted(line, np.arange(len(ends)) * stride + within, "left"), ends - 1)
+    step = np.append((leave[1:] != leave[:-1]) | (code[1:] != code[:-1]), True)
+    step[np.arange(len(times)) >= last[code]] = False
     step[last] = True
     return leave, step
 
 
-def _carried(tables: pa.Table, gap: int) -> pa.Table:
-    """The last time accepted before each bucket of one key; ``tables`` has (bucket, leave, last entry) of all of them."""
-    order = np.lexsort((tables["entry"].to_numpy(), tables["bucket"].to_numpy()))
-    bucket, entry, leave = (tables[c].to_numpy()[order] for c in ("bucket", "entry", "leave"))
-    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+def _carried(steps: pa.Table, keys: list[str], gap: int) -> pa.Table:
+    """The last time accepted before each bucket of each key; ``steps`` has (bucket, leave, entry) of all of them."""
+    code = key_codes(steps, keys)
+    order = np.lexsort((steps["entry"].to_numpy(), steps["bucket"].to_numpy(), code))
+    code, bucket = code[order], steps["bucket"].to_numpy()[order]
+    entry, leave = (steps[c].to_numpy()[order].tolist() for c in ("entry", "leave"))
+    new_key = np.append(True, code[1:] != code[:-1])
+    first = np.flatnonzero(new_key | np.append(True, bucket[1:] != bucket[:-1]))
     carry, before = None, []
-    for a, b in zip(first, [*first[1:], len(bucket)]):
+    for a, b, new in zip(first.tolist(), [*first[1:].tolist(), len(bucket)], new_key[first].tolist()):
+        carry = None if new else carry
         before.append(carry)
-        k = a if carry is None else a + int(np.searchsorted(entry[a:b], carry + gap, "left"))
-        carry = carry if k == b else int(leave[k])
-    keep = tables.select([c for c in tables.column_names if c not in ("bucket", "entry", "leave")]).take(pa.array(order[first]))
-    return keep.append_column("bucket", pa.array(bucket[first])).append_column("carry", pa.array(before, pa.int64()))
+        k = a if carry is None else bisect_left(entry, carry + gap, a, b)
+        carry = carry if k == b else leave[k]
+    out = steps.select(keys).take(pa.array(order[first]))
+    return out.append_column("bucket", pa.array(bucket[first])).append_column("carry", pa.array(before, pa.int64()))
+
+
+def _accepted(code: np.ndarray, times: np.ndarray, carry: pa.Array, gap: int) -> np.ndarray:
+    """Which of the ordered times of each key are accepted after ``carry``, the key's last time accepted before."""
+    code = np.unique(code, return_inverse=True)[1]
+    line, base, stride, ends = _laid_out(code, times, gap)
+    following = np.searchsorted(line, line + gap, "left")
+    begin = np.append(0, ends[:-1])
+    known = carry.is_valid().to_numpy(zero_copy_only=False)[begin]
+    free = np.where(known, carry.fill_null(0).to_numpy()[begin] + gap - base, 0)
+    at = np.searchsorted(line, np.arange(len(ends)) * stride + np.clip(free, 0, stride - 1), "left")
+    accepted, key = np.zeros(len(times), bool), np.arange(len(ends))
+    while len(at):  # all keys go on to their next accepted time
+        inside = at < ends[key]
+        at, key = at[inside], key[inside]
+        accepted[at] = True
+        at = following[at]
+    return accepted
 
 
 def resolve_buckets(rows: DataFrame, keys: list[str], tie: str, seconds: float) -> DataFrame:
     """(keys, tie, t, accepted) of rows (keys, bucket, tie, t, leave, step): buckets are composed from left to right.
 
     A bucket is a function from the last time accepted before it to the last one accepted in it. Its steps are few rows
-    however many the bucket has; only these meet per key.
+    however many the bucket has; only these meet per part of the keys, rows meet per part and bucket.
     """
     gap = int(seconds * 1_000_000)
-    steps = rows.filter("step").select(*keys, "bucket", "leave", F.col("t").alias("entry"))
+    steps = rows.filter("step").select(part_of(keys).alias("__part"), *keys, "bucket", "leave", F.col("t").alias("entry"))
     fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     key_schema = ", ".join(f"`{k}` {fields[k]}" for k in keys)
-    carried = steps.groupBy(*keys).applyInArrow(lambda t: _carried(t, gap), f"{key_schema}, bucket long, carry long")
+    carried = steps.groupBy("__part").applyInArrow(lambda t: _carried(t, keys, gap), f"{key_schema}, bucket long, carry long")
 
     def flags(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("t", "ascending"), (tie, "ascending")])
-        times, carry = table["t"].to_numpy(), table["carry"][0].as_py()
-        following, accepted = _following(times, gap), np.zeros(len(times), bool)
-        at = 0 if carry is None else int(np.searchsorted(times, carry + gap, "left"))
-        while at < len(times):
-            accepted[at] = True
-            at = following[at]
+        table, code = ordered(table, keys, tie)
+        accepted = _accepted(code, table["t"].to_numpy(), table["carry"].combine_chunks(), gap)
         return table.select([*keys, tie, "t"]).append_column("accepted", pa.array(accepted))
     same = reduce(and_, [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*keys, "bucket"]])
     joined = rows.alias("r").join(carried.alias("c"), same).select("r.*", "c.carry")
-    return joined.groupBy(*keys, "bucket").applyInArrow(flags, f"{key_schema}, `{tie}` {fields[tie]}, t long, accepted boolean")
+    return joined.withColumn("__part", part_of(keys)).groupBy("__part", "bucket").applyInArrow(
+        flags, f"{key_schema}, `{tie}` {fields[tie]}, t long, accepted boolean")
 
 
 def accepted_submissions(events: DataFrame, keys: list[str], at: str = "ts", seconds: float = 2.0, tie: str = "event_id",
@@ -130,17 +177,18 @@ def accepted_submissions(events: DataFrame, keys: list[str], at: str = "ts", sec
     composed, so a key with most of the rows is many tasks. ``t`` is the time in microseconds; rows without a time are
     left out; keys that are null form a key.
     """
-    width = int(bucket_seconds * 1_000_000)
+    width, gap = int(bucket_seconds * 1_000_000), int(seconds * 1_000_000)
     t = F.unix_micros(F.col(at).cast("timestamp"))
     rows = events.filter(F.col(at).isNotNull()).select(*keys, F.floor(t / F.lit(width)).alias("bucket"), tie, t.alias("t"))
     fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def leaving(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("t", "ascending"), (tie, "ascending")])
-        leave, step = bucket_steps(table["t"].to_numpy(), int(seconds * 1_000_000), table["bucket"][0].as_py() * width)
+        table, code = ordered(table.drop_columns(["__part"]), keys, tie)
+        leave, step = bucket_steps(table["t"].to_numpy(), gap, table["bucket"][0].as_py() * width, code)
         return table.append_column("leave", pa.array(leave)).append_column("step", pa.array(step))
     schema = ", ".join(f"`{c}` {fields[c]}" for c in rows.columns) + ", leave long, step boolean"
-    return resolve_buckets(rows.groupBy(*keys, "bucket").applyInArrow(leaving, schema), keys, tie, seconds)
+    parted = rows.withColumn("__part", part_of(keys)).groupBy("__part", "bucket")
+    return resolve_buckets(parted.applyInArrow(leaving, schema), keys, tie, seconds)
 
 
 def gaps(events: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:

@@ -12,9 +12,10 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import NumericType
 
 from leadloom.operators.dedup import dedup_domain
-from leadloom.operators.queue import resolve_buckets
+from leadloom.operators.queue import part_of, resolve_buckets
 from leadloom.session import new_folder
 from leadloom.streaming.stateful import BUSY, ClosedBuckets, RangeSums, StallAlerts
 
@@ -135,16 +136,21 @@ def accepted_submissions(events: DataFrame, keys: list[str], seconds: float = 2.
                          delay: str = "1 hour", bucket_seconds: float = 600.0, folder: str | None = None) -> DataFrame:
     """(keys, tie, t, accepted) over a stream, by the rule of ``queue.accepted_submissions``; ``tie`` is a long.
 
-    A bucket of time is a key of its own in the state store and comes out once the watermark has passed it; its rows
-    carry what the bucket does with any earlier decision. Reading composes the buckets, so no task holds a whole key.
+    A bucket of time of one part of the keys is a key in the state store and comes out once the watermark has passed it;
+    its rows carry what the bucket does with any earlier decision. Reading composes the buckets, so no task holds a whole
+    key. Rows without a time are left out. Numbers among the keys wait as text, which holds nulls and every digit.
     """
     width, gap = int(bucket_seconds * 1_000_000), int(seconds * 1_000_000)
     t = F.unix_micros(F.col(at))
-    rows = events.withWatermark(at, delay).select(*keys, F.floor(t / F.lit(width)).alias("bucket"), tie, t.alias("t"), at)
+    types = {f.name: f.dataType for f in events.schema.fields}
+    texts = {k: F.col(k).cast("string") for k in keys if isinstance(types[k], NumericType)}
+    rows = events.withWatermark(at, delay).filter(F.col(at).isNotNull()).select(
+        part_of(keys).alias("part"), F.floor(t / F.lit(width)).alias("bucket"), *[texts.get(k, F.col(k)).alias(k) for k in keys], tie, t.alias("t"), at)
     fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in [*keys, "bucket", tie, "t"]) + ", leave long, step boolean"
-    closed = rows.groupBy(*keys, "bucket").transformWithStateInPandas(ClosedBuckets(keys, tie, width, gap), schema, "Append", "EventTime")
-    return resolve_buckets(drain(closed, "submissions", folder=folder).drop("batch"), keys, tie, seconds)
+    closed = rows.groupBy("part", "bucket").transformWithStateInPandas(ClosedBuckets(keys, tie, width, gap), schema, "Append", "EventTime")
+    out = drain(closed, "submissions", folder=folder).drop("batch")
+    return resolve_buckets(out.withColumns({k: F.col(k).cast(types[k]) for k in texts}), keys, tie, seconds)
 
 
 def stall_alerts(progress: DataFrame, seconds: float = 30.0) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 BUSY = ("processing", "extracting", "enriching")
@@ -117,10 +118,11 @@ class RangeSums(StatefulProcessor):
 
 
 class ClosedBuckets(StatefulProcessor):
-    """Rows of one key and bucket of time in order, once the watermark has passed the bucket.
+    """Rows of one part of the keys and bucket of time in order, once the watermark has passed the bucket.
 
     Each row carries ``leave``, the last time accepted in the bucket if it is the first one accepted, and ``step``,
-    whether the bucket needs it to be composed with others.
+    whether the bucket needs it to be composed with others. Rows wait as Arrow batches, so that state calls cost per
+    part and bucket, not per key or row.
     """
 
     def __init__(self, keys: list[str], tie: str, width: int, gap: int) -> None:
@@ -128,25 +130,30 @@ class ClosedBuckets(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "t long, tie long")
+        self.waiting = handle.getListState("waiting", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         end = -(-(key[-1] + 1) * self.width // 1000)
         if end > timerValues.getCurrentWatermarkInMs():
             for frame in rows:
-                self.waiting.appendList(list(zip(frame["t"].tolist(), frame[self.tie].tolist())))
+                batch = pa.RecordBatch.from_pandas(frame[[*self.keys, self.tie, "t"]], preserve_index=False)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as out:
+                    out.write_batch(batch)
+                self.waiting.appendValue((sink.getvalue().to_pybytes(),))
             self.handle.registerTimer(end)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        from leadloom.operators.queue import bucket_steps
+        from leadloom.operators.queue import bucket_steps, ordered
 
-        rows = sorted(tuple(r) for r in self.waiting.get())
+        # a column of nulls alone has another type in its batch
+        rows = pa.concat_tables([pa.ipc.open_stream(r[0]).read_all() for r in self.waiting.get()], promote_options="permissive")
         self.waiting.clear()
-        if rows:
-            times = np.array([r[0] for r in rows], np.int64)
-            leave, step = bucket_steps(times, self.gap, key[-1] * self.width)
-            yield pd.DataFrame({**dict(zip([*self.keys, "bucket"], key)), self.tie: [r[1] for r in rows], "t": times, "leave": leave, "step": step})
+        rows, code = ordered(rows, self.keys, self.tie)
+        times = rows["t"].to_numpy()
+        leave, step = bucket_steps(times, self.gap, key[-1] * self.width, code)
+        yield rows.to_pandas().assign(bucket=key[-1], leave=leave, step=step)[[*self.keys, "bucket", self.tie, "t", "leave", "step"]]
 
     def close(self) -> None:
         pass
