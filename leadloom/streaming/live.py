@@ -190,7 +190,11 @@ def stalled_spans(progress: DataFrame, seconds: float = 30.0, delay: str = "1 ho
     ``progress``: ``search_id, ts, status, extracted_count, enriched_count``. Reports are judged in order of time, once
     the watermark has passed them; null counters count as 0.
     """
-    return progress.withWatermark("ts", delay).groupBy("search_id").transformWithStateInPandas(
+    none = F.col("search_id").isNull()
+    reports = progress.withWatermark("ts", delay).select(
+        part_of(["search_id"]).alias("part"), none.alias("none"), F.coalesce("search_id", F.lit(0)).cast("long").alias("search_id"),
+        "ts", "status", "extracted_count", "enriched_count")
+    return reports.groupBy("part").transformWithStateInPandas(
         StallAlerts(seconds, keep), "search_id long, extracted_count long, enriched_count long, since timestamp", "Append", "EventTime")
 
 

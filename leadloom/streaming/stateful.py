@@ -26,66 +26,83 @@ class StallAlerts(StatefulProcessor):
     A span begins with the first report of its counters and ends with other counters or a status that is not busy. The
     alert comes when the watermark has passed the limit, or with the report that ends a longer span. A search that is
     not heard of for ``keep`` seconds after its last span has been told is forgotten.
+
+    A key is a part of the searches, which share its state and timers: state calls cost per key, not per search. Reports
+    are rows of numbers (none, search, at, busy, extracted, enriched), where none marks the search without an id.
     """
 
+    COLUMNS = 6
+
     def __init__(self, seconds: float, keep: float) -> None:
         self.limit, self.keep = int(seconds * 1_000_000), int(keep * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, busy boolean, extracted long, enriched long")
-        self.span = handle.getValueState("span", "since long, extracted long, enriched long, told boolean, last long")
+        self.waiting = handle.getListState("waiting", "reports binary")
+        self.spans = handle.getValueState("spans", "spans binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         new = []
         for frame in rows:
-            busy = frame["status"].isin(BUSY).tolist()
-            numbers = frame[["extracted_count", "enriched_count"]].fillna(0).astype("int64").to_numpy().tolist()
-            new += [(t, b, *n) for t, b, n in zip(_micros(frame["ts"]).tolist(), busy, numbers) if t > passed]
-        if new:
-            self.waiting.appendList(new)
-            self.handle.registerTimer(-(-min(r[0] for r in new) // 1000))
+            numbers = frame[["extracted_count", "enriched_count"]].fillna(0).astype("int64")
+            reports = np.column_stack([frame["none"].astype("int64"), frame["search_id"].astype("int64"), _micros(frame["ts"]),
+                                       frame["status"].isin(BUSY).astype("int64"), numbers.to_numpy()])
+            new.append(reports[reports[:, 2] > passed])
+        reports = np.concatenate(new)
+        if len(reports):
+            self.waiting.appendValue((reports.astype(np.int64).tobytes(),))
+            self.handle.registerTimer(-(-int(reports[:, 2].min()) // 1000))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(tuple(r) for r in self.waiting.get())
-        due, later = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
-        if due:
-            self.waiting.put(later) if later else self.waiting.clear()
-        if later:
-            self.handle.registerTimer(-(-later[0][0] // 1000))
-        span = tuple(self.span.get()) if self.span.exists() else None
-        told: list[tuple[int, int, int]] = []
-
-        def tell(until: int) -> None:
-            nonlocal span
+        reports = np.concatenate([np.zeros((0, self.COLUMNS), np.int64), *[
+            np.frombuffer(r[0], np.int64).reshape(-1, self.COLUMNS) for r in self.waiting.get()]])
+        is_due = reports[:, 2] <= passed
+        due, later = reports[is_due], reports[~is_due]
+        if len(due):
+            self.waiting.put([(later.tobytes(),)]) if len(later) else self.waiting.clear()
+        # a span is (since, extracted, enriched, told, last)
+        known = np.frombuffer(self.spans.get()[0], np.int64).reshape(-1, 7).tolist() if self.spans.exists() else []
+        spans = {(r[0], r[1]): tuple(r[2:]) for r in known}
+        told: list[tuple] = []
+
+        def tell(search: tuple[int, int], until: int) -> None:
+            span = spans.get(search)
             if span and not span[3] and until - span[0] > self.limit:
-                told.append(span[:3])
-                span = (*span[:3], True, span[4])
-        for at, busy, *counters in due:
-            tell(at)
+                told.append((*search, *span[:3]))
+                spans[search] = (*span[:3], 1, span[4])
+        for none, search_id, at, busy, *counters in due[np.lexsort(due.T[::-1])].tolist():
+            search = (none, search_id)
+            tell(search, at)
+            span = spans.get(search)
             if not busy:
-                span = None
+                spans.pop(search, None)
             elif span is None or list(span[1:3]) != counters:
-                span = (at, *counters, False, at)
+                spans[search] = (at, *counters, 0, at)
+            else:
+                spans[search] = (*span[:4], at)
+        expected = set(map(tuple, later[:, :2].tolist()))
+        wakes = [-(-int(later[:, 2].min()) // 1000)] if len(later) else []
+        for search in list(spans):
+            tell(search, passed)
+            since, _, _, is_told, last = spans[search]
+            if is_told and search not in expected and passed - last > self.keep * 1000:
+                del spans[search]
             else:
-                span = (*span[:4], at)
-        tell(passed)
-        if span and span[3] and not later and passed - span[4] > self.keep * 1000:
-            span = None
-        if span:
-            self.span.update(span)
-            wake = (span[0] + self.limit) // 1000 + 1 if not span[3] else span[4] // 1000 + self.keep + 1
-            if wake * 1000 > passed:
-                self.handle.registerTimer(wake)
-        elif self.span.exists():
-            self.span.clear()
+                wakes.append((since + self.limit) // 1000 + 1 if not is_told else last // 1000 + self.keep + 1)
+        if spans:
+            self.spans.update((np.array([(*search, *span) for search, span in spans.items()], np.int64).tobytes(),))
+        elif known:
+            self.spans.clear()
+        wakes = [w for w in wakes if w * 1000 > passed]
+        if wakes:
+            self.handle.registerTimer(min(wakes))
         if told:
-            frame = pd.DataFrame(told, columns=["since", "extracted_count", "enriched_count"])
-            yield pd.DataFrame({"search_id": key[0], "extracted_count": frame["extracted_count"], "enriched_count": frame["enriched_count"],
-                                "since": pd.to_datetime(frame["since"], unit="us")})
+            none, search_id, since, extracted, enriched = (list(x) for x in zip(*told))
+            yield pd.DataFrame({"search_id": pd.array([None if n else i for n, i in zip(none, search_id)], dtype="Int64"), "extracted_count": extracted,
+                                "enriched_count": enriched, "since": pd.to_datetime(pd.Series(since), unit="us")})
 
     def close(self) -> None:
         pass

@@ -52,3 +52,27 @@ def test_submissions_share_state(spark, tmp_path):
     assert got == want
     states = spark.read.format("statestore").option("path", f"{kept}/state").option("stateVarName", "waiting").option("batchId", 0).load()
     assert 0 < states.count() <= 4 * queue.PARTS < len({(*r[1:3], r[3] // 3000) for r in rows})
+
+
+def test_stalls_share_state(spark, tmp_path):
+    rng = random.Random(5)
+    searches = [None, *range(300)]
+    rows = [(s, rng.randrange(1, 400), rng.choice(["extracting", "completed", "enriching"]), rng.randrange(2)) for s in searches for _ in range(6)]
+    rows = list({r[:2]: r for r in rows}.values())
+    src, kept = str(tmp_path / "in"), str(tmp_path / "kept")
+    d = spark.createDataFrame([*rows, (-1, 1000, "completed", 0)], "search_id long, s long, status string, extracted_count long")
+    d.select("search_id", F.timestamp_seconds("s").alias("ts"), "status", "extracted_count", F.lit(None).cast("long").alias("enriched_count")).coalesce(1).write.parquet(src)
+    told = live.drain(live.stalled_spans(live.file_stream(spark, src, "*.parquet"), 50.0, "100 seconds"), "stalls", folder=kept)
+    got = sorted(map(str, [(r["search_id"], r["extracted_count"], r["enriched_count"], r["s"]) for r in told.withColumn("s", F.unix_seconds("since")).collect()]))
+    want = []
+    for s in searches:
+        span = None
+        for _, at, status, n in [*sorted(r for r in rows if r[0] == s), (s, 900, "completed", 0)]:
+            new = (at, n) if status != "completed" else None
+            if span and (new is None or new[1] != span[1]):
+                want += [(s, span[1], 0, span[0])] * (at - span[0] > 50)
+                span = None
+            span = span or new
+    assert got == sorted(map(str, want)) and len(got) > 100
+    states = spark.read.format("statestore").option("path", f"{kept}/state").option("stateVarName", "waiting").option("batchId", 0).load()
+    assert 0 < states.count() <= queue.PARTS < 300
