@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leadloom.session import checkpointed, new_folder
+from leadloom.session import checkpointed, new_folder, stored
 
 #: Tables of at most this many bytes, measured after they are written, may be sent to every executor.
 BROADCAST_BYTES = 8 << 20
@@ -14,13 +14,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: computed once, and safe from lost executors."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, rows: int) -> DataFrame:
     """(y, text) of at most ``rows`` documents that have a label, those of the smallest hashes of their ids.
 

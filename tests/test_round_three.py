@@ -76,3 +76,14 @@ def test_stalls_share_state(spark, tmp_path):
     assert got == sorted(map(str, want)) and len(got) > 100
     states = spark.read.format("statestore").option("path", f"{kept}/state").option("stateVarName", "waiting").option("batchId", 0).load()
     assert 0 < states.count() <= queue.PARTS < 300
+
+
+@pytest.mark.parametrize("name", ["deep_pages"])
+def test_lists_read_stored_columns(spark, sf, name):
+    """No sort, count or join works the leads out again."""
+    assert not any("orders" in f for f in plans.QUERIES[name](spark, sf).inputFiles())
+
+
+def test_score_before_entries_are_verified(spark, sf):
+    both = L.leads(spark, sf, scored=True).withColumn("again", quality_score())
+    assert both.filter("NOT (quality_score <=> again)").isEmpty() and both.select("quality_score").distinct().count() > 1
