@@ -87,3 +87,13 @@ def test_lists_read_stored_columns(spark, sf, name):
 def test_score_before_entries_are_verified(spark, sf):
     both = L.leads(spark, sf, scored=True).withColumn("again", quality_score())
     assert both.filter("NOT (quality_score <=> again)").isEmpty() and both.select("quality_score").distinct().count() > 1
+
+
+def test_small_searches_equal_rounds(spark):
+    rng = random.Random(6)
+    stems = ["acme trading", "acme trading c", "acme trading co", "bolt", "bol", "abc", "abcd", None, "", "long name of a company " * 4, "long name of a company " * 4 + "x"]
+    rows = [(i % 390 if i < 395 else None, rng.choice([None, *range(12), 7, 7, 7, 7]), rng.choice(stems), rng.choice([None, "", "https://a.com", "http://www.a.com/x", "b.com", "https://google.com/search?q=a"]),
+             rng.choice([None, 1, 2, 3])) for i in range(400)]
+    d = spark.createDataFrame(rows, "lead_id long, search_id long, company_name string, website string, day int").withColumn("created_at", F.timestamp_seconds("day"))
+    few, rounds, mixed = (sorted(map(str, dedup.mark_duplicates(d, few=n).select("lead_id", "search_id", "is_duplicate", "duplicate_of").collect())) for n in (10_000, 0, 40))
+    assert few == rounds == mixed and any("is_duplicate=True" in r for r in few)
