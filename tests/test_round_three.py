@@ -78,7 +78,7 @@ def test_stalls_share_state(spark, tmp_path):
     assert 0 < states.count() <= queue.PARTS < 300
 
 
-@pytest.mark.parametrize("name", ["deep_pages", "ranked_leads"])
+@pytest.mark.parametrize("name", ["deep_pages", "lead_sorts", "ranked_leads"])
 def test_lists_read_stored_columns(spark, sf, name):
     """No sort, count or join works the leads out again."""
     assert not any("orders" in f for f in plans.QUERIES[name](spark, sf).inputFiles())
