@@ -106,12 +106,20 @@ def page_emails(html: Column | str, allow: tuple[str, ...] = ()) -> Column:
     def clean(c: Column) -> Column:
         return F.lower(F.regexp_replace(F.regexp_replace(c, f"(?i){AT}", "@"), f"(?i){DOT}", "."))
 
-    plain = all_groups(AT_RUN + R.EMAIL_PATTERN, decoded)
-    spoken = F.transform(F.concat(all_groups(DOT_ADDRESS, decoded), all_groups(AT_ADDRESS, decoded)), clean)
     packed = F.transform(
         all_groups(r'(?i)data-email="([^"]+)"', h, 1),
         lambda x: F.coalesce(F.decode(F.try_to_binary(x, F.lit("base64")), "UTF-8"), F.lit("")))
-    found = F.concat(plain, spoken, packed)
+    none = F.array().cast("array<string>")
+
+    def searched(d: Column) -> Column:
+        """Each form is sought only where the letters it cannot do without occur."""
+        at = d.contains("@")
+        dot = F.lower(d).contains("dot")
+        plain = F.when(at, all_groups(AT_RUN + R.EMAIL_PATTERN, d)).otherwise(none)
+        spoken = F.concat(F.when(at & dot, all_groups(DOT_ADDRESS, d)).otherwise(none), F.when(dot, all_groups(AT_ADDRESS, d)).otherwise(none))
+        return F.concat(plain, F.transform(spoken, clean), packed)
+
+    found = let(decoded, searched)
     noise = [w for w in R.PAGE_EMAIL_NOISE if not any(a in w for a in allow)]
     hosts = "|".join(w for w in ("localhost", r"127\.0\.0\.1", "example", "test", "placeholder") if w not in allow)
 
@@ -230,8 +238,7 @@ def visible_text(html: Column | str) -> Column:
 
 
 def category_signals(text: Column | str) -> Column:
-    text = F.lower(text_or_empty(text))
-    return F.filter(R.literal_array(R.CATEGORY_WORDS), lambda w: text.contains(w))
+    return let(F.lower(text_or_empty(text)), lambda t: F.filter(R.literal_array(R.CATEGORY_WORDS), lambda w: t.contains(w)))
 
 
 def address_text() -> Column:

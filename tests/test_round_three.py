@@ -97,3 +97,13 @@ def test_small_searches_equal_rounds(spark):
     d = spark.createDataFrame(rows, "lead_id long, search_id long, company_name string, website string, day int").withColumn("created_at", F.timestamp_seconds("day"))
     few, rounds, mixed = (sorted(map(str, dedup.mark_duplicates(d, few=n).select("lead_id", "search_id", "is_duplicate", "duplicate_of").collect())) for n in (10_000, 0, 40))
     assert few == rounds == mixed and any("is_duplicate=True" in r for r in few)
+
+
+def test_page_rules_read_a_text_once(spark):
+    """Rules that read a derived text many times hold it once in their plan."""
+    d = spark.createDataFrame([("https://a.com", "<p>a@b.com x [at] c [dot] org, y@d [DOT] net</p><script>tel</script> Phone: +234 803 123 4567")], "url string, html string")
+    one = d.select(pages.page_emails("html").alias("m"), phone.extract_phones("html", "url").alias("p"), pages.category_signals("html").alias("c"))
+    assert [e["email"] for e in one.first()["m"]] == ["a@b.com", "y@d.net", "x@c.org"]
+    assert one.first()["p"][0]["phone"] == "+2348031234567"
+    plan = one._jdf.queryExecution().analyzed().toString()
+    assert plan.count("</script>") == 1 and plan.count("&commat;") == 1
