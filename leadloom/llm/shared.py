@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leadloom.session import checkpointed, new_folder, stored
 
 #: Tables of at most this many bytes, measured after they are written, may be sent to every executor.
 BROADCAST_BYTES = 8 << 20
+#: Whole texts that go to a Python worker at once, and about as many bytes.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run here hand whole texts to Python a few at a time: a batch is held by the JVM and by the worker, and ten
+    thousand long texts are more than either should hold."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, most in wanted.items():
+        spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value) if value else spark.conf.unset(name)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, rows: int) -> DataFrame:
     """(y, text) of at most ``rows`` documents that have a label, those of the smallest hashes of their ids.
 
@@ -46,4 +66,4 @@ def sent_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(kept) if int(str(size)) <= BROADCAST_BYTES else kept
 
 
-__all__ = ["BROADCAST_BYTES", "checkpointed", "labelled_sample", "new_folder", "read", "sent_if_small", "stored", "unused"]
+__all__ = ["BROADCAST_BYTES", "checkpointed", "labelled_sample", "new_folder", "read", "sent_if_small", "small_batches", "stored", "unused"]

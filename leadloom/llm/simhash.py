@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from leadloom.llm import similar
 from leadloom.llm.components import components
-from leadloom.llm.shared import checkpointed, stored, unused
+from leadloom.llm.shared import checkpointed, small_batches, stored, unused
 from leadloom.operators.skew import lookup_per_key
 
 SHINGLE, SEED, BITS = 4, 42, 64
@@ -147,7 +147,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     and are no candidate for component_id, unless the whole component has none. An empty table gives no rows; other
     columns are not read.
     """
-    marked = checkpointed(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp")))
+    with small_batches(docs.sparkSession):
+        marked = checkpointed(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp")))
     return lookup_per_key(marked, _groups(marked, crowd).select("fp", "component_id"), ["fp"]).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -160,8 +161,9 @@ def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     """
     head, key, own = unused(docs, "__head", "__key", "__own")
     sketch = [similar.sketches(F.col(text)).alias("s")] if shingled else []
-    marked = checkpointed(docs.select(
-        F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp"), F.xxhash64(F.col(text)).alias("key"), *sketch))
+    with small_batches(docs.sparkSession):
+        marked = checkpointed(docs.select(
+            F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp"), F.xxhash64(F.col(text)).alias("key"), *sketch))
     more = similar.links(docs, text, marked.withColumnRenamed("fp", "node"), doc_id=doc_id) if shingled else None
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "key")).alias("h")
     own_heads = marked.groupBy("fp").agg(first)  # one row per fingerprint, however many copies share it

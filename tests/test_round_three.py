@@ -107,3 +107,15 @@ def test_page_rules_read_a_text_once(spark):
     assert one.first()["p"][0]["phone"] == "+2348031234567"
     plan = one._jdf.queryExecution().analyzed().toString()
     assert plan.count("</script>") == 1 and plan.count("&commat;") == 1
+
+
+def test_texts_go_to_python_a_few_at_a_time(spark):
+    import pyarrow as pa
+
+    @F.arrow_udf("long")
+    def rows(x: pa.Array) -> pa.Array:
+        return pa.array([len(x)] * len(x))
+    most = lambda: spark.range(0, 3000, 1, 1).select(rows(F.col("id").cast("string")).alias("n")).agg(F.max("n")).first()[0]
+    with small_batches(spark):
+        assert most() <= BATCH_ROWS
+    assert most() == 3000
